@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html, language, mixing, packing, secrets
+from . import fingerprints, html, language, mixing, packing, pii, secrets
 from .common import read_table
 
 
@@ -26,6 +26,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text_report(read_table(spark, sf_dir, "pages"))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_fingerprints": op2_fingerprints,
         "op5_source_mix": op5_source_mix,
         "op7_packing": op7_packing,
+        "op8_pii": op8_pii,
         "op9_html_text": op9_html_text,
         "op10_language": op10_language,
     }
