@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html, language, mixing, packing, pii, secrets
+from . import fingerprints, html, language, mixing, packing, pii, secrets, substrings
 from .common import read_table
 
 
@@ -18,6 +18,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_fingerprints": op2_fingerprints,
+        "op3_repeated_strings": op3_repeated_strings,
         "op5_source_mix": op5_source_mix,
         "op7_packing": op7_packing,
         "op8_pii": op8_pii,
