@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -175,6 +176,17 @@ class Scorer:
         return labels, sure
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def worker_scorer(key: str, model: Model) -> Scorer:
+    """The worker's scorer of a model, kept between the tasks of one query in a reused Python worker."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(model)
+    return _SCORERS[key]
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", path: str | None = None, sample: int = TRAIN_DOCS, rounds: int = 3) -> Model:
     """Fit on texts with a language. About ``sample`` texts of each language are drawn by a hash of the id."""
     spark = labelled.sparkSession
@@ -230,8 +242,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary times languages
 
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = worker_scorer(key, shared.value)
         for batch in batches:
             labels, sure = scorer(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(sure, pa.float64())], [*batch.schema.names, "lang_pred", "score"])

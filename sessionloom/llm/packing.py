@@ -28,35 +28,91 @@ from .common import materialize
 
 SIZE = 4096
 END_ID = 2
-CACHED = 400_000
+#: Words in one generation of a worker's cache.
+CACHED = 500_000
 
 
 class WordTokenizer:
-    """A tokenizer file's ids as little-endian unsigned 32-bit bytes, cached by word."""
+    """A tokenizer file's ids as little-endian unsigned 32-bit bytes, cached by word.
+
+    The cache has two generations of at most ``CACHED`` words: when the younger is full it becomes the older, and
+    words met again come back from there. It outlives tasks in a reused Python worker.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _each(self, words: list[str]) -> None:
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> None:
+        """Words of Latin letters only are one word to the tokenizer; many are encoded as one text and cut at word ends."""
+        for i in range(0, len(words), 256):
+            part = words[i : i + 256]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                self._each(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, c in zip(part, (4 * cuts).tolist(), strict=True):
+                self.young[w] = raw[at:c]
+                at = c
+
+    def _learn(self, fresh: set[str]) -> None:
+        known, old = self.young, self.old
+        for w in fresh & old.keys():
+            known[w] = old[w]
+        fresh = fresh - known.keys()
+        # a word of letters with one mark behind it is that word and that mark
+        marked = [w for w in fresh if w[-1] in ".,;:!?" and w[:-1].isalpha() and max(w) < "\u0250"]
+        whole = fresh.difference(marked)
+        bases = {w[:-1] for w in marked}
+        whole |= (bases | {w[-1] for w in marked}) - known.keys()
+        for w in whole & old.keys():
+            known[w] = old[w]
+        whole -= known.keys()
+        letters = [w for w in whole if w.isalpha() and max(w) < "\u0250"]
+        self._letters(letters)
+        self._each(list(whole.difference(letters)))
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1]]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Splits only at spaces and line feeds, which the tokenizer drops and never joins across."""
         out = []
         for at in range(0, len(texts), 512):
             words = [t.replace("\n", " ").split(" ") if t else [] for t in texts[at : at + 512]]
-            if len(self.cache) > CACHED:
-                self.cache = {"": b""}
-            fresh = list(set().union(*words).difference(self.cache)) if words else []
-            for i in range(0, len(fresh), 4096):
-                part = fresh[i : i + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-            get = self.cache.__getitem__
+            if len(self.young) > CACHED:
+                self.young, self.old = {"": b""}, self.young
+            fresh = set().union(*words) - self.young.keys() if words else set()
+            if fresh:
+                self._learn(fresh)
+            get = self.young.__getitem__
             out += [b"".join(map(get, w)) for w in words]
         return out
 
 
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    """The worker's own tokenizer of that file."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -72,7 +128,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize, seen = WordTokenizer(path), np.zeros(size + 1, dtype=np.int64)
+        tokenize, seen = tokenizer(path), np.zeros(size + 1, dtype=np.int64)
         block = TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
