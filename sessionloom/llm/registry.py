@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html, language, mixing, packing, pii, secrets, substrings
+from . import embeddings, fingerprints, html, language, mixing, neardups, packing, pii, secrets, substrings
 from .common import read_table
 
 
@@ -22,10 +22,18 @@ def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardups.near_duplicate_report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op6_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_report(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op2_fingerprints": op2_fingerprints,
         "op3_repeated_strings": op3_repeated_strings,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_source_mix": op5_source_mix,
+        "op6_embedding_links": op6_embedding_links,
         "op7_packing": op7_packing,
         "op8_pii": op8_pii,
         "op9_html_text": op9_html_text,
