@@ -266,6 +266,12 @@ def language_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def keep_known(docs: DataFrame, least: float = 0.5, path: str | None = None) -> DataFrame:
+    """``docs`` without those whose language cannot be told: no letters at all, or a posterior below ``least``."""
+    found = identify(docs, fit(docs, path=path))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def brute_force(word: str, probs: dict[str, float], unknown: float) -> float:
     """Test helper: log of the summed probability over all segmentations, by enumeration."""
 

@@ -261,7 +261,8 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: the one of least id."""
+    """``docs`` with one document of each class: the one of least id, and one row of it."""
     kept = classes(docs, id_col, text).where("id = class_id").select(F.col("id").alias("_kept")).distinct()
     one = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    return one.dropDuplicates([id_col])
+    repeated = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1")
+    return one if repeated.isEmpty() else one.dropDuplicates([id_col])
