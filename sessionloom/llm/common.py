@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,11 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps whose DataFrames are no longer referenced."""
-    import gc
+    """Let Spark's cleaner drop shuffle files of finished steps whose DataFrames are no longer referenced.
 
-    gc.collect()
-    spark._jvm.System.gc()
+    References that Python has dropped reach the JVM, and the cleaner its files, a moment later: hence two passes.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def unit_hash(*cols: Column) -> Column:

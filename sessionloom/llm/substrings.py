@@ -44,7 +44,7 @@ MATCH = 100
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 TUPLE = MATCH - PERIOD + 1
 #: Text bytes of a block and of what a bucket receives, about.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
 
 _ODD = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
 _U = np.uint64
@@ -57,6 +57,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of base; a worker keeps the longest list it has needed."""
+    if len(_POWERS.get(base, ())) < n:
+        powers = np.full(max(n, BLOCK_BYTES + (1 << 18)), base, dtype=np.uint64)
+        powers[0] = 1
+        with np.errstate(over="ignore"):
+            _POWERS[base] = np.cumprod(powers)
+    return _POWERS[base][:n]
+
+
 class Rolling:
     """Polynomial fingerprints modulo 2**64 of all substrings of one block, by prefix sums."""
 
@@ -64,14 +77,10 @@ class Rolling:
         odd = _ODD[which]
         table = np.random.default_rng(7 + which).integers(0, 2**64, 256, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            powers = np.full(len(data) + 1, odd, dtype=np.uint64)
-            powers[0] = 1
-            powers = np.cumprod(powers)
             self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(table[data] * powers[:-1], out=self.sums[1:])
-            back = np.full(len(data) + 1, pow(odd, -1, 2**64), dtype=np.uint64)
-            back[0] = 1
-            self.back = np.cumprod(back)
+            np.multiply(table[data], _powers(odd, len(data)), out=self.sums[1:])
+            np.cumsum(self.sums, out=self.sums)
+            self.back = _powers(pow(odd, -1, 2**64), len(data) + 1)
 
     def __call__(self, at: np.ndarray, length: int) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -84,12 +93,16 @@ class Block:
     def __init__(self, number: int, lengths: np.ndarray, data: np.ndarray):
         self.number, self.lengths, self.data = number, lengths, data
         self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        offset = np.arange(len(data)) - np.repeat(self.starts[:-1], lengths)
-        room = np.repeat(lengths, lengths) - offset
-        allowed = np.zeros(PERIOD, dtype=bool)
-        allowed[list(COVER)] = True
-        self.last = room >= MATCH  # a whole string starts here
-        self.at = np.flatnonzero(allowed[offset % PERIOD] & (room >= TUPLE) & (np.repeat(lengths, lengths) >= MATCH))
+        self.last = np.ones(len(data), dtype=bool)  # a whole string starts here
+        for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True):
+            self.last[max(a, b - MATCH + 1) : b] = False
+        long = np.flatnonzero(lengths >= MATCH)
+        found = []
+        for residue in COVER:
+            n = (lengths[long] - TUPLE - residue) // PERIOD + 1
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.repeat(self.starts[long] + residue, n) + PERIOD * step)
+        self.at = np.sort(np.concatenate(found))
         self.doc = np.searchsorted(self.starts, self.at, side="right") - 1
         self.rolling = Rolling(data)
         names = self.rolling(self.at, TUPLE)
@@ -291,7 +304,7 @@ def merge_runs(b: Block, pointers: list[bytes], followed: list[bytes]) -> tuple[
     reach = PERIOD - 1
     edge = _cover(n, np.maximum(b.at[points] - reach, start[points]), b.at[points])
     # the earlier side: around samples whose followers are not those of the sample one period before or after
-    index = np.full(n + 2 * PERIOD, -1, dtype=np.int64)
+    index = np.full(n + 2 * PERIOD, -1, dtype=np.int32)
     index[b.at + PERIOD] = np.arange(len(b.at))
     value = np.zeros(len(b.at) + 1, dtype=np.uint64)
     lead = b.head[(target == (b.number << 32) + heads) & (digest != 0)]
