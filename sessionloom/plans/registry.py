@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events
+from . import documents, events
 
-_MODULES = (events,)
+_MODULES = (events, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
