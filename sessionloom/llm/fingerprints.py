@@ -30,6 +30,8 @@ PARAGRAPH = 150
 MOST = 3000
 #: Rows of a range of ids, about, and cells of the histogram that finds the ranges.
 RANGE_ROWS, HISTOGRAM = 1500, 16384
+#: Ranges whose first ids are broadcast at most (three numbers each).
+BROADCAST_RANGES = 500_000
 
 _CELL = "STRUCT<n: INT, k: BIGINT, h: BIGINT>"
 _CHECK = "(xxhash64({k}, 99) & 4294967295)"
@@ -121,6 +123,8 @@ def with_next(docs: DataFrame, id_col: str, values: list[str]) -> DataFrame:
     everything = Window.orderBy(F.col("_range").desc())
     heads = heads.withColumn("_guest", F.coalesce(F.lag("_range").over(everything), F.min("_range").over(Window.partitionBy())))
     heads = heads.select(F.col("_range").alias("_r"), "_head", "_guest")
+    # broadcast while it is known to be small; otherwise the join shuffles the texts once more
+    heads = F.broadcast(heads) if count <= RANGE_ROWS * BROADCAST_RANGES else heads
     rows = docs.join(heads, (docs["_range"] == heads["_r"]) & (docs["_id"] == heads["_head"]), "left")
     # a first document is there twice: in its own range, and as a guest behind the rows of the range before
     rows = rows.withColumn("_at", F.explode(F.expr("if(_guest is null, array(named_struct('r', _range, 'g', 0)), array(named_struct('r', _range, 'g', 0), named_struct('r', _guest, 'g', 1)))")))
