@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, events, retrieval
+from . import documents, events, retrieval, sessions
 
-_MODULES = (events, documents, retrieval)
+_MODULES = (events, documents, retrieval, sessions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
