@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, events, retrieval, sessions
+from . import documents, events, retrieval, sessions, streams, transcripts
 
-_MODULES = (events, documents, retrieval, sessions)
+_MODULES = (events, documents, retrieval, sessions, transcripts, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
