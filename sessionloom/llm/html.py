@@ -228,7 +228,10 @@ def fit(pages: DataFrame, id_col: str = "page_id", html: str = "html", sample: i
     The sample is taken by hash, so reruns agree. Pages without ``article`` or ``main`` cannot label themselves.
     """
     marked = pages.where(F.col(html).rlike(r"(?i)<(article|main)\b"))
-    rows = marked.select(html).orderBy(F.xxhash64(F.col(id_col), F.lit(17)), F.col(id_col)).limit(sample).toPandas()[html]
+    share = min(1.0, 3 * sample / max(1, pages.count()))
+    draw = F.xxhash64(F.col(id_col), F.lit(17))
+    drawn = marked.where(F.pmod(draw, F.lit(1 << 20)) < share * (1 << 20))  # so that few rows compete for the limit
+    rows = drawn.select(html).orderBy(draw, F.col(id_col)).limit(sample).toPandas()[html]
     labelled = _seeds()
     for i, page in enumerate(rows):
         blocks = leaf_blocks(page)[:400]
