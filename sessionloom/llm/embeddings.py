@@ -33,7 +33,7 @@ from .graph import components
 
 COSINE = 0.93
 #: Filters of a vector, expected; a pair at the threshold shares about half of them.
-FILTERS = 30
+FILTERS = 40
 #: Angles are trusted to this much (radians) where the triangle inequality stands in for a comparison.
 MARGIN = 1e-6
 
