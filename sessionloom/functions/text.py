@@ -134,6 +134,21 @@ def redact_paths(text: Column, schemes: Iterable[str] = SAFE_SCHEMES) -> Column:
     return F.array_join(joined, "")
 
 
+_STRING = r'"(?:\\.|[^"\\])*"'
+
+
+def redact_json(body: Column, schemes: Iterable[str] = SAFE_SCHEMES) -> Column:
+    """Local paths in the string values of a JSON text at any depth; keys and everything else stay as they are.
+
+    The text is cut at its string literals; a literal that a colon follows is a key.
+    """
+    schemes = tuple(schemes)
+    literals = F.regexp_extract_all(body, F.lit(_STRING), F.lit(0))
+    between = F.split(body, _STRING, -1)
+    shown = F.transform(literals, lambda x, i: F.when(F.ltrim(F.get(between, i + 1)).startswith(":"), x).otherwise(redact_paths(x, schemes)))
+    return F.array_join(F.zip_with(between, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def safe_locator(locator: Column, schemes: Iterable[str] = SAFE_SCHEMES) -> Column:
     """A locator only if it is one safe URI without a local path in it."""
     return F.when((redact_paths(locator, schemes) == locator) & locator.rlike(f"^{_safe(schemes)[2:]}$"), locator)

@@ -61,6 +61,36 @@ def session_bounds(turns: DataFrame) -> DataFrame:
     return turns.groupBy("session_id").agg(F.count("*").alias("n_turns"), F.min("ordinal").alias("first_turn"), F.max("ordinal").alias("last_turn"), F.max_by("role", "ordinal").alias("last_role"))
 
 
+def scoped(rows: DataFrame, **scope) -> DataFrame:
+    """Rows within a scope of equal columns; a scope of None does not filter."""
+    for name, value in scope.items():
+        rows = rows if value is None else rows.where(F.col(name) == F.lit(value))
+    return rows
+
+
+def nested_detail(intervals: DataFrame, turns: DataFrame) -> DataFrame:
+    """Sessions with their intervals and, in each, its turns, both in order, as text."""
+    lines = turns.groupBy("session_id", "interval_ordinal").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "label"))), lambda x: x["label"]), "+").alias("turns"))
+    rows = intervals.join(lines, ["session_id", "interval_ordinal"], "left")
+    shown = F.concat(F.col("interval_ordinal").cast("string"), F.lit("="), F.coalesce("turns", F.lit("")))
+    return rows.groupBy("session_id").agg(F.count("*").alias("n_intervals"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("interval_ordinal", shown.alias("s")))), lambda x: x["s"]), ";").alias("detail"))
+
+
+def source_turns(edges: DataFrame, turns: DataFrame) -> DataFrame:
+    """The turn that an edge starts from: by tool call, else by the parent turn's id, else the first turn."""
+    by_call = turns.where("call_id IS NOT NULL").groupBy(F.col("session_id").alias("source"), "call_id").agg(F.min("ordinal").alias("a"))
+    by_id = turns.select(F.col("session_id").alias("source"), F.col("turn_id").alias("parent_turn_id"), F.col("ordinal").alias("b"))
+    first = turns.groupBy(F.col("session_id").alias("source")).agg(F.min("ordinal").alias("c"))
+    rows = edges.join(by_call, ["source", "call_id"], "left").join(by_id, ["source", "parent_turn_id"], "left").join(first, "source", "left")
+    return rows.withColumn("source_turn", F.coalesce("a", "b", "c")).drop("a", "b", "c")
+
+
+def refresh_sessions(stored: DataFrame, fresh: DataFrame, values: list[str]) -> DataFrame:
+    """Session rows with what a new normalisation gives; what it does not give stays."""
+    new = fresh.select("session_id", *[F.col(v).alias(f"_{v}") for v in values])
+    return stored.join(new, "session_id", "left").select("session_id", *[F.coalesce(f"_{v}", v).alias(v) for v in values])
+
+
 # --- context documents ------------------------------------------------------------------------------------------
 def context_documents(claims: DataFrame, entries: DataFrame, events: DataFrame, workspaces: DataFrame) -> DataFrame:
     """Per workspace the sections of its context: profile, 8 live claims, 6 pinned entries, 5 recent events.
@@ -147,6 +177,12 @@ def record_details(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     return rows.groupBy("record_id").agg(F.count("*").alias("n_findings"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))), lambda x: x["line"]), ",").alias("findings"))
 
 
+def delete_records(tables: dict[str, DataFrame], records: DataFrame) -> dict[str, DataFrame]:
+    """All tables of findings without the given records."""
+    ids = records.select("record_id").distinct()
+    return {k: t.join(ids, "record_id", "left_anti") for k, t in tables.items()}
+
+
 # --- safety -----------------------------------------------------------------------------------------------------
 def erase(tables: dict[str, DataFrame], sessions: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """Every table without the given sessions, and the number of rows that go, by table and session."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, events, retrieval, sessions, streams, transcripts
+from . import documents, events, retrieval, sessions, streams, transcripts, views
 
-_MODULES = (events, documents, retrieval, sessions, transcripts, streams)
+_MODULES = (events, documents, retrieval, sessions, transcripts, views, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
