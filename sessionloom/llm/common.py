@@ -56,3 +56,17 @@ def unit_hash(*cols: Column) -> Column:
     """
     digest = F.md5(F.concat_ws(":", *[c.cast("string") for c in cols]))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
+
+
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """A dictionary that outlives tasks in a reused Python worker; those of other owners are emptied.
+
+    So a worker holds what one operator caches, not the sum over all that have run in it.
+    """
+    for name, cache in _CACHES.items():
+        if name != owner:
+            cache.clear()
+    return _CACHES.setdefault(owner, {})

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize, worker_cache
+
 #: Bound of the labelled sample: texts for each language (expected number; the draw is by hash).
 TRAIN_DOCS = 1500
 #: Longest piece that is used, with the word-start mark.
@@ -176,15 +178,13 @@ class Scorer:
         return labels, sure
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def worker_scorer(key: str, model: Model) -> Scorer:
     """The worker's scorer of a model, kept between the tasks of one query in a reused Python worker."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
+    cache = worker_cache("language")
+    if key not in cache:
+        cache.clear()
+        cache[key] = Scorer(model)
+    return cache[key]
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", path: str | None = None, sample: int = TRAIN_DOCS, rounds: int = 3) -> Model:
@@ -199,8 +199,6 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))]), F.col("l"))
     drawn = rows.where((F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1 << 20)) / float(1 << 20)) < share)
     words = drawn.select("l", F.explode(F.regexp_extract_all(F.lower("x"), F.lit(LETTERS_JVM), F.lit(0))).alias("w")).groupBy("l", "w").count()
-    from .common import materialize
-
     words = materialize(words, "words")
     probs = np.zeros((len(pieces) + 2, len(languages)))
     probs[:] = 1e-4 * np.array([0.25 ** (len(p.removeprefix(MARK)) < 2) for p in pieces] + [0.01, 0])[:, None]

@@ -10,8 +10,8 @@ component so far, which for a long document is after the first point of nearly a
 Texts that are equal share one representative from the start. Signatures are banded; in each bucket every member is
 tried with two pivots, the member with most neighbours over all buckets and a random one; what they link is
 contracted to components. Last, members outside a bucket's largest component are tried with the bucket's members of
-other components, where a bound allows it: shingles that no other member has cannot be shared, so the overlap is at
-most the lesser weight of the rest. A pair is made in its first common band only, and if enough signature bytes agree.
+other components, where a bound allows it: shingles that no other component has cannot be shared, so the overlap is
+at most the lesser weight of the rest. A pair is made in its first common band only, and if enough signature bytes agree.
 So the pairs of a large group of half-alike texts are not made. Tries are verified on whole multisets: the links
 between different texts that a bucket holds are verified, implied or excluded. Components come from star contraction.
 
@@ -29,16 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release_shuffles
+from .common import materialize, release_shuffles, worker_cache
 from .graph import components
 from .secrets import text_buffers
 
 WORDS, SIMILARITY = 5, 0.8
 #: 26 bands of 5: a pair at similarity 0.8 shares a band with probability 1 - (1 - 0.8**5)**26 > 0.9999.
 BANDS, ROWS = 26, 5
-#: Components whose low bytes are compared before texts are (seven to a long), and how many must agree: at similarity
-#: 0.8 it is 101 with a deviation of 4.5, so a pair is lost here with probability below 1e-5.
-COMPARED, AGREEING = 126, 80
+#: A longer signature for texts that are left to compare across components: its components, and how many must agree. At
+#: similarity 0.8 it is 403 with a deviation of 9, so a pair is lost here with probability below 1e-5.
+COMPARED, AGREEING = 504, 361
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -148,8 +148,9 @@ def _text_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarr
     return text_buffers(batch.column(batch.schema.get_field_index(name)))
 
 
-def _parts(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with a bounded number of text bytes, one row at least."""
+    worker_cache("neardups")
     sizes = sum(np.diff(_text_column(batch, c)[1]) for c in batch.schema.names if pa.types.is_string(batch.schema.field(c).type) or pa.types.is_large_string(batch.schema.field(c).type))
     at, n = 0, len(sizes)
     while at < n:
@@ -159,26 +160,40 @@ def _parts(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatc
 
 
 def band_keys(texts: DataFrame) -> DataFrame:
-    """(id, bands: array of band hashes, sig: low bytes of the components, seven to a long) of (id, text)."""
+    """(id, bands: array of band hashes) of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _parts(whole):
                 data, offsets = _text_column(batch, "text")
                 doc, shingle, count = multisets(data, offsets)
-                sign = signatures(doc, shingle, count, batch.num_rows)
+                sign = signatures(doc, shingle, count, batch.num_rows).reshape(batch.num_rows, BANDS, ROWS)
                 some = np.bincount(doc, minlength=batch.num_rows) > 0
-                low = np.zeros((int(some.sum()), COMPARED // 7, 8), dtype=np.uint8)
-                low[:, :, :7] = (mix(sign[some][:, :COMPARED]) & _U(0xFF)).reshape(len(low), COMPARED // 7, 7)
-                sign = sign.reshape(batch.num_rows, BANDS, ROWS)
                 with np.errstate(over="ignore"):
                     h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sign.shape[:2])
                     for r in range(ROWS):
                         h = mix(h * _U(_ODD) + sign[:, :, r])
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy(zero_copy_only=False)[some]), lists(h[some].view(np.int64)), lists(low.reshape(len(low), -1).view(np.int64))], ["id", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy(zero_copy_only=False)[some]), _lists(h[some].view(np.int64))], ["id", "bands"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, bands array<long>, sig array<long>")
+    return texts.select("id", "text").mapInArrow(run, "id long, bands array<long>")
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def long_signatures(texts: DataFrame) -> DataFrame:
+    """(id, sig: low bytes of ``COMPARED`` components, seven to a long) of (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _parts(whole, 1 << 20):
+                sign = signatures(*multisets(*_text_column(batch, "text")), batch.num_rows, COMPARED)
+                low = np.zeros((batch.num_rows, COMPARED // 7, 8), dtype=np.uint8)
+                low[:, :, :7] = (mix(sign) & _U(0xFF)).reshape(len(low), COMPARED // 7, 7)
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(low.reshape(len(low), -1).view(np.int64))], ["id", "sig"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, sig array<long>")
 
 
 def first_common(a: str, b: str, band: str) -> str:
@@ -190,28 +205,27 @@ def first_common(a: str, b: str, band: str) -> str:
 def alike(a: str, b: str) -> str:
     """SQL: whether enough low bytes agree. x ^ y has a zero byte where they do; those of seven are counted at once."""
     low, high = f"{0x7F7F7F7F7F7F7F}L", f"{0x80808080808080}L"
-    equal = lambda x: f"bit_count(~((({x}) & {low}) + {low} | ({x}) | {low}) & {high})"
-    return " + ".join(equal(f"{a}[{i}] ^ {b}[{i}]") for i in range(COMPARED // 7)) + f" >= {AGREEING}"
+    equal = f"zip_with({a}, {b}, (x, y) -> bit_count(~(((x ^ y) & {low}) + {low} | (x ^ y) | {low}) & {high}))"
+    return f"aggregate({equal}, 0, (n, k) -> n + k) >= {AGREEING}"
 
 
 def shareable(texts: DataFrame) -> DataFrame:
-    """(id, n: number of shingles, c: number of those that another of the texts has too).
+    """(id, n: number of shingles, c: number of those that a text of another root has too) of (id, text, root).
 
-    One combined aggregate over shingle hashes; only shingles of a single text go on, as one number a text.
+    A combined aggregate over shingle hashes keeps the shingles of several roots; a plain join counts them by text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _parts(whole):
                 doc, shingle, count = multisets(*_text_column(batch, "text"))
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(shingle.view(np.int64)), pa.array(count.astype(np.int32))], ["id", "h", "w"])
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(shingle.view(np.int64)), pa.array(count.astype(np.int32))], ["id", "root", "h", "w"])
 
-    rows = texts.select("id", "text").mapInArrow(run, "id long, h long, w int")
-    alone = rows.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("other"), F.sum("w").alias("w"))
-    own = alone.groupBy("id").agg(F.sum("w").alias("all"), F.sum(F.when(F.col("id") == F.col("other"), F.col("w")).otherwise(0)).alias("own"))
-    total = texts.select("id", F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) - (WORDS - 1)).cast("long").alias("n"))
-    return total.join(own.select("id", "own"), "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
+    rows = materialize(texts.select("id", "text", "root").mapInArrow(run, "id long, root long, h long, w int"), "shingles")
+    common = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
+    some = rows.join(common, "h", "left_semi").groupBy("id").agg(F.sum("w").alias("c"))
+    return rows.groupBy("id").agg(F.sum("w").alias("n")).join(some, "id", "left").select("id", "n", F.coalesce("c", F.lit(0)).alias("c"))
 
 
 def overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -275,11 +289,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     sizes = held.groupBy("band", "root").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     held = materialize(held.join(mixed.select("band", "main"), "band"), "held")
-    bounds = materialize(shareable(texts.join(held.select("id").distinct(), "id", "left_semi")), "bounds")
+    left = materialize(texts.join(held.select("id", "root").distinct(), "id").select("id", "text", "root"), "left")
+    bounds = shareable(left).where(F.col("c") >= SIMILARITY * F.col("n") - 1e-9)
     # a text links with none if even a text of just its shared part would be too far away
-    sketches = keys.groupBy("id").agg(F.min(F.struct("bands", "sig")).alias("s"))
-    bounds = bounds.where(F.col("c") >= SIMILARITY * F.col("n") - 1e-9).join(sketches, "id")
-    held = materialize(held.join(bounds.select("id", "n", "c", F.col("s.bands").alias("bands"), F.col("s.sig").alias("sig")), "id"), "held")
+    bounds = bounds.join(keys.groupBy("id").agg(F.min("bands").alias("bands")), "id").join(long_signatures(left), "id")
+    held = materialize(held.join(materialize(bounds, "bounds"), "id"), "held")
     outside = held.where("root <> main").select("band", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("bands").alias("bands_x"), F.col("sig").alias("sig_x"))
     apart = (F.col("root") != F.col("rx")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("x")))
     most = F.least("c", "cx")  # of the overlap

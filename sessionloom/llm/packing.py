@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, worker_cache
 
 SIZE = 4096
 END_ID = 2
@@ -103,14 +103,12 @@ class WordTokenizer:
         return out
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
     """The worker's own tokenizer of that file."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    cache = worker_cache("packing")
+    if path not in cache:
+        cache[path] = WordTokenizer(path)
+    return cache[path]
 
 
 def default_tokenizer() -> str:
