@@ -104,7 +104,7 @@ def redact_patterns(text: Column, patterns: Iterable[tuple[str, str, bool]]) ->
 _STOP = r"""\s"',}\])"""
 _LEAD = r"""(^|[\s"'(\[{=,:])"""
 _END = rf"(?=$|[{_STOP}])"
-#: Local paths by where they start; each form is tried with blanks inside (ending in an extension), then without.
+#: Local paths by where they start; each form is tried with blanks inside (ending in an extension), then without.
 PATHS = (
     (r"\bfile://[^=\r\n\"',}\])]*\.[A-Za-z0-9][A-Za-z0-9._-]*" + _END, PATH_MARK),
     (rf"\bfile://[^{_STOP}]+", PATH_MARK),
