@@ -48,9 +48,18 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]+", 16),
 )
+#: A private key from its header to the END line. Where that is missing, to the end of the body: header fields, runs of
+#: 16 base64 characters or more, and one shorter last line. Newlines may be written as escapes.
+_BREAK = r"(?:\r?\n|(?:\\r)?\\n)"
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"(?:[^-]*(?:-(?!----)[^-]*)*-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    rf"|(?:[ \t]*{_BREAK}[ \t]*(?:Proc-Type|DEK-Info|Comment|Version|Charset|Hash):[^\n\\]*)*(?:(?:\s|\\[nrt])+[A-Za-z0-9+/=]{{16,}})*"
+    rf"(?:[ \t]*{_BREAK}[ \t]*[A-Za-z0-9+/=]+(?=[ \t]*(?:{_BREAK}|\Z)))?)"
+)
 #: Published shapes of vendor credentials, added by the method.
 EXTRA_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),

@@ -84,6 +84,28 @@ def test_secrets_keep_extra_and_clashing_columns(docs):
     assert out.columns[-1] == "secret_spans" and "a b" in out.columns and out.count() == len(corpus())
 
 
+def test_private_keys_go_whole(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "aB3+/xYz" * 6] * 3 + ["qUj7=="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    whole = f"{begin}\n{body}\n{end}"
+    sealed = f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}"
+    texts = [
+        (f"one {whole} two {whole} three", "one [SECRET] two [SECRET] three"),
+        (f"cut {begin}\n{body}\nThe text goes on here.", "cut [SECRET]\nThe text goes on here."),
+        (f"cut {begin}\n{body}\nPlain words.\n{whole} end", "cut [SECRET]\nPlain words.\n[SECRET] end"),
+        (f"{sealed}\n{end}.", "[SECRET]."),
+        (f"{sealed}\nThe text.", "[SECRET]\nThe text."),
+        ("env " + whole.replace("\n", "\\n") + " on", "env [SECRET] on"),
+        (begin + "\\r\\n" + body.replace("\n", "\\r\\n"), "[SECRET]"),
+        (f"{begin} {body.splitlines()[0]} and words", "[SECRET] and words"),
+        (f"the header {begin} is known", "the header [SECRET] is known"),
+    ]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, (t, _) in enumerate(texts)], SCHEMA)
+    assert by_id(secrets.mask_secrets(df), "text") == {i: want for i, (_, want) in enumerate(texts)}
+    spans = by_id(secrets.find_secrets(df), "secret_spans")
+    assert [(s["start"], s["end"]) for s in spans[0] if s["kind"] == "private_key"] == [(4, 4 + len(whole)), (9 + len(whole), 9 + 2 * len(whole))]
+
+
 # 2 ---------------------------------------------------------------------------------------------------------
 def test_fingerprints_against_sets(docs, none):
     cut = re.compile(rf"[^\n]{{1,{fingerprints.PARAGRAPH}}}[^\n.!?]*[.!?]*")
