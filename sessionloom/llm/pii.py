@@ -8,7 +8,7 @@ lines, is a disclosing term; where it stands on a line with an entity of that ki
 ``term`` and is generalised (or removed) like the entity. Probabilities are counts over the lines of all texts.
 
 Every step is an aggregate or an equi-join on data that Spark partitions: term counts are combined before the
-shuffle, so a very frequent word is one row per task, and only lines with an entity are joined to terms.
+shuffle, so a very frequent word is one row per task, and the distinct words of a text are joined to the terms.
 
 Defined cases: a null text is empty; repeated rows keep their own spans (rows are told apart by position, not by
 id); an empty table gives an empty result; extra columns are kept by :func:`sanitize`.
@@ -93,10 +93,9 @@ def entity_lines(text: str, spans: str) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """row (a number for each row), id, base spans and entity lines; written to the shared scratch folder."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("spans", base_spans("text")).withColumn("lines", entity_lines("text", "spans"))
-    return materialize(rows.select("row", "id", "spans", "lines"), "entities")
+    """row (a number for each row), id, text, base spans and entity lines; written to the shared scratch folder."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    return materialize(rows.withColumn("spans", base_spans("text")).withColumn("lines", entity_lines("text", "spans")), "entities")
 
 
 def disclosing_terms(docs: DataFrame, scanned: DataFrame, text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -115,30 +114,42 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, text: str = "text", di
     return rows.where(F.col("revealed") >= disclosure).select("term", "kind", "pmi", "revealed")
 
 
+def term_spans(text: str, terms: str) -> Column:
+    """The places of the words of ``terms`` in a text, as spans by start; only these are collected on the way."""
+    p = _quoted(TERM)
+    walk = (
+        f"aggregate(sequence(0, size(f.ms) - 1), cast(named_struct('at', 0, 'out', array()) as STRUCT<at: INT, out: {_SPAN}>), "
+        "(a, i) -> transform(array(a.at + length(f.ps[i])), s -> named_struct('at', s + length(f.ms[i]), 'out', "
+        f"if(array_contains({terms}, lower(f.ms[i])), array_append(a.out, named_struct('kind', 'term', 'start', s, 'end', s + length(f.ms[i]))), a.out)))[0], a -> a.out)"
+    )
+    found = f"transform(array(named_struct('ms', regexp_extract_all({text}, {p}, 0), 'ps', split({text}, {p}, -1))), f -> {walk})[0]"
+    return F.expr(f"if({terms} IS NULL, cast(array() as {_SPAN}), {found})")
+
+
 def all_spans(scanned: DataFrame, terms: DataFrame) -> DataFrame:
-    """row, id, base spans and ``terms``: the spans of disclosing terms by start."""
-    lines = scanned.select("row", F.explode("lines").alias("l"))
-    found = lines.select("row", "l.kinds", F.col("l.start").alias("at"), F.explode(F.expr(matches("l.line", TERM))).alias("w"))
-    words = found.select("row", F.explode("kinds").alias("kind"), F.lower("w.m").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
-    hits = words.join(terms.select("term", "kind"), ["term", "kind"], "left_semi").select("row", "start", "end").distinct()
-    hits = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
-    rows = scanned.select("row", "id", "spans").join(hits, "row", "left")
+    """row, id, base spans and ``terms``: the spans of disclosing terms, wherever they stand in any text, by start.
+
+    The distinct words of each text meet the terms first, so only texts that hold a term are searched for places.
+    """
+    terms = materialize(terms.select("term").distinct(), "terms")  # its size is known to the join
+    words = scanned.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    held = words.join(terms, "term", "left_semi").groupBy("row").agg(F.collect_list("term").alias("held"))
+    rows = scanned.select("row", "id", "text", "spans").join(materialize(held, "held"), "row", "left")
+    rows = rows.select("row", "id", "spans", term_spans("text", "held").alias("terms"))
     # a term inside an entity (a part of an address) is covered by the entity already
-    kept = F.expr("filter(coalesce(terms, cast(array() as ARRAY<STRUCT<kind: STRING, start: INT, end: INT>>)), t -> NOT exists(spans, s -> s.start < t.end AND t.start < s.end))")
-    return rows.withColumn("terms", F.array_sort(kept))
+    return rows.withColumn("terms", F.expr("filter(terms, t -> NOT exists(spans, s -> s.start < t.end AND t.start < s.end))"))
 
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, remove: bool = False) -> DataFrame:
     """``docs`` with entities replaced by ``[kind]`` and disclosing terms generalised to ``[term]`` or removed.
 
-    Texts without entities are unchanged. The text is joined to its spans by a row number that is fixed by writing
+    Texts without either are unchanged. The text is joined to its spans by a row number that is fixed by writing
     the numbered rows first.
     """
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     spans = rows.select(F.col("_row").alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    spans = spans.withColumn("spans", base_spans("text")).withColumn("lines", entity_lines("text", "spans")).select("row", "id", "spans", "lines")
-    scanned = materialize(spans, "entities")
-    found = all_spans(scanned, disclosing_terms(docs, scanned, text, disclosure, support)).where("size(spans) > 0")
+    scanned = materialize(spans.withColumn("spans", base_spans("text")).withColumn("lines", entity_lines("text", "spans")), "entities")
+    found = all_spans(scanned, disclosing_terms(scanned, scanned, "text", disclosure, support)).where("size(spans) > 0 OR size(terms) > 0")
     both = found.select(F.col("row").alias("_row"), F.expr("array_sort(transform(concat(spans, terms), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))").alias("_all"))
     joined = rows.join(both, "_row", "left")
     shown = "if(s.kind = 'term', '', concat('[', s.kind, ']'))" if remove else "concat('[', s.kind, ']')"

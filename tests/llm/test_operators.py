@@ -295,6 +295,20 @@ def test_terms_that_reveal_an_entity_are_generalised(spark):
     assert "[term] [email]" in clean[0]
 
 
+def test_terms_are_generalised_wherever_they_stand(spark):
+    rng = random.Random(6)
+    rows = [(i, f"{sentence(rng, 8)}\nZorbanax {i}@mail.org {sentence(rng, 2)}" if i % 4 == 0 else sentence(rng, 12), None, None, 0) for i in range(80)]
+    rows += [(80, "Tell Zorbanax\nthat 80@mail.org zorbanax\nand ZORBANAX go", None, None, 0), (81, "é zorbanax, no address; Zorbanaxes", None, None, 0), (82, None, None, None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    report = {r["doc_id"]: r for r in pii.pii_report(df).collect()}
+    assert report[80]["spans"] == "email:19:30,term:5:13,term:31:39,term:44:52"
+    assert (report[81]["spans"], report[81]["n_term"], report[82]["n_term"]) == ("term:2:10", 1, 0)
+    clean = by_id(pii.sanitize(df), "text")
+    assert clean[80] == "Tell [term]\nthat [email] [term]\nand [term] go"
+    assert clean[81] == "é [term], no address; Zorbanaxes" and clean[82] is None
+    assert all(clean[i] == t for i, t, *_ in rows[:80] if i % 4)
+
+
 # 9 ---------------------------------------------------------------------------------------------------------
 def test_main_text(spark):
     body = "<p>First <b>bold</b>&amp; more\n text, and it goes on for a while.<p>Second<br>line &eacute; here, also long enough to count.</p>"
