@@ -38,6 +38,13 @@ OUTSIDE = frozenset("nav aside footer header form menu dialog button figure".spl
 MAIN = frozenset("article main".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.DOTALL)
+#: Raw elements that run to the end of the page when they are not closed; the tag's own slash does not close them.
+SWALLOWS = frozenset("script style".split())
+#: For each other raw element its tags, past comments, scripts and styles.
+PAIRED = {
+    tag: re.compile(rf"""<!--.*?(?:-->|\Z)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\b[^>]*>|\Z)|<(/?){tag}(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL | re.IGNORECASE)
+    for tag in RAW - SWALLOWS
+}
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 SPACES = re.compile(r"\s+")
 
@@ -50,12 +57,32 @@ class Block(NamedTuple):
     linked: int
 
 
+def raw_ends(page: str, tag: str) -> dict[int, int]:
+    """For each closed element of a raw tag, where its opening tag starts and its closing tag ends. Elements that close
+    themselves or are never closed are absent."""
+    ends: dict[int, int] = {}
+    opened: list[int] = []
+    for m in PAIRED[tag].finditer(page):
+        if m[2] is None:
+            continue
+        if not m[1]:
+            if not m[2].endswith("/"):
+                opened.append(m.start())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
-    """The page's leaf blocks in order; comments, scripts, styles and other raw elements hold none."""
+    """The page's leaf blocks in order; comments, scripts, styles and other raw elements hold none.
+
+    A raw element that closes itself or has no closing tag holds nothing; only scripts and styles then run to the end.
+    """
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[tuple[str, bool]] = []
     page = page or ""
+    raw: dict[str, dict[int, int]] = {}
 
     def close() -> None:
         if parts:
@@ -81,8 +108,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
             parts.append((" ", False))
             continue
         if tag in RAW and not closing:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+            if tag in SWALLOWS:
+                end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+                at = end.end() if end else len(page)
+            else:
+                if tag not in raw:
+                    raw[tag] = raw_ends(page, tag)
+                at = raw[tag].get(m.start(), at)
             close()
             continue
         if tag in INLINE:
@@ -119,7 +151,7 @@ def features(block: Block, hidden: bool = False) -> list[str]:
     out.append(f"linked={min(4, 5 * block.linked // max(n, 1))}")
     out.append(f"sentence={text[-1:] in '.!?…' and n > 60}")
     out.append(f"commas={min(text.count(','), 3)}")
-    low = text[:200].lower()
+    low = text.lower()
     out += [f"says={w}" for w in ("©", "copyright", "cookie", "subscribe", "reply", "advert", "sign in", "privacy") if w in low]
     return out
 
@@ -228,13 +260,13 @@ def fit(pages: DataFrame, id_col: str = "page_id", html: str = "html", sample: i
     The sample is taken by hash, so reruns agree. Pages without ``article`` or ``main`` cannot label themselves.
     """
     marked = pages.where(F.col(html).rlike(r"(?i)<(article|main)\b"))
-    share = min(1.0, 3 * sample / max(1, pages.count()))
+    share = min(1.0, 3 * sample / max(1, marked.count()))
     draw = F.xxhash64(F.col(id_col), F.lit(17))
     drawn = marked.where(F.pmod(draw, F.lit(1 << 20)) < share * (1 << 20))  # so that few rows compete for the limit
     rows = drawn.select(html).orderBy(draw, F.col(id_col)).limit(sample).toPandas()[html]
     labelled = _seeds()
     for i, page in enumerate(rows):
-        blocks = leaf_blocks(page)[:400]
+        blocks = leaf_blocks(page)
         labelled.append((blocks, markup_labels(blocks), i % 2 == 1))
     return train(labelled)
 

@@ -321,6 +321,30 @@ def test_main_text(spark):
     assert html.main_text_report(df.limit(0)).count() == 0
 
 
+def test_raw_elements_without_an_end_keep_the_text():
+    texts = lambda page: [b.text for b in html.leaf_blocks(page)]
+    for tag in ("<svg width='1' />", "<math/>", "<object data=x />", "<iframe/>", "<select>", "<svg>", "<textarea>", "<noscript>"):
+        assert texts(f"<p>one</p>{tag}<p>two</p><p>three</p>") == ["one", "two", "three"], tag
+    assert texts("<p>one</p><svg/><p>two</p><svg><title>t</title>x</svg><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>one</p><svg><p>two</p><svg>x</svg><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>one</p><svg>a<svg>b</svg>c<!-- <svg> --></svg><SELECT><option>d</SELECT ><p>two</p>") == ["one", "two"]
+    assert texts("<title>a <b </title><p>one</p><script src=x /><p>no</p></script><p>two</p><style><p>no</p>") == ["one", "two"]
+
+
+def test_block_words_are_sought_in_the_whole_block():
+    assert "says=copyright" in html.features(html.Block("word " * 100 + "copyright", (), 0))
+
+
+def test_training_pages_are_whole_and_counted_among_the_marked(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(html, "train", lambda labelled: seen.extend(labelled))
+    long = "<article>" + "<p>Some words.</p>" * 500 + "</article>"
+    rows = [(i, long if i % 20 == 0 else "<p>x</p>") for i in range(2000)]
+    html.fit(spark.createDataFrame(rows, "page_id long, html string"), sample=20)
+    drawn = seen[len(html._seeds()) :]
+    assert len(drawn) == 20 and all(len(blocks) == 500 for blocks, _, _ in drawn)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     for _ in range(20):
