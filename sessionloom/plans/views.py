@@ -74,8 +74,8 @@ def workspace_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nested_detail(spark: SparkSession, sf: str) -> DataFrame:
-    """Each user's first ten intervals with the kinds of their events."""
-    rows = intervals.labelled(views.raw_events(views.table(spark, sf, "events")), ["occurred_at", "raw_event_id"]).where("interval_ordinal < 10")
+    """Each user's intervals with the kinds of their events."""
+    rows = intervals.labelled(views.raw_events(views.table(spark, sf, "events")), ["occurred_at", "raw_event_id"])
     turns = rows.select("session_id", "interval_ordinal", F.col("raw_event_id").alias("ordinal"), F.col("hook").alias("label"))
     return sessions.nested_detail(rows.select("session_id", "interval_ordinal").distinct(), turns)
 

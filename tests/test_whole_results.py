@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from sessionloom.plans import events
+from sessionloom.plans import events, views
 
 KINDS = ("signup", "view", "click", "purchase", "error")
 
@@ -31,3 +31,11 @@ def test_every_event_is_a_review(spark, folder):
         want[action, means.get(action), refused] += 1
     got = {(r["action"], r["event_type"], r["refused"]): r["n"] for r in events.claim_reviews(spark, folder).collect()}
     assert got == want and sum(got.values()) == 100
+
+
+def test_all_intervals_are_nested(spark, folder):
+    hooks = {"purchase": "Stop", "signup": "SessionStart"}
+    got = {r["session_id"]: (r["n_intervals"], r["detail"]) for r in views.nested_detail(spark, folder).collect()}
+    for user in range(4):
+        kinds = [KINDS[i % 3 + 1] for i in range(user, 100, 4)]
+        assert got[str(user)] == (25, ";".join(f"{k}={hooks.get(kind, 'UserPromptSubmit')}" for k, kind in enumerate(kinds)))
