@@ -198,11 +198,16 @@ def analyzed(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))
 
 
-def trigrams(text: Column) -> Column:
-    """The set of padded word trigrams."""
+def ordered_trigrams(text: Column) -> Column:
+    """The padded word trigrams in their order."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
     grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
-    return F.array_distinct(F.flatten(grams))
+    return F.flatten(grams)
+
+
+def trigrams(text: Column) -> Column:
+    """The set of padded word trigrams."""
+    return F.array_distinct(ordered_trigrams(text))
 
 
 def similarity(a: Column, b: Column) -> Column:

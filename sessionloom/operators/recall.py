@@ -25,22 +25,50 @@ def top(hits: DataFrame, limit: int, order: list) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit)
 
 
+def word_similarity(query: list[str], text: list[str]) -> float:
+    """The greatest Jaccard similarity of the query's trigrams to a window of the text's ordered trigrams.
+
+    A best window starts at a trigram of the query. A trigram counts in a window where it has no earlier place there.
+    """
+    asked, last = set(query), {}
+    before, inside = np.empty(len(text), dtype=np.int64), np.empty(len(text), dtype=bool)
+    for i, t in enumerate(text):
+        before[i], inside[i] = last.get(t, -1), t in asked
+        last[t] = i
+    best, starts = 0.0, np.flatnonzero(inside)
+    step = max(1, (1 << 20) // max(1, len(text)))
+    for at in range(0, len(starts), step):
+        first = starts[at : at + step, None]
+        new = (before[None, :] < first) & (np.arange(len(text))[None, :] >= first)
+        both = np.cumsum(new & inside[None, :], axis=1)
+        best = max(best, float((both / (len(asked) + np.cumsum(new, axis=1) - both)).max()))
+    return best
+
+
 def trigram_hits(segments: DataFrame, queries: DataFrame, least: float = 0.3) -> DataFrame:
     """(query_id, segment_id, trigram) at or above the threshold, through an inverted trigram index.
 
-    A pair must share ceil(least * |query|) trigrams, so one of the query's rarest |query| - that + 1 trigrams; only
-    those are looked up, which keeps very common trigrams out of the join.
+    The score is the greater of similarity and word similarity, which is the latter: the whole text is a window too.
+    By either a pair must share ceil(least * |query|) trigrams, so one of the query's rarest |query| - that + 1
+    trigrams; only those are looked up, which keeps very common trigrams out of the join.
     """
-    grams = segments.select("segment_id", T.trigrams(F.col("text")).alias("g"))
-    posted = grams.select("segment_id", F.explode("g").alias("t"))
+    grams = segments.select("segment_id", T.ordered_trigrams(F.col("text")).alias("g"))
+    posted = grams.select("segment_id", F.explode(F.array_distinct("g")).alias("t"))
     spread = posted.groupBy("t").agg(F.count("*").alias("df"))
     asked = queries.select("query_id", T.trigrams(F.col("query")).alias("q"))
     each = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("t")).join(spread, "t", "left")
     ordered = each.groupBy("query_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("o"))
     rare = ordered.select("query_id", F.explode(F.slice("o", 1, F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)).alias("x")).select("query_id", F.col("x.t").alias("t"))
     pairs = posted.join(rare, "t").select("query_id", "segment_id").distinct()
-    both = pairs.join(asked, "query_id").join(grams, "segment_id").withColumn("trigram", T.similarity(F.col("q"), F.col("g")))
-    return both.where(F.col("trigram") >= least).select("query_id", "segment_id", "trigram")
+    both = pairs.join(asked, "query_id").join(grams, "segment_id").where(F.size(F.array_intersect("q", "g")) / F.size("q") >= least)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_similarity(q, g) for q, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["query_id", "segment_id", "trigram"])
+
+    kinds = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in ("query_id", "segment_id"))
+    return both.select("query_id", "segment_id", "q", "g").mapInArrow(score, f"{kinds}, trigram double").where(F.col("trigram") >= least)
 
 
 def lexical_hits(segments: DataFrame, queries: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def _titles(spark: SparkSession, sf: str) -> DataFrame:
 def trigram_recall(spark: SparkSession, sf: str) -> DataFrame:
     titles = _titles(spark, sf)
     queries = titles.where("segment_id % 50 = 0").select(F.col("segment_id").alias("query_id"), F.col("text").alias("query"))
-    hits = recall.trigram_hits(titles, queries, 0.5).where("query_id <> segment_id")
+    hits = recall.trigram_hits(titles, queries).where("query_id <> segment_id")
     return recall.top(hits, 10, [F.col("trigram").desc(), "segment_id"]).select("query_id", "segment_id", "trigram", F.col("rank").cast("long").alias("rank"))
 
 
@@ -56,12 +56,12 @@ def hybrid_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Titles with the vector of the same number: word share, trigram similarity and cosine in one score."""
     titles = _titles(spark, sf)
     queries = titles.where("segment_id % 50 = 0").select(F.col("segment_id").alias("query_id"), F.col("text").alias("query"))
-    trigram = recall.trigram_hits(titles, queries, 0.5)
+    trigram = recall.trigram_hits(titles, queries)
     words = titles.select("segment_id", F.explode(F.array_distinct(T.analyzed(F.col("text")))).alias("t"))
     asked = queries.select("query_id", F.array_distinct(T.analyzed(F.col("query"))).alias("a")).select("query_id", F.size("a").alias("k"), F.explode("a").alias("t"))
     lexical = asked.join(words, "t").groupBy("query_id", "segment_id", "k").agg(F.count("*").alias("n")).where("n = k").select("query_id", "segment_id", F.lit(1.0).alias("lexical"))
     vectors = views.table(spark, sf, "embeddings")
-    near = recall.knn(vectors, vectors.where("vec_id % 50 = 0"), 10, 64).select("query_id", F.col("vec_id").alias("segment_id"), F.col("score").alias("vector"))
+    near = recall.knn(vectors, vectors.where("vec_id % 50 = 0"), 50, 64).select("query_id", F.col("vec_id").alias("segment_id"), F.col("score").alias("vector"))
     hits = recall.hybrid(lexical, trigram, near)
     return recall.top(hits, 10, [F.round("score", 6).desc(), "segment_id"]).select("query_id", "segment_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 

@@ -1,11 +1,14 @@
 """Queries that take all rows, against brute force on small tables."""
 
 import datetime
+import random
+import re
 from collections import Counter
 
 import pytest
 
-from sessionloom.plans import events, views
+from sessionloom.operators import recall
+from sessionloom.plans import events, retrieval, views
 
 KINDS = ("signup", "view", "click", "purchase", "error")
 
@@ -39,3 +42,36 @@ def test_all_intervals_are_nested(spark, folder):
     for user in range(4):
         kinds = [KINDS[i % 3 + 1] for i in range(user, 100, 4)]
         assert got[str(user)] == (25, ";".join(f"{k}={hooks.get(kind, 'UserPromptSubmit')}" for k, kind in enumerate(kinds)))
+
+
+def ordered(text):
+    return [f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", text.lower()) for i in range(len(w) + 1)]
+
+
+def windows(query, text):
+    q, g = set(ordered(query)), ordered(text)
+    return max((len(q & set(g[i:j])) / len(q | set(g[i:j])) for i in range(len(g)) for j in range(i + 1, len(g) + 1)), default=0.0)
+
+
+def test_word_similarity_takes_the_best_window(spark):
+    rng = random.Random(7)
+    words = ["red", "reed", "green", "greed", "blue", "bluer", "tin", "tint"]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randrange(7))) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "segment_id long, text string")
+    asked = df.where("segment_id < 12").selectExpr("segment_id AS query_id", "text AS query")
+    got = {(r["query_id"], r["segment_id"]): r["trigram"] for r in recall.trigram_hits(df, asked).collect()}
+    want = {(a, b): s for a in range(12) for b in texts if texts[a] and (s := windows(texts[a], texts[b])) >= 0.3}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_fusion_has_fifty_vector_candidates(spark, tmp_path):
+    """Query 0 meets titles 1 to 20 by trigrams; their vectors rank 21 to 40, after those of unlike titles."""
+    rows = [(0, "amber lamp", "")] + [(i, f"amber lamp shade{i}" if i <= 20 else f"zzz{i}", "") for i in range(1, 41)]
+    near = [(0, [1.0] + [0.0] * 63)] + [(i, [1.0, (0.02 * i if i > 20 else 1 + 0.02 * i)] + [0.0] * 62) for i in range(1, 41)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(f"file://{tmp_path}/part.parquet")
+    spark.createDataFrame(near, "vec_id long, embedding array<float>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    hits = {r["segment_id"]: r["score"] for r in retrieval.hybrid_recall(spark, f"file://{tmp_path}").where("query_id = 0 AND segment_id > 0").collect()}
+    assert len(hits) == 10
+    for i, score in hits.items():
+        y = near[i][1][1]
+        assert i <= 20 and score == pytest.approx(1 + 0.35 * windows("amber lamp", rows[i][1]) + 0.75 / (1 + y * y) ** 0.5, abs=1e-5)
