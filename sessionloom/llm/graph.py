@@ -24,7 +24,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): the least node reachable. Nodes without an edge are absent.
 
-    Every round is written to the shared scratch folder; the loop ends when a round changes nothing.
+    Every round is written to the shared scratch folder; the loop ends when a round changes nothing. It is
+    an error if none of ``rounds`` rounds does so.
     """
     spark = edges.sparkSession
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -37,5 +38,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not converge in {rounds} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

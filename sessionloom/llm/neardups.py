@@ -3,7 +3,7 @@
 A document is the multiset of its five-word shingles. Its signature has ``BANDS * ROWS`` components, each the
 least point of a Poisson process over the (shingle, weight) plane below the multiset's counts, so that two
 documents agree in a component with probability equal to their weighted Jaccard similarity
-sum(min) / sum(max). Processes are hierarchical over the discretised weights: the unit levels of a count are
+sum(min) / sum(max). There is no hierarchy over the discretised weights: the unit levels of a count are
 independent processes whose points are generated in rising order and dropped as soon as they exceed the largest
 component so far, which for a long document is after the first point of nearly all of them.
 

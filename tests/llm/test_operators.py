@@ -196,6 +196,12 @@ def test_components(spark):
     assert got == brute.classes([e for e in edges if e[0] != e[1]], nodes)
 
 
+def test_components_that_do_not_converge_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError, match="converge"):
+        graph.components(chain, rounds=1)
+
+
 # 5 ---------------------------------------------------------------------------------------------------------
 def test_mix_keeps_targets_and_limits(docs, none):
     rows = mixing.mixing_report(docs).collect()
