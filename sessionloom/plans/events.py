@@ -238,7 +238,7 @@ ORACLES = {
     "claim_evidence": f"WITH RECURSIVE {_CLAIMS} SELECT claim_key, count(*) FILTER (event_type = 'contradicted') AS n_against, count(DISTINCT occurred_at::DATE) FILTER (event_type IN ('extracted', 'supported')) AS n_days FROM ce GROUP BY 1",
     "current_claims": f"WITH RECURSIVE {_CLAIMS} SELECT * FROM cc",
     "live_claims": f"WITH RECURSIVE {_CLAIMS} SELECT workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY confidence DESC, observed_at DESC, claim_key) AS rank, claim_key, state, confidence FROM cc WHERE state NOT IN ('rejected', 'superseded') QUALIFY rank <= 8",
-    "claim_reviews": f"""WITH RECURSIVE {_CLAIMS}, a AS (SELECT 'w' || (user_id % 4) AS workspace_id, user_id + 3 * (event_id % 20 // 10) AS claim_key, ['accept', 'reject', 'pin', 'promote', 'merge', 'noop'][event_id % 6 + 1] AS action FROM events WHERE event_id % 10 = 0),
+    "claim_reviews": f"""WITH RECURSIVE {_CLAIMS}, a AS (SELECT 'w' || (user_id % 4) AS workspace_id, user_id + 3 * (event_id % 20 // 10) AS claim_key, ['accept', 'reject', 'pin', 'promote', 'merge', 'noop'][event_id % 6 + 1] AS action FROM events),
       b AS (SELECT a.action, MAP {{'accept': 'supported', 'reject': 'rejected', 'pin': 'pinned', 'promote': 'promoted', 'merge': 'merged'}}[a.action] AS event_type, cc.state FROM a LEFT JOIN cc USING (workspace_id, claim_key))
       SELECT action, event_type, CASE WHEN state IS NULL THEN 'unknown_claim' WHEN action = 'promote' AND state IN ('rejected', 'superseded') THEN 'terminal_claim' WHEN event_type IS NULL THEN 'unknown_action' END AS refused, count(*) AS n FROM b GROUP BY ALL""",
     "canonical_users": "SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS canonical_id, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) = c_custkey AS is_canonical FROM customer",

@@ -128,7 +128,7 @@ ORACLES = {
     "claim_dedupe": "SELECT user_id AS claim_key, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1",
     "lineage_delete": f"WITH {session_plans._FIND}, {_LIN} SELECT conv_id::VARCHAR AS record_id, count(*) AS n_findings, count(*) AS n_evidence FROM fi WHERE conv_id NOT IN (SELECT conv_id FROM vio) AND conv_id NOT IN (SELECT node FROM lt WHERE lineage IN (SELECT lineage FROM lt WHERE node % 25 = 0)) GROUP BY 1",
     "workspace_snapshot": f"WITH RECURSIVE {events._CLAIMS}, s AS (SELECT 'w' || (user_id % 4) AS workspace_id, count(DISTINCT user_id) AS n_sessions, max(ts) AS last_event FROM events GROUP BY 1) SELECT s.*, n_live, n_pinned FROM s LEFT JOIN (SELECT workspace_id, count(*) FILTER (state NOT IN ('rejected', 'superseded')) AS n_live, count(*) FILTER (pinned) AS n_pinned FROM cc GROUP BY 1) USING (workspace_id)",
-    "nested_detail": f"WITH {events._LABELLED}, d AS (SELECT session_id, interval_ordinal, string_agg(hook, '+' ORDER BY raw_event_id) AS t FROM l3 WHERE interval_ordinal < 10 GROUP BY 1, 2) SELECT session_id, count(*) AS n_intervals, string_agg(interval_ordinal || '=' || t, ';' ORDER BY interval_ordinal) AS detail FROM d GROUP BY 1",
+    "nested_detail": f"WITH {events._LABELLED}, d AS (SELECT session_id, interval_ordinal, string_agg(hook, '+' ORDER BY raw_event_id) AS t FROM l3 GROUP BY 1, 2) SELECT session_id, count(*) AS n_intervals, string_agg(interval_ordinal || '=' || t, ';' ORDER BY interval_ordinal) AS detail FROM d GROUP BY 1",
     "source_turns": f"WITH {session_plans._PART}, e AS (SELECT DISTINCT a.conv_id AS source, a.conv_id + 1 AS target FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 5 <> 4) SELECT source, target, coalesce((SELECT min(turn) FROM tp WHERE conv_id = source AND part_type <> 'text' AND source % 3 = 0 AND call_id = source || '-1'), (SELECT min(turn) FROM tp WHERE conv_id = source AND source % 3 = 1 AND turn = 1), (SELECT min(turn) FROM tp WHERE conv_id = source)) AS source_turn FROM e",
     "refresh_sessions": "SELECT conv_id AS session_id, CASE WHEN conv_id % 4 = 2 THEN 'new' ELSE 'old' END AS title, CASE WHEN conv_id % 2 = 0 THEN count(*) ELSE min(turn) END AS n FROM conversations GROUP BY conv_id",
     "embedding_upsert": "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'v2' ELSE 'v1' END AS version FROM embeddings UNION ALL SELECT vec_id + 1000000, 'v2' FROM embeddings WHERE vec_id % 3 = 1",
