@@ -45,30 +45,64 @@ def word_similarity(query: list[str], text: list[str]) -> float:
     return best
 
 
-def trigram_hits(segments: DataFrame, queries: DataFrame, least: float = 0.3) -> DataFrame:
-    """(query_id, segment_id, trigram) at or above the threshold, through an inverted trigram index.
+def trigram_bounds(segments: DataFrame, queries: DataFrame, least: float = 0.3) -> DataFrame:
+    """(query_id, segment_id, low, high) of the pairs that can reach ``least``, through an inverted trigram index.
 
-    The score is the greater of similarity and word similarity, which is the latter: the whole text is a window too.
-    By either a pair must share ceil(least * |query|) trigrams, so one of the query's rarest |query| - that + 1
-    trigrams; only those are looked up, which keeps very common trigrams out of the join.
+    The trigram score is the greater of similarity and word similarity, which is the latter: the whole text is a window
+    too. So similarity bounds it from below, and the share of the query's trigrams that the text holds from above.
+    A pair must share ceil(least * |query|) trigrams, so one of the query's rarest |query| - that + 1 trigrams; only
+    those are looked up, which keeps very common trigrams out of the join.
     """
-    grams = segments.select("segment_id", T.ordered_trigrams(F.col("text")).alias("g"))
-    posted = grams.select("segment_id", F.explode(F.array_distinct("g")).alias("t"))
+    posted = segments.select("segment_id", F.explode(T.trigrams(F.col("text"))).alias("t"))
     spread = posted.groupBy("t").agg(F.count("*").alias("df"))
     asked = queries.select("query_id", T.trigrams(F.col("query")).alias("q"))
     each = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("t")).join(spread, "t", "left")
     ordered = each.groupBy("query_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("o"))
     rare = ordered.select("query_id", F.explode(F.slice("o", 1, F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)).alias("x")).select("query_id", F.col("x.t").alias("t"))
     pairs = posted.join(rare, "t").select("query_id", "segment_id").distinct()
-    both = pairs.join(asked, "query_id").join(grams, "segment_id").where(F.size(F.array_intersect("q", "g")) / F.size("q") >= least)
+    sides = pairs.join(asked, "query_id").join(segments.select("segment_id", T.trigrams(F.col("text")).alias("g")), "segment_id")
+    both = F.size(F.array_intersect("q", "g"))
+    rows = sides.select("query_id", "segment_id", (both / (F.size("q") + F.size("g") - both)).alias("low"), (both / F.size("q")).alias("high"))
+    return rows.where(F.col("high") >= least)
+
+
+def trigram_scores(pairs: DataFrame, segments: DataFrame, queries: DataFrame) -> DataFrame:
+    """``pairs`` (query_id, segment_id, ...) with ``trigram``, the exact score."""
+    asked = queries.select("query_id", T.trigrams(F.col("query")).alias("_q"))
+    both = pairs.join(asked, "query_id").join(segments.select("segment_id", T.ordered_trigrams(F.col("text")).alias("_g")), "segment_id")
+
+    names = pairs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [word_similarity(q, g) for q, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["query_id", "segment_id", "trigram"])
+            *columns, q, g = batch.columns
+            found = [word_similarity(x, y) if x and y else 0.0 for x, y in zip(q.to_pylist(), g.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], [*names, "trigram"])
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in pairs.columns)
+    return both.select(*pairs.columns, "_q", "_g").mapInArrow(score, f"{kinds}, trigram double")
 
-    kinds = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in ("query_id", "segment_id"))
-    return both.select("query_id", "segment_id", "q", "g").mapInArrow(score, f"{kinds}, trigram double").where(F.col("trigram") >= least)
+
+def hopeful(rows: DataFrame, limit: int, low: Column, high: Column, sure: Column | None = None) -> DataFrame:
+    """The rows that may be among the first ``limit`` of their query, given bounds of their scores.
+
+    The limit-th greatest lower bound (of rows that are ``sure`` to stay) is found with at most ``limit`` rows a query and task.
+    """
+    bar = rows.where(sure) if sure is not None else rows
+    bar = top(bar.select("query_id", low.alias("low")), limit, [F.col("low").desc()]).where(F.col("rank") == limit).select("query_id", F.col("low").alias("_bar"))
+    return rows.join(bar, "query_id", "left").where(F.col("_bar").isNull() | (high >= F.col("_bar") - 1e-9)).drop("_bar")
+
+
+def trigram_hits(segments: DataFrame, queries: DataFrame, limit: int | None = None, least: float = 0.3) -> DataFrame:
+    """(query_id, segment_id, trigram) of the hits at or above the threshold.
+
+    With ``limit``, a text's own query is left out and so is what cannot be among a query's first ``limit`` hits: exact
+    scores are computed only where the bounds leave a doubt.
+    """
+    rows = trigram_bounds(segments, queries, least)
+    if limit is not None:
+        rows = hopeful(rows.where("query_id <> segment_id"), limit, F.col("low"), F.col("high"))
+    return trigram_scores(rows.select("query_id", "segment_id"), segments, queries).where(F.col("trigram") >= least)
 
 
 def lexical_hits(segments: DataFrame, queries: DataFrame) -> DataFrame:
@@ -128,12 +162,21 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFrame:
     return top(near, k, [F.col("score").desc(), "vec_id"])
 
 
-def hybrid(lexical: DataFrame, trigram: DataFrame, vector: DataFrame) -> DataFrame:
-    """Hits that any of the three found, with lexical + 0.35 trigram + 0.75 vector."""
+def hybrid(segments: DataFrame, queries: DataFrame, lexical: DataFrame, vector: DataFrame, limit: int, least: float = 0.3) -> DataFrame:
+    """Hits by lexical + 0.35 trigram + 0.75 vector that may be among a query's first ``limit``.
+
+    A pair is a hit if it matches lexically, is a vector candidate, or reaches ``least`` by trigrams. Trigram bounds rule
+    out most pairs before exact scores are computed.
+    """
     key = ["query_id", "segment_id"]
-    rows = lexical.join(trigram, key, "full_outer").join(vector, key, "full_outer")
-    part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return rows.select(*key, *[part(c).alias(c) for c in ("lexical", "trigram", "vector")]).withColumn("score", F.col("lexical") + TRIGRAM_WEIGHT * F.col("trigram") + VECTOR_WEIGHT * F.col("vector"))
+    rows = trigram_bounds(segments, queries, least).join(lexical, key, "full_outer").join(vector, key, "full_outer")
+    part = lambda c, none=0.0: F.coalesce(F.col(c), F.lit(none))
+    listed = F.col("lexical").isNotNull() | F.col("vector").isNotNull()
+    rows = rows.select(*key, listed.alias("listed"), part("lexical").alias("lexical"), part("vector").alias("vector"), part("low").alias("low"), part("high", least).alias("high"))
+    score = lambda t: F.col("lexical") + TRIGRAM_WEIGHT * F.col(t) + VECTOR_WEIGHT * F.col("vector")
+    rows = hopeful(rows, limit, score("low"), score("high"), F.col("listed") | (F.col("low") >= least))
+    found = trigram_scores(rows.drop("low", "high"), segments, queries).where(F.col("listed") | (F.col("trigram") >= least))
+    return found.select(*key, "lexical", "trigram", "vector", score("trigram").alias("score"))
 
 
 def hit_snippet(text: str, needle: str) -> Column:

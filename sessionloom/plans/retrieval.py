@@ -17,7 +17,7 @@ def _titles(spark: SparkSession, sf: str) -> DataFrame:
 def trigram_recall(spark: SparkSession, sf: str) -> DataFrame:
     titles = _titles(spark, sf)
     queries = titles.where("segment_id % 50 = 0").select(F.col("segment_id").alias("query_id"), F.col("text").alias("query"))
-    hits = recall.trigram_hits(titles, queries).where("query_id <> segment_id")
+    hits = recall.trigram_hits(titles, queries, 10)
     return recall.top(hits, 10, [F.col("trigram").desc(), "segment_id"]).select("query_id", "segment_id", "trigram", F.col("rank").cast("long").alias("rank"))
 
 
@@ -56,13 +56,12 @@ def hybrid_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Titles with the vector of the same number: word share, trigram similarity and cosine in one score."""
     titles = _titles(spark, sf)
     queries = titles.where("segment_id % 50 = 0").select(F.col("segment_id").alias("query_id"), F.col("text").alias("query"))
-    trigram = recall.trigram_hits(titles, queries)
     words = titles.select("segment_id", F.explode(F.array_distinct(T.analyzed(F.col("text")))).alias("t"))
     asked = queries.select("query_id", F.array_distinct(T.analyzed(F.col("query"))).alias("a")).select("query_id", F.size("a").alias("k"), F.explode("a").alias("t"))
     lexical = asked.join(words, "t").groupBy("query_id", "segment_id", "k").agg(F.count("*").alias("n")).where("n = k").select("query_id", "segment_id", F.lit(1.0).alias("lexical"))
     vectors = views.table(spark, sf, "embeddings")
     near = recall.knn(vectors, vectors.where("vec_id % 50 = 0"), 50, 64).select("query_id", F.col("vec_id").alias("segment_id"), F.col("score").alias("vector"))
-    hits = recall.hybrid(lexical, trigram, near)
+    hits = recall.hybrid(titles, queries, lexical, near, 10)
     return recall.top(hits, 10, [F.round("score", 6).desc(), "segment_id"]).select("query_id", "segment_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -89,8 +88,20 @@ _WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 _TERMS = f"list_filter({_WORDS.format('text')}, lambda t: t NOT IN ({_STOP}))"
 _GRAMS = f"list_distinct(flatten(list_transform({_WORDS.format('text')}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _TITLES = f"titles AS (SELECT p_partkey AS id, concat_ws(' ', p_name, p_type) AS text FROM part), grams AS (SELECT id, text, {_GRAMS} AS g, list_distinct({_TERMS}) AS a FROM titles)"
-_TRI = f"{_TITLES}, tri AS (SELECT q.id AS query_id, s.id AS segment_id, len(list_intersect(q.g, s.g))::DOUBLE / (len(q.g) + len(s.g) - len(list_intersect(q.g, s.g))) AS trigram FROM grams q, grams s WHERE q.id % 50 = 0), trih AS (SELECT * FROM tri WHERE trigram >= 0.5)"
-_KNN = "vec AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), sim AS (SELECT q.vec_id AS query_id, v.vec_id, greatest(0.0::DOUBLE, round(list_cosine_similarity(q.e, v.e), 9)) AS score FROM vec q, vec v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id), knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sim QUALIFY rank <= 10)"
+_ORDERED = f"flatten(list_transform({_WORDS.format('text')}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"
+# bounds of the score: similarity, and the share of the query's trigrams that the title holds
+_PAIRS = f"{_TITLES}, ordered AS (SELECT id, {_ORDERED} AS o FROM titles), pairs AS (SELECT q.id AS query_id, s.id AS segment_id, len(list_intersect(q.g, s.g)) AS n, len(q.g) AS nq, len(s.g) AS ns FROM grams q, grams s WHERE q.id % 50 = 0)"
+# exact scores of the pairs of {0}: all windows of the ordered trigrams that start at one of the query's
+_EXACT = """spots AS (SELECT id, unnest(o) AS t, generate_subscripts(o, 1) AS i FROM ordered),
+  prev AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY id, t ORDER BY i), 0) AS before FROM spots),
+  placed AS (SELECT c.query_id, c.segment_id, p.i, p.before, list_contains(q.g, p.t) AS inside, len(q.g) AS nq FROM {0} c JOIN prev p ON p.id = c.segment_id JOIN grams q ON q.id = c.query_id),
+  wins AS (SELECT a.query_id, a.segment_id, a.nq, sum((b.before < a.i)::INT) OVER w AS n_new, sum((b.before < a.i AND b.inside)::INT) OVER w AS n_both
+    FROM placed a JOIN placed b ON a.query_id = b.query_id AND a.segment_id = b.segment_id AND b.i >= a.i WHERE a.inside WINDOW w AS (PARTITION BY a.query_id, a.segment_id, a.i ORDER BY b.i)),
+  exact AS (SELECT c.query_id, c.segment_id, coalesce(max(n_both::DOUBLE / (nq + n_new - n_both)), 0) AS trigram FROM {0} c LEFT JOIN wins USING (query_id, segment_id) GROUP BY 1, 2)"""
+_TRI = f"""{_PAIRS}, low AS (SELECT query_id, n::DOUBLE / (nq + ns - n) AS low, row_number() OVER (PARTITION BY query_id ORDER BY n::DOUBLE / (nq + ns - n) DESC) AS r FROM pairs WHERE query_id <> segment_id),
+  cand AS (SELECT p.query_id, p.segment_id FROM pairs p LEFT JOIN low ON low.query_id = p.query_id AND r = 10 WHERE p.query_id <> segment_id AND n::DOUBLE / nq >= greatest(0.3, coalesce(low, 0) - 1e-9)),
+  {_EXACT.format('cand')}"""
+_KNN = "vec AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), sim AS (SELECT q.vec_id AS query_id, v.vec_id, greatest(0.0::DOUBLE, round(list_cosine_similarity(q.e, v.e), 9)) AS score FROM vec q, vec v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id), knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sim QUALIFY rank <= 50)"
 _LEX = f"""seg AS (SELECT conv_id * 100 + turn AS segment_id, conv_id AS session_id, {_TERMS} AS a FROM conversations),
 asked AS (SELECT segment_id AS query_id, a[3:4] AS r, a[1] AS x FROM seg WHERE session_id % 50 = 0 AND len(a) >= 4),
 cover AS (SELECT query_id, s.segment_id, CASE WHEN r[1] = r[2] THEN 1 ELSE list_min(flatten(list_transform(list_filter(range(1, len(s.a) + 1), lambda i: s.a[i] = r[1]), lambda i: list_transform(list_filter(range(1, len(s.a) + 1), lambda j: s.a[j] = r[2]), lambda j: abs(i - j) + 1)))) END AS w
@@ -98,13 +109,17 @@ cover AS (SELECT query_id, s.segment_id, CASE WHEN r[1] = r[2] THEN 1 ELSE list_
 lex AS (SELECT query_id, segment_id, round(1.0::DOUBLE / w, 9) AS lexical, row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / w DESC, segment_id) AS rank FROM cover QUALIFY rank <= 20)"""
 
 ORACLES = {
-    "trigram_recall": f"WITH {_TRI} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY trigram DESC, segment_id) AS rank FROM trih WHERE query_id <> segment_id QUALIFY rank <= 10",
+    "trigram_recall": f"WITH {_TRI} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY trigram DESC, segment_id) AS rank FROM exact WHERE trigram >= 0.3 QUALIFY rank <= 10",
     "lexical_recall": f"WITH {_LEX} SELECT * FROM lex",
     "eligible_segments": "SELECT doc_id AS record_id, source AS session_id, (CASE WHEN n = 0 THEN 0 WHEN n <= 1200 THEN 1 ELSE greatest(2, ceil((n - 125) / 875.0)) END)::INT AS n_chunks FROM (SELECT doc_id, source, len(regexp_extract_all(text, '\\S+')) AS n FROM documents) WHERE doc_id % 2 = 0 AND regexp_extract(source, '([0-9]+)$', 1)::INT % 2 = 0",
-    "knn_cosine": f"WITH {_KNN} SELECT * FROM knn",
-    "hybrid_recall": f"""WITH {_TRI}, {_KNN}, lx AS (SELECT q.id AS query_id, s.id AS segment_id, 1.0::DOUBLE AS lexical FROM grams q, grams s WHERE q.id % 50 = 0 AND list_has_all(s.a, q.a)),
-      j AS (SELECT query_id, segment_id, coalesce(lexical, 0) + 0.35::DOUBLE * coalesce(trigram, 0) + 0.75::DOUBLE * coalesce(score, 0) AS score FROM lx FULL JOIN trih USING (query_id, segment_id) FULL JOIN (SELECT query_id, vec_id AS segment_id, score FROM knn) USING (query_id, segment_id))
-      SELECT query_id, segment_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, segment_id) AS rank FROM j QUALIFY rank <= 10""",
+    "knn_cosine": f"WITH {_KNN} SELECT * FROM knn WHERE rank <= 10",
+    "hybrid_recall": f"""WITH {_PAIRS}, {_KNN}, lx AS (SELECT q.id AS query_id, s.id AS segment_id, 1.0::DOUBLE AS lexical FROM grams q, grams s WHERE q.id % 50 = 0 AND list_has_all(s.a, q.a)),
+      j AS (SELECT query_id, segment_id, lexical IS NOT NULL OR score IS NOT NULL AS listed, coalesce(lexical, 0) + 0.75::DOUBLE * coalesce(score, 0) AS rest, coalesce(n::DOUBLE / (nq + ns - n), 0) AS low, coalesce(n::DOUBLE / nq, 0) AS high
+        FROM pairs FULL JOIN lx USING (query_id, segment_id) FULL JOIN (SELECT query_id, vec_id AS segment_id, score FROM knn) USING (query_id, segment_id)),
+      bar AS (SELECT query_id, rest + 0.35::DOUBLE * low AS bar FROM j WHERE listed OR low >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rest + 0.35::DOUBLE * low DESC) = 10),
+      cand AS (SELECT j.* FROM j LEFT JOIN bar USING (query_id) WHERE (listed OR high >= 0.3) AND rest + 0.35::DOUBLE * high >= coalesce(bar, 0) - 1e-9),
+      {_EXACT.format('cand')}
+      SELECT query_id, segment_id, round(rest + 0.35::DOUBLE * trigram, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(rest + 0.35::DOUBLE * trigram, 6) DESC, segment_id) AS rank FROM cand JOIN exact USING (query_id, segment_id) WHERE listed OR trigram >= 0.3 QUALIFY rank <= 10""",
     "hit_snippets": "SELECT doc_id, substr(text, greatest(1, strpos(lower(text), 'license') - 80), 280) AS snippet FROM documents",
     "recall_groups": f"WITH {_LEX} SELECT query_id, segment_id // 100 AS session_id, min(rank) AS first_rank, count(*) AS n_hits, string_agg(segment_id::VARCHAR, ',' ORDER BY rank) AS segments FROM lex GROUP BY 1, 2",
     "context_window": "SELECT t.conv_id AS session_id, a.turn AS anchor, t.turn AS ordinal, t.turn - a.turn AS distance, t.role FROM conversations t JOIN conversations a ON a.conv_id = t.conv_id AND a.turn % 3 = 1 AND t.turn BETWEEN a.turn - 2 AND a.turn + 20",
