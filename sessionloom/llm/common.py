@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +68,19 @@ def worker_cache(owner: str) -> dict:
 
     So a worker holds what one operator caches, not the sum over all that have run in it.
     """
-    for name, cache in _CACHES.items():
-        if name != owner:
-            cache.clear()
+    others = [cache for name, cache in _CACHES.items() if name != owner and cache]
+    for cache in others:
+        cache.clear()
+    if others:
+        give_back()
     return _CACHES.setdefault(owner, {})
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the machine, so that one stage's arrays do not weigh on the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

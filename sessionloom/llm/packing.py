@@ -1,8 +1,8 @@
 """Packing token sequences by shortest-pack-first over the length histogram.
 
 1. Documents are tokenised whole in Arrow batches; a document is its ids and an end id, cut into pieces of at most
-   ``size`` ids. Ids are looked up by whitespace-separated word in a bounded cache per worker, which gives the
-   tokenizer's own ids because its pieces never span white space. Only piece descriptors are written.
+   ``size`` ids. Ids are found by distinct word (see :class:`WordTokenizer`), in slices of bounded size. Only piece
+   descriptors are written.
 2. The histogram of piece lengths (at most ``size`` rows, whatever the input) goes to the driver, where lengths
    are placed longest first into the emptiest pack that still has room, moving counts of packing patterns.
 3. Patterns are joined back to pieces by rank within a length. The rank is the rank inside the block that wrote
@@ -15,28 +15,37 @@ documents; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, worker_cache
+from .common import give_back, materialize, worker_cache
 
 SIZE = 4096
 END_ID = 2
-#: Words in one generation of a worker's cache.
-CACHED = 500_000
+#: Words in one generation of a worker's cache, and text bytes that are tokenised at once.
+CACHED, SLICE = 150_000, 4 << 20
+#: Signs that the tokenizer never joins to a letter: all of ASCII's but the apostrophe.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTokenizer:
-    """A tokenizer file's ids as little-endian unsigned 32-bit bytes, cached by word.
-
-    The cache has two generations of at most ``CACHED`` words: when the younger is full it becomes the older, and
-    words met again come back from there. It outlives tasks in a reused Python worker.
+    """A tokenizer file's ids of whole texts, by way of their distinct words.
+
+    Texts are cut at spaces and line feeds, which tokenizers of this kind drop and never join across; the words of a
+    slice are made distinct, and ids are gathered by word number. A word of plain letters with signs behind it is
+    that word and those signs. Letters are plain if their normal form and their lower case are one letter each; that the
+    tokenizer agrees is tried on every one of them at the start, and another kind of tokenizer is refused. All
+    other words go to the tokenizer as they are. Ids of letter words stay in a cache of two generations, of about
+    ``CACHED`` words each: when the younger is full it becomes the older, and words met again come back from there.
     """
 
     def __init__(self, path: str):
@@ -45,63 +54,92 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def _each(self, words: list[str]) -> None:
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def _letters(self, words: list[str]) -> None:
-        """Words of Latin letters only are one word to the tokenizer; many are encoded as one text and cut at word ends."""
-        for i in range(0, len(words), 256):
-            part = words[i : i + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part) or cuts[-1] != len(ids):
-                self._each(part)
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, c in zip(part, (4 * cuts).tolist(), strict=True):
-                self.young[w] = raw[at:c]
-                at = c
-
-    def _learn(self, fresh: set[str]) -> None:
-        known, old = self.young, self.old
-        for w in fresh & old.keys():
-            known[w] = old[w]
-        fresh = fresh - known.keys()
-        # a word of letters with one mark behind it is that word and that mark
-        marked = [w for w in fresh if w[-1] in ".,;:!?" and w[:-1].isalpha() and max(w) < "\u0250"]
-        whole = fresh.difference(marked)
-        bases = {w[:-1] for w in marked}
-        whole |= (bases | {w[-1] for w in marked}) - known.keys()
-        for w in whole & old.keys():
-            known[w] = old[w]
-        whole -= known.keys()
-        letters = [w for w in whole if w.isalpha() and max(w) < "\u0250"]
-        self._letters(letters)
-        self._each(list(whole.difference(letters)))
-        for w in marked:
-            known[w] = known[w[:-1]] + known[w[-1]]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Splits only at spaces and line feeds, which the tokenizer drops and never joins across."""
-        out = []
-        for at in range(0, len(texts), 512):
-            words = [t.replace("\n", " ").split(" ") if t else [] for t in texts[at : at + 512]]
-            if len(self.young) > CACHED:
-                self.young, self.old = {"": b""}, self.young
-            fresh = set().union(*words) - self.young.keys() if words else set()
-            if fresh:
-                self._learn(fresh)
-            get = self.young.__getitem__
-            out += [b"".join(map(get, w)) for w in words]
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
+        letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250))]
+        letters = [c for c in letters if c.isalpha() and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1 and c.lower().isalpha()]
+        small = pc.utf8_lower(pa.array(letters)).to_pylist()
+        self.split = f"^(?P<base>[{''.join(letters)}]+)(?P<signs>[{re.escape(SIGNS)}]*)$"
+        both = self._ids(" ".join(letters)), self._ids(" ".join(small))
+        agrees = all(int(self.ends[x].sum()) == len(letters) and self.ends[x[-1]] for x in both) and np.array_equal(*both)
+        trial = [*letters[:60], "it's", "a\tb", *SIGNS]
+        if not agrees or b"".join(self._each(trial)) != self._ids(" ".join(trial)).tobytes():
+            raise ValueError(f"{path} is not a lower-casing tokenizer with word ends")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), 1024):
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words[i : i + 1024], add_special_tokens=False)]
         return out
 
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Plain words are one word each to the tokenizer, so many are encoded as one text and cut at word ends."""
+        if len(self.young) > CACHED:
+            self.young, self.old = {"": b""}, self.young
+        young, old = self.young, self.old
+        fresh = []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    fresh.append(w)
+        for i in range(0, len(fresh), 256):
+            part = fresh[i : i + 256]
+            ids = self._ids(" ".join(part))
+            cuts, raw, at = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes(), 0
+            for w, c in zip(part, cuts, strict=True):
+                young[w] = raw[at:c]
+                at = c
+        return list(map(young.__getitem__, words))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts (nulls are empty), and where each text's ids begin and end in them."""
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
+        ends = lists.offsets.to_numpy()
+        flat = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        words, number = flat.dictionary, flat.indices.to_numpy()
+        # each distinct word is two pieces: letters and signs, or itself and nothing
+        halves = pc.extract_regex(words, self.split)
+        base, signs = pc.utf8_lower(halves.field("base")).dictionary_encode(), halves.field("signs").dictionary_encode()
+        is_odd = pc.is_null(halves).to_numpy(zero_copy_only=False)
+        ids = [*self._plain(base.dictionary.to_pylist()), *self._each(signs.dictionary.to_pylist()), *self._each(words.filter(pa.array(is_odd)).to_pylist()), b""]
+        pair = np.empty((len(words), 2), dtype=np.int64)
+        pair[:, 0], pair[:, 1] = base.indices.fill_null(0).to_numpy(), signs.indices.fill_null(0).to_numpy() + len(base.dictionary)
+        pair[is_odd, 0], pair[is_odd, 1] = np.arange(is_odd.sum()) + len(base.dictionary) + len(signs.dictionary), len(ids) - 1
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        every, upto = gather(np.frombuffer(b"".join(ids), dtype="<u4"), size, pair.ravel())
+        upto = upto[::2]
+        every, upto = gather(every, np.diff(upto), number)
+        return every, upto[ends - ends[0]]
+
+
+def gather(values: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of ``values`` (of the sizes ``size``, one behind another) numbered ``which``, and where each begins."""
+    count = size[which]
+    upto = np.concatenate([[0], np.cumsum(count)])
+    kind = np.int32 if max(upto[-1], len(values)) < 1 << 31 else np.int64
+    place = np.repeat(((np.cumsum(size) - size)[which] - upto[:-1]).astype(kind), count)
+    place += np.arange(upto[-1], dtype=kind)
+    return values[place], upto
+
+
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(row numbers, texts) of about ``most`` bytes each; a longer text is cut at spaces and line feeds, which are left out."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + most, side="right")) - 1)
+        if sizes[at] <= most:
+            yield np.arange(at, end), texts.slice(at, end - at)
+        else:
+            for part in re.finditer(rf"(?s)(?:.{{1,{most}}}[^ \n]*)", texts[at].as_py()):
+                yield np.array([at]), pa.array([part[0]], pa.large_string())
+            end = at + 1
+        at = end
+
 
 def tokenizer(path: str) -> WordTokenizer:
     """The worker's own tokenizer of that file."""
@@ -123,22 +161,37 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """One row per piece with its checksum, the writing block and its rank among the block's pieces of that length."""
     path = path or default_tokenizer()
-    tail = np.array([end_id], dtype="<u4").tobytes()
+    tail = np.array([end_id], dtype="<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize, seen = tokenizer(path), np.zeros(size + 1, dtype=np.int64)
         block = TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), tokenize(batch.column(1).to_pylist()), strict=True):
-                ids += tail
-                total = len(ids) // 4
-                for start in range(0, total, size):
-                    part = ids[4 * start : 4 * (start + size)]
-                    n = len(part) // 4
-                    rows.append((doc, start, n, zlib.crc32(part), total, block, seen[n]))
-                    seen[n] += 1
+            held, ids = -1, tail[:0]  # a long text comes in parts
+
+            def close(batch=batch, rows=rows) -> None:
+                whole = np.append(ids, tail)
+                for start in range(0, len(whole), size):
+                    part = whole[start : start + size]
+                    rows.append((doc_ids[held], start, len(part), zlib.crc32(part), len(whole), block, int(seen[len(part)])))
+                    seen[len(part)] += 1
+
+            doc_ids = batch.column(0).to_pylist()
+            for numbers, texts in slices(batch.column(1)):
+                every, ends = tokenize(texts)
+                for k, number in enumerate(numbers.tolist()):
+                    part = every[ends[k] : ends[k + 1]]
+                    if number == held:
+                        ids = np.append(ids, part)
+                        continue
+                    if held >= 0:
+                        close()
+                    held, ids = number, part
+            if held >= 0:
+                close()
             columns = list(zip(*rows, strict=True)) or [()] * 7
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 5 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "block", "rank_in_block"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(cut, PIECE)
