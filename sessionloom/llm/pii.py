@@ -1,17 +1,23 @@
 """Personal data by patterns and by information-theoretic sanitisation, in DataFrame and SQL functions only.
 
 Base entities (e-mail, IP address, card number, phone number) are found by pattern in whole texts. Then corpus
-co-occurrence decides which further terms give them away: a line is the context, and for each term t and entity
-kind k the point-wise mutual information log2(p(t, k) / (p(t) p(k))) is compared with the information content of
-the kind, -log2 p(k). A term that reveals at least ``DISCLOSURE`` of it, seen with the kind in at least ``SUPPORT``
-lines, is a disclosing term; where it stands on a line with an entity of that kind it becomes a span of kind
-``term`` and is generalised (or removed) like the entity. Probabilities are counts over the lines of all texts.
-
-Every step is an aggregate or an equi-join on data that Spark partitions: term counts are combined before the
-shuffle, so a very frequent word is one row per task, and the distinct words of a text are joined to the terms.
+co-occurrence decides which further terms give them away. Contexts are windows: texts are cut at line ends and, in a
+line, at the first word end after ``WINDOW`` characters. Protected entities are the four kinds and every single value
+(one address, one number). A term is a word of three letters or more, or two such words with one space between. For a term t and
+an entity e the point-wise mutual information log2(p(t, e) / (p(t) p(e))) is compared with the information content
+of the entity, -log2 p(e): a term that reveals at least ``DISCLOSURE`` of it is a disclosing term, wherever it
+stands in any text becomes a span of kind ``term``, and is generalised (or removed) like the entity. Probabilities are
+counts over the windows of all texts; besides, a term must share with the entity ``KIND_SUPPORT`` or
+``VALUE_SUPPORT`` windows of different wording, so that copies of one line are no evidence.
+
+Every step is an aggregate or an equi-join on data that Spark partitions: only terms that stand beside an entity are
+counted in the corpus, counts are combined before the shuffle, and the distinct terms of a text meet the disclosing
+terms before any text is searched for places. Work inside a row is linear in the text: positions come from prefix sums
+in two levels.
 
 Defined cases: a null text is empty; repeated rows keep their own spans (rows are told apart by position, not by
-id); an empty table gives an empty result; extra columns are kept by :func:`sanitize`.
+id); ties need no order; an empty table gives an empty result; extra columns, whatever their names, are kept by
+:func:`sanitize`.
 """
 
 from __future__ import annotations
@@ -21,8 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Share of a kind's information content that a term must reveal, and lines that it must share with the kind.
-DISCLOSURE, SUPPORT = 0.75, 5
+#: Share of an entity's information content that a term must reveal.
+DISCLOSURE = 0.9
+#: Windows of different wording that a term must share with a kind or with one value.
+KIND_SUPPORT, VALUE_SUPPORT = 5, 2
+#: Characters of a window, about.
+WINDOW = 120
 
 #: The contract's patterns in Java's dialect. A possessive quantifier stands where nothing that
 #: follows could make it give back; \G or a look-behind holds the start to where the leftmost match must begin, so
@@ -35,7 +45,11 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 TERM = r"[\p{L}]{3,}+"
+_PAIR = r"(?<!\p{L})(?=(\p{L}{3,}+\x20\p{L}{3,}+))"
 _SPAN = "ARRAY<STRUCT<kind: STRING, start: INT, end: INT>>"
+_PLAIN = "transform(spans, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end))"
+#: Numbers of one block of a prefix sum, and characters of a stretch.
+_BLOCK, _STRETCH = 32, 1024
 
 
 def _quoted(pattern: str) -> str:
@@ -58,113 +72,143 @@ def _valid(kind: str) -> str:
     return "true"
 
 
+def running(numbers: str, both: str = "a + x") -> str:
+    """SQL: for each number of an array, all before it put together (0 for the first) by ``both`` of ``a`` and ``x``.
+
+    Whole blocks are put together first, so the work is in proportion to the array.
+    """
+    inside = f"aggregate(sequence(1, {_BLOCK - 1}), h[cast(i div {_BLOCK} as int)], (a, k) -> if(k <= i % {_BLOCK}, transform(array(n[cast(i div {_BLOCK} as int) * {_BLOCK} + k - 1]), x -> {both})[0], a))"
+    block = f"aggregate(sequence(0, {_BLOCK - 1}), element_at(h, -1), (a, k) -> transform(array(n[cast(j * {_BLOCK} + k as int)]), x -> {both})[0])"
+    heads = f"aggregate(sequence(0, cast((size(n) - 1) div {_BLOCK} as int)), array(0), (h, j) -> if(j * {_BLOCK} + {_BLOCK} > size(n), h, array_append(h, {block})))"
+    return f"transform(array({numbers}), n -> if(size(n) = 0, array(), transform(array({heads}), h -> transform(sequence(0, size(n) - 1), i -> {inside}))[0]))[0]"
+
+
 def matches(text: str, pattern: str) -> str:
-    """SQL of the matches of a pattern as structs (m, start, end), in code points.
+    """SQL of the matches of a pattern as structs (gap, m, start, end), in code points; the gap is the text before a match.
 
     The parts between matches and the matches themselves add up to the text, which gives the positions.
     """
     p = _quoted(pattern)
-    walk = (
-        "aggregate(sequence(0, size(f.ms) - 1), cast(named_struct('at', 0, 'out', array()) as STRUCT<at: INT, out: ARRAY<STRUCT<m: STRING, start: INT, end: INT>>>), "
-        "(a, i) -> transform(array(a.at + length(f.ps[i])), s -> named_struct('at', s + length(f.ms[i]), 'out', "
-        "array_append(a.out, named_struct('m', f.ms[i], 'start', s, 'end', s + length(f.ms[i])))))[0], a -> a.out)"
-    )
-    none = "cast(array() as ARRAY<STRUCT<m: STRING, start: INT, end: INT>>)"
-    return f"transform(array(regexp_extract_all({text}, {p}, 0)), ms -> if(size(ms) = 0, {none}, transform(array(named_struct('ms', ms, 'ps', split({text}, {p}, -1))), f -> {walk})[0]))[0]"
+    none = "cast(array() as ARRAY<STRUCT<gap: STRING, m: STRING, start: INT, end: INT>>)"
+    steps = running("transform(f.ms, (m, i) -> length(f.ps[i]) + length(m))")
+    placed = f"transform(array({steps}), at -> transform(f.ms, (m, i) -> named_struct('gap', f.ps[i], 'm', m, 'start', at[i] + length(f.ps[i]), 'end', at[i] + length(f.ps[i]) + length(m))))[0]"
+    return f"transform(array(regexp_extract_all({text}, {p}, 0)), ms -> if(size(ms) = 0, {none}, transform(array(named_struct('ms', ms, 'ps', split({text}, {p}, -1))), f -> {placed})[0]))[0]"
 
 
 def base_spans(text: str) -> Column:
-    """The kept base spans by kind as listed, then start."""
-    found = [f"transform(filter({matches(text, p)}, x -> transform(array(x.m), m -> {_valid(k)})[0]), x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end))" for k, p in PATTERNS.items()]
+    """The kept base spans by kind as listed, then start; ``value`` is what was found, numbers without separators."""
+    kinds = "ARRAY<STRUCT<kind: STRING, start: INT, end: INT, value: STRING>>"
+    value = lambda k: "regexp_replace(x.m, '[^0-9]', '')" if k in ("card", "phone") else "lower(x.m)"
+    found = [f"transform(filter({matches(text, p)}, x -> transform(array(x.m), m -> {_valid(k)})[0]), x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.end, 'value', {value(k)}))" for k, p in PATTERNS.items()]
     # a character that every match must hold spares most texts the expression
     needs = {"email": "'@'", "phone": "'+'", "ip": "'.'"}
-    guarded = [f"if(contains({text}, {needs[k]}), {x}, cast(array() as {_SPAN}))" if k in needs else x for k, x in zip(KINDS, found, strict=True)]
-    return F.expr(f"cast(concat({', '.join(guarded)}) as {_SPAN})")
+    guarded = [f"if(contains({text}, {needs[k]}), {x}, cast(array() as {kinds}))" if k in needs else x for k, x in zip(KINDS, found, strict=True)]
+    return F.expr(f"cast(concat({', '.join(guarded)}) as {kinds})")
 
 
-def entity_lines(text: str, spans: str) -> Column:
-    """The lines that hold entities, as structs (line, start, kinds)."""
-    lines = (
-        f"aggregate(split({text}, '\\\\n', -1), cast(named_struct('at', 0, 'out', array()) as STRUCT<at: INT, out: ARRAY<STRUCT<line: STRING, start: INT, kinds: ARRAY<STRING>>>>), "
-        f"(a, l) -> transform(array(array_distinct(transform(filter({spans}, s -> s.start < a.at + length(l) AND s.end > a.at), s -> s.kind))), ks -> "
-        "named_struct('at', a.at + length(l) + 1, 'out', if(size(ks) = 0, a.out, array_append(a.out, named_struct('line', l, 'start', a.at, 'kinds', ks)))))[0], a -> a.out)"
-    )
-    return F.expr(f"if(size({spans}) = 0, cast(array() as ARRAY<STRUCT<line: STRING, start: INT, kinds: ARRAY<STRING>>>), {lines})")
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """row (a number for each row), id, text, base spans and entity lines; written to the shared scratch folder."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return materialize(rows.withColumn("spans", base_spans("text")).withColumn("lines", entity_lines("text", "spans")), "entities")
-
-
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(term, kind) pairs whose information about the kind reaches the threshold, with ``pmi`` and ``revealed``."""
-    line_terms = lambda line: F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0)))
-    lines = scanned.select(F.explode("lines").alias("l"))
-    of_kind = lines.select(F.explode("l.kinds").alias("kind"), F.col("l.line").alias("line"))
-    together = of_kind.select("kind", F.explode(line_terms(F.col("line"))).alias("term")).groupBy("term", "kind").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    kinds = of_kind.groupBy("kind").agg(F.count("*").alias("n_kind"))
-    corpus = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-    total = docs.agg(F.sum(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("\n")) + 1).cast("double").alias("n"))
-    alone = corpus.select(F.explode(line_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    rows = together.join(alone, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(total))  # four rows and one row
-    rows = rows.withColumn("pmi", F.log2(F.col("both") * F.col("n") / (F.col("n_term") * F.col("n_kind"))))
-    rows = rows.withColumn("revealed", F.col("pmi") / F.greatest(F.log2(F.col("n") / F.col("n_kind")), F.lit(1e-9)))
-    return rows.where(F.col("revealed") >= disclosure).select("term", "kind", "pmi", "revealed")
-
-
-def term_spans(text: str, terms: str) -> Column:
-    """The places of the words of ``terms`` in a text, as spans by start; only these are collected on the way."""
-    p = _quoted(TERM)
-    walk = (
-        f"aggregate(sequence(0, size(f.ms) - 1), cast(named_struct('at', 0, 'out', array()) as STRUCT<at: INT, out: {_SPAN}>), "
-        "(a, i) -> transform(array(a.at + length(f.ps[i])), s -> named_struct('at', s + length(f.ms[i]), 'out', "
-        f"if(array_contains({terms}, lower(f.ms[i])), array_append(a.out, named_struct('kind', 'term', 'start', s, 'end', s + length(f.ms[i]))), a.out)))[0], a -> a.out)"
+_WINDOWS = rf"[^\n]{{1,{WINDOW}}}[\p{{L}}\p{{N}}]*+\n?|\n"
+
+
+def windows(text: str) -> str:
+    """SQL of the windows of a text, which add up to it."""
+    return f"regexp_extract_all({text}, {_quoted(_WINDOWS)}, 0)"
+
+
+def terms(window: str) -> str:
+    """SQL of the distinct terms of a window: its words and its pairs of words with one space between."""
+    return f"transform(array(lower({window})), w -> array_distinct(concat(regexp_extract_all(w, {_quoted(TERM)}, 0), regexp_extract_all(w, {_quoted(_PAIR)}, 1))))[0]"
+
+
+def numbered(docs: DataFrame, text: str) -> DataFrame:
+    """row (a number for each row), doc (all its columns), text and base spans; written to the shared scratch folder."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    return materialize(rows.withColumn("spans", base_spans("text")), "entities")
+
+
+def entity_windows(rows: DataFrame) -> DataFrame:
+    """(w, entity) for each window that an entity touches: the entity is its kind, or its kind and value.
+
+    Windows and spans of a text meet by row and stretch of ``_STRETCH`` characters, so a text with very many of both is no
+    product of them.
+    """
+    some = rows.where("size(spans) > 0")
+    cut = some.select("row", F.expr(windows("text")).alias("ws"))
+    cut = cut.select("row", F.explode(F.expr(f"transform(array({running('transform(ws, w -> length(w))')}), at -> transform(ws, (w, i) -> named_struct('w', w, 'at', at[i])))[0]")).alias("x"))
+    cut = cut.select("row", "x.w", "x.at", F.explode(F.expr(f"sequence(x.at div {_STRETCH}, (x.at + length(x.w) - 1) div {_STRETCH})")).alias("stretch"))
+    spans = some.select("row", F.explode("spans").alias("s")).select("row", "s", F.explode(F.expr(f"sequence(s.start div {_STRETCH}, (s.end - 1) div {_STRETCH})")).alias("stretch"))
+    met = cut.join(spans, ["row", "stretch"]).where("s.start < at + length(w) AND s.end > at")
+    return met.select("row", "at", "w", F.explode(F.array("s.kind", F.concat_ws(" ", "s.kind", "s.value"))).alias("entity")).distinct()
+
+
+def disclosing_terms(rows: DataFrame, disclosure: float = DISCLOSURE, kind_support: int = KIND_SUPPORT, value_support: int = VALUE_SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """(term, entity, pmi, revealed) of the pairs whose information reaches the threshold, and (row, term): the windows
+    of all texts that hold a term which was tried. ``rows`` are those of :func:`numbered`."""
+    held = materialize(entity_windows(rows), "windows")
+    sizes = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    together = held.select("entity", F.xxhash64("w").alias("wording"), F.explode(F.expr(terms("w"))).alias("term")).groupBy("term", "entity").agg(F.count("*").alias("both"), F.countDistinct("wording").alias("wordings"))
+    least = F.when(F.instr("entity", " ") > 0, value_support).otherwise(kind_support)
+    together = materialize(together.where(F.col("wordings") >= least), "together")  # its size is known to the joins
+    every = rows.select("row", F.explode(F.expr(windows("text"))).alias("w")).select("row", F.explode(F.expr(terms("w"))).alias("term"))
+    hits = materialize(every.join(together.select("term").distinct(), "term", "left_semi").select("row", "term"), "hits")
+    total = rows.agg(F.sum(F.regexp_count("text", F.lit(_WINDOWS))).cast("double").alias("n"))
+    alone = hits.groupBy("term").agg(F.count("*").alias("n_term"))
+    found = together.join(alone, "term").join(sizes, "entity").crossJoin(F.broadcast(total))  # one row
+    found = found.withColumn("pmi", F.log2(F.col("both") * F.col("n") / (F.col("n_term") * F.col("n_entity"))))
+    found = found.withColumn("revealed", F.col("pmi") / F.greatest(F.log2(F.col("n") / F.col("n_entity")), F.lit(1e-9)))
+    return found.where(F.col("revealed") >= disclosure).select("term", "entity", "pmi", "revealed"), hits
+
+
+def term_spans(text: str, held: str) -> str:
+    """SQL of the places of the terms ``held`` in a text, as spans by start; of two that overlap the first stays."""
+    return (
+        f"transform(array({matches(text, TERM)}), ms -> filter(transform(ms, (x, i) -> named_struct('start', x.start, 'end', "
+        f"CASE WHEN get(ms, i + 1).gap = ' ' AND array_contains({held}, concat(lower(x.m), ' ', lower(get(ms, i + 1).m))) THEN get(ms, i + 1).end WHEN array_contains({held}, lower(x.m)) THEN x.end END, 'kind', 'term')), s -> s.end IS NOT NULL))[0]"
     )
-    found = f"transform(array(named_struct('ms', regexp_extract_all({text}, {p}, 0), 'ps', split({text}, {p}, -1))), f -> {walk})[0]"
-    return F.expr(f"if({terms} IS NULL, cast(array() as {_SPAN}), {found})")
 
 
-def all_spans(scanned: DataFrame, terms: DataFrame) -> DataFrame:
-    """row, id, base spans and ``terms``: the spans of disclosing terms, wherever they stand in any text, by start.
+def free_terms(spans: str, found: str) -> str:
+    """SQL of the term spans that touch no base span (a part of an address is covered already) and no earlier term."""
+    every = f"array_sort(concat(transform({spans}, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)), {found}))"
+    before = running("transform(s, x -> if(x.kind = 'term', 0, x.end))", "greatest(a, x)")
+    behind = running("transform(reverse(s), x -> if(x.kind = 'term', 0, 1073741824 - x.start))", "greatest(a, x)")
+    clear = f"transform(array(named_struct('b', {before}, 'e', {behind})), m -> filter(s, (x, i) -> x.kind = 'term' AND m.b[i] <= x.start AND 1073741824 - m.e[size(s) - 1 - i] >= x.end))[0]"
+    first = f"transform(array({running('transform(s, x -> x.end)', 'greatest(a, x)')}), m -> filter(s, (x, i) -> x.start >= m[i]))[0]"
+    clear = f"transform(array({every}), s -> {clear})"
+    return f"transform(transform({clear}, s -> {first})[0], s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end))"
+
 
-    The distinct words of each text meet the terms first, so only texts that hold a term are searched for places.
+def all_spans(rows: DataFrame, found: DataFrame, hits: DataFrame) -> DataFrame:
+    """row, doc, base spans and ``terms``: the spans of disclosing terms, wherever they stand in any text, by start.
+
+    ``hits`` tell which texts hold a term; only those are searched for places.
     """
-    terms = materialize(terms.select("term").distinct(), "terms")  # its size is known to the join
-    words = scanned.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    held = words.join(terms, "term", "left_semi").groupBy("row").agg(F.collect_list("term").alias("held"))
-    rows = scanned.select("row", "id", "text", "spans").join(materialize(held, "held"), "row", "left")
-    rows = rows.select("row", "id", "spans", term_spans("text", "held").alias("terms"))
-    # a term inside an entity (a part of an address) is covered by the entity already
-    return rows.withColumn("terms", F.expr("filter(terms, t -> NOT exists(spans, s -> s.start < t.end AND t.start < s.end))"))
+    known = materialize(found.select("term").distinct(), "terms")  # its size is known to the join
+    held = hits.join(known, "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("held"))
+    rows = rows.join(materialize(held, "held"), "row", "left")
+    return rows.withColumn("terms", F.expr(f"if(held IS NULL, cast(array() as {_SPAN}), {free_terms('spans', term_spans('text', 'held'))})"))
 
 
-def sanitize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, remove: bool = False) -> DataFrame:
+def sanitize(docs: DataFrame, text: str = "text", remove: bool = False, **thresholds: float) -> DataFrame:
     """``docs`` with entities replaced by ``[kind]`` and disclosing terms generalised to ``[term]`` or removed.
 
-    Texts without either are unchanged. The text is joined to its spans by a row number that is fixed by writing
-    the numbered rows first.
+    Texts without either are unchanged. ``thresholds`` are those of :func:`disclosing_terms`.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    spans = rows.select(F.col("_row").alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    scanned = materialize(spans.withColumn("spans", base_spans("text")).withColumn("lines", entity_lines("text", "spans")), "entities")
-    found = all_spans(scanned, disclosing_terms(scanned, scanned, "text", disclosure, support)).where("size(spans) > 0 OR size(terms) > 0")
-    both = found.select(F.col("row").alias("_row"), F.expr("array_sort(transform(concat(spans, terms), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))").alias("_all"))
-    joined = rows.join(both, "_row", "left")
+    rows = numbered(docs, text)
+    found = all_spans(rows, *disclosing_terms(rows, **thresholds))
     shown = "if(s.kind = 'term', '', concat('[', s.kind, ']'))" if remove else "concat('[', s.kind, ']')"
-    rebuilt = F.expr(
-        f"aggregate(_all, cast(named_struct('at', 0, 'out', '') as STRUCT<at: INT, out: STRING>), (a, s) -> if(s.start < a.at, named_struct('at', greatest(a.at, s.end), 'out', a.out), "
-        f"named_struct('at', s.end, 'out', concat(a.out, substring(`{text}`, a.at + 1, s.start - a.at), {shown}))), a -> concat(a.out, substring(`{text}`, a.at + 1)))"
-    )
-    return joined.withColumn(text, F.when(F.col("_all").isNull(), F.col(f"`{text}`")).otherwise(rebuilt)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = found.withColumn("spans", F.expr(f"array_sort(transform(concat({_PLAIN}, terms), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))"))
+    # parts: the text from the furthest end so far to the span, then its label; a span inside an earlier one has none
+    parts = "transform(spans, (s, i) -> if(s.start < m[i], '', concat(substring(text, m[i] + 1, s.start - m[i]), {}))), array(substring(text, array_max(transform(spans, s -> s.end)) + 1))".format(shown)
+    rebuilt = F.expr(f"transform(array({running('transform(spans, s -> s.end)', 'greatest(a, x)')}), m -> array_join(concat({parts}), ''))[0]")
+    cleaned = F.when(F.expr("size(spans) > 0"), rebuilt).otherwise(F.col("doc").getField(text))
+    return found.select(*[cleaned.alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
     """The contract's columns and ``n_term``."""
-    docs = docs.select("doc_id", "text")
-    scanned = scan(docs)
-    found = all_spans(scanned, disclosing_terms(docs, scanned))
+    rows = numbered(docs.select("doc_id", "text"), "text")
+    found = all_spans(rows, *disclosing_terms(rows))
     shown = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in KINDS], F.sha2(shown(F.col("spans")), 256).alias("base_sha256"), shown(F.concat("spans", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_term"))
+    spans = F.expr(_PLAIN)
+    return found.select("doc.doc_id", *[count(k) for k in KINDS], F.sha2(shown(spans), 256).alias("base_sha256"), shown(F.concat(spans, F.col("terms"))).alias("spans"), F.size("terms").cast("long").alias("n_term"))
