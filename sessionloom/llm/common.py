@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
-import time
 import uuid
 
 import pyarrow as pa
@@ -19,36 +18,45 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The shared folder of ``spark.checkpoint.dir``. Only a local session may go without one and gets a temporary folder:
+    on a cluster a machine's own folder would lose rows, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+#: Spark deletes a finished query's shuffle files at once; the steps below need only what they have written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a step as Parquet into the shared scratch folder and read it back.
 
     This cuts the lineage: a lost executor costs only the stages that follow. Unlike ``localCheckpoint`` nothing
-    depends on an executor's own disk.
+    depends on an executor's own disk. :func:`discard` deletes the step again.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps whose DataFrames are no longer referenced.
-
-    References that Python has dropped reach the JVM, and the cleaner its files, a moment later: hence two passes.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.2)
-        spark._jvm.System.gc()
-        time.sleep(0.2)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._step = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete the files of materialized steps that nothing reads any more."""
+    for step in steps:
+        path = step.sparkSession._jvm.org.apache.hadoop.fs.Path(step._step)
+        path.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unit_hash(*cols: Column) -> Column:

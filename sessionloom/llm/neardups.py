@@ -3,11 +3,12 @@
 A document is the multiset of its five-word shingles. Its signature has ``BANDS * ROWS`` components, each the
 least point of a Poisson process over the (shingle, weight) plane below the multiset's counts, so that two
 documents agree in a component with probability equal to their weighted Jaccard similarity
-sum(min) / sum(max). There is no hierarchy over the discretised weights: the unit levels of a count are
-independent processes whose points are generated in rising order and dropped as soon as they exceed the largest
-component so far, which for a long document is after the first point of nearly all of them.
+sum(min) / sum(max). The processes are hierarchical over the discretised weights: each dyadic block of a shingle's
+weight axis has one, so work grows with the logarithm of a count, and points beyond the largest component so far are
+not generated, which for a long document is after the first point of nearly all processes.
 
-Texts that are equal share one representative from the start. Signatures are banded; in each bucket every member is
+Texts that are equal share one representative from the start, found by a combined aggregate; only representatives
+are signed and compared. Signatures are banded; in each bucket every member is
 tried with two pivots, the member with most neighbours over all buckets and a random one; what they link is
 contracted to components. Last, members outside a bucket's largest component are tried with the bucket's members of
 other components, where a bound allows it: shingles that no other component has cannot be shared, so the overlap is
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release_shuffles, worker_cache
+from .common import discard, give_back, materialize, worker_cache
 from .graph import components
 from .secrets import text_buffers
 
@@ -101,41 +102,48 @@ def multisets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _uniform(key: np.ndarray, point: int, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (mix(key + _U((2 * point + salt) * 0x9E3779B97F4A7C15 % 2**64)) >> _U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+        return (mix(key + _U((3 * point + salt) * 0x9E3779B97F4A7C15 % 2**64)) >> _U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
 def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int, size: int = BANDS * ROWS) -> np.ndarray:
     """BagMinHash: [text, component] keys of the least points. Texts without shingles keep zeros.
 
-    Level w of a shingle's count is a process of rate 1 for each component, so of rate ``size`` in all; its points
-    rise by exponential steps and fall on a uniform component. Points beyond the largest component are not needed.
+    The weight axis of a shingle is cut into the dyadic blocks [0, 1), [1, 2), [2, 4), [4, 8) and so on. A block has a Poisson
+    process of its own, of rate ``size`` times its width, so a count of c takes 1 + log2(c) processes; points rise by
+    exponential steps, a point's place in the block and its component are drawn from its hash, and points at or above
+    the count are not the text's. A process ends at the first point beyond the largest component.
     """
-    reps = np.repeat(np.arange(len(doc)), count)
-    level = np.arange(len(reps)) - np.repeat(np.cumsum(count) - count, count)
-    doc = doc[reps]
+    blocks = np.frexp(count.astype(np.float64))[1]
+    reps = np.repeat(np.arange(len(doc)), blocks)
+    block = np.arange(len(reps)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    low = np.where(block > 0, 2.0 ** (block - 1), 0.0)
+    width = np.maximum(low, 1.0)
+    total = np.bincount(doc, weights=count, minlength=n)
+    doc, most = doc[reps], count[reps]
     with np.errstate(over="ignore"):
-        key = mix(shingle[reps] + mix(level.astype(np.uint64) + _U(1)))
-    total = np.bincount(doc, minlength=n)
+        key = mix(shingle[reps] + mix(block.astype(np.uint64) + _U(1)))
     least = np.full((n, size), np.inf)
     sign = np.zeros((n, size), dtype=np.uint64)
     todo = total > 0
     limit = (np.log(size) + 3.0) / np.maximum(total, 1)
     while todo.any():
         some = np.flatnonzero(todo[doc])
-        at, k, d = np.zeros(len(some)), key[some], doc[some]
+        at = np.zeros(len(some))
         point = 0
-        while len(k):
-            at = at - np.log(_uniform(k, point, 0)) / size
-            live = at < limit[d]
-            at, k, d = at[live], k[live], d[live]
+        while len(some):
+            at = at - np.log(_uniform(key[some], point, 0)) / (size * width[some])
+            live = at < limit[doc[some]]
+            at, some = at[live], some[live]
+            inside = low[some] + np.floor(_uniform(key[some], point, 2) * width[some]) < most[some]
+            t, k, d = at[inside], key[some[inside]], doc[some[inside]]
             slot = np.minimum((_uniform(k, point, 1) * size).astype(np.int64), size - 1)
-            order = np.lexsort((k, at, slot, d))
+            order = np.lexsort((k, t, slot, d))
             top = np.ones(len(order), dtype=bool)
             top[1:] = (d[order][1:] != d[order][:-1]) | (slot[order][1:] != slot[order][:-1])
             o = order[top]
-            better = at[o] < least[d[o], slot[o]]
+            better = t[o] < least[d[o], slot[o]]
             o = o[better]
-            least[d[o], slot[o]] = at[o]
+            least[d[o], slot[o]] = t[o]
             sign[d[o], slot[o]] = k[o] + _U(point)
             point += 1
         todo &= ~np.isfinite(least).all(axis=1)
@@ -157,6 +165,7 @@ def _parts(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatc
         end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")) + at)
         yield batch.slice(at, end - at)
         at = end
+    give_back()
 
 
 def band_keys(texts: DataFrame) -> DataFrame:
@@ -258,23 +267,23 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, class_id, text_id): one row per row of ``docs``; class_id is the least id of the near-duplicate class."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     # equal texts: one representative, the least id, by a combined aggregate over digests
     blank = F.concat(F.lit("id:"), F.coalesce(F.col("id").cast("string"), F.lit("")))
     digest = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", blank).otherwise(F.sha2("text", 256))
-    same = materialize(rows.select("id", digest.alias("digest")), "digests")
-    reps = materialize(same.groupBy("digest").agg(F.min("id").alias("rep")), "representatives")
-    keys = materialize(band_keys(rows), "keys")
-    bands = keys.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    bands = materialize(bands.select("id", F.explode("bands").alias("band")).distinct(), "bands")
+    rows = rows.withColumn("digest", digest)
+    same = materialize(rows.select("id", "digest"), "digests")
+    kept = materialize(rows.groupBy("digest").agg(F.min("id").alias("rep"), F.first("text").alias("text")), "representatives")
+    reps = kept.select("digest", "rep")
+    keys = materialize(band_keys(kept.select(F.col("rep").alias("id"), "text")), "keys")
+    bands = materialize(keys.select("id", F.explode("bands").alias("band")).distinct(), "bands")
     buckets = bands.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
     members = materialize(bands.join(buckets, "band"), "members")
     degrees = members.groupBy("id").agg(F.sum("k").alias("degree"))
     # only texts that share a bucket are ever compared; of several texts with one id the least stands for it
-    texts = rows.join(degrees, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = kept.select(F.col("rep").alias("id"), "text").join(degrees, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     texts = materialize(texts, "texts")
-    release_shuffles(spark)
+    discard(bands)
 
     central = members.join(degrees, "id")
     pivots = central.groupBy("band").agg(F.max(F.struct("degree", "id")).alias("p"), F.min(F.struct(F.xxhash64("id", "band").alias("h"), "id")).alias("q"))
@@ -282,7 +291,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     tries = materialize(tries.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct(), "pairs")
     links = materialize(verified(tries, texts), "links")
     roots = materialize(components(links), "roots")
-    release_shuffles(spark)
 
     # buckets that still hold several components: members outside the largest one against the others
     held = members.join(roots, F.col("id") == F.col("node"), "left").select("id", "band", F.coalesce("root", "id").alias("root"))
@@ -301,7 +309,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     once = F.expr(first_common("bands", "bands_x", "band")) & F.expr(alike("sig", "sig_x"))
     pairs = held.join(outside, "band").where(apart & near & once).select(F.least("id", "x").alias("u"), F.greatest("id", "x").alias("v")).distinct()
     more = materialize(verified(materialize(pairs.join(tries, ["u", "v"], "left_anti"), "pairs"), texts), "links")
-    release_shuffles(spark)
     if not more.isEmpty():
         roots = materialize(components(links.unionByName(more)), "roots")
     out = same.join(reps, "digest").join(roots, F.col("rep") == F.col("node"), "left")
@@ -314,8 +321,15 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: the one of least id, and one row of it."""
-    kept = classes(docs, id_col, text).where("id = class_id").select(F.col("id").alias("_kept")).distinct()
-    one = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    repeated = docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1")
-    return one if repeated.isEmpty() else one.dropDuplicates([id_col])
+    """``docs`` with one document of each class: the one of least id, and one row of it (of several texts the least).
+
+    All columns are kept, whatever their names. Rows with a null id name no document and stay as they are.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    kept = classes(rows.where("id IS NOT NULL"), "id", "text").where("id = class_id").select("id").distinct()
+    one = rows.join(kept, "id", "left_semi")
+    repeated = rows.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        one = one.groupBy("id").agg(F.min_by("doc", F.coalesce("text", F.lit(""))).alias("doc"))
+    one = one.select("doc").unionByName(rows.where("id IS NULL").select("doc"))
+    return one.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

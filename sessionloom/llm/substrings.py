@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release_shuffles
+from .common import discard, materialize
 
 MATCH = 100
 #: A perfect difference set modulo 31.
@@ -380,18 +380,13 @@ def remove(left: pa.Table, right: pa.Table, texts: bool) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """The contract's columns; with ``texts`` also ``kept``, the remaining bytes."""
-    spark = docs.sparkSession
     table = materialize(blocks(docs, id_col, text), "blocks")
-    release_shuffles(spark)
     size = table.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()["n"] or 0
     buckets = max(16, min(1 << 16, 2 * size // BUCKET_BYTES))
     tuples = table.mapInArrow(lambda it: send_tuples(it, buckets), SENT)
     named = materialize(tuples.groupBy("bucket").applyInArrow(name_tuples, SENT), "names")
-    del tuples
-    release_shuffles(spark)
     strings = table.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(lambda a, b: send_strings(a, b, buckets), SENT)
     strings = materialize(strings, "strings")
-    release_shuffles(spark)
     repeated = strings.where(F.col("kind") == STRINGS).groupBy("bucket").applyInArrow(match_strings, SENT)
     marks = strings.where(F.col("kind") == RUNS).unionByName(repeated)
     result = table.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda a, b: remove(a, b, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
