@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, worker_cache
+from .common import give_back, materialize, worker_cache
 
 #: Bound of the labelled sample: texts for each language (expected number; the draw is by hash).
 TRAIN_DOCS = 1500
@@ -246,6 +246,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scorer = worker_scorer(key, shared.value)
         for batch in batches:
             labels, sure = scorer(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            give_back()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(sure, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
@@ -264,10 +265,15 @@ def language_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5, path: str | None = None) -> DataFrame:
-    """``docs`` without those whose language cannot be told: no letters at all, or a posterior below ``least``."""
-    found = identify(docs, fit(docs, path=path))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_known(docs: DataFrame, least: float = 0.5, path: str | None = None, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without those whose language cannot be told: no letters at all, or a posterior below ``least``.
+
+    All columns are kept, whatever their names.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
+    found = identify(rows.select("doc", "text"), fit(rows.select("doc_id", "text", "lang"), path=path))
+    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def brute_force(word: str, probs: dict[str, float], unknown: float) -> float:

@@ -12,7 +12,7 @@ source that holds a third of the rows is spread over as many tasks as it needs.
 
 Defined cases: a null text has size 0; a document of size 0 is taken 0 times; a null source is a source of its
 own, sorted last; equal keys are ordered by id and size; repeated rows are separate documents with equal keys;
-an empty table gives an empty result; extra columns are kept by :func:`choose`.
+an empty table gives an empty result; extra columns, whatever their names, are kept by :func:`mix`.
 """
 
 from __future__ import annotations
@@ -60,58 +60,60 @@ def source_targets(sized: DataFrame, source: str = "source", size: str = "size")
 
 
 def choose(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target and taken (words that the mix takes, repeats counted).
+    """``doc`` (a struct of all columns of ``docs``), doc_id, source, size, source_size, target and taken (words that the mix
+    takes, repeats counted).
 
     ``quality`` may give (id, quality 0 or 1): weights 2 and 0.5; documents without one weigh 1.
     """
-    own = {"size", "source_size", "target", "taken"}
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own]).withColumn("size", words(F.col(text)))
-    targets = source_targets(docs, source)
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), words(F.col(f"`{text}`")).alias("size"))
+    targets = source_targets(docs)
     if quality is not None:
         quality = quality.groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("_quality"))
-        docs = docs.join(quality, F.col(id_col) == F.col("_id"), "left").drop("_id")
+        docs = docs.join(quality, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     else:
         docs = docs.withColumn("_quality", F.lit(None).cast("int"))
     weight = F.when(F.col("_quality") > 0, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)
-    u = unit_hash(F.coalesce(F.col(id_col), F.lit(-1)), F.lit("mix"))
+    u = unit_hash(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("mix"))
     # targets has a row per source; Spark broadcasts it only while it is under its own size limit
-    rows = docs.withColumn("_u", u).withColumn("_key", -F.log("_u") / weight).join(targets, F.col(source).eqNullSafe(F.col("_source"))).drop("_source", "_quality")
-    # keys are exponential, so 1 - exp(-key) is near uniform and cuts a source into buckets of like size
-    rows = rows.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * F.ceil(F.col("n") / BUCKET_ROWS)).cast("long"))
-    sums = rows.groupBy(F.col(source).alias("_s"), F.col("_bucket").alias("_b")).agg(F.sum("size").alias("_sum"))
+    rows = docs.withColumn("_u", u).withColumn("_key", -F.log("_u") / weight).join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_quality")
+    # keys are exponential, so 1 - exp(-key) is near uniform where weights are 1 and cuts a source into buckets of like size;
+    # with exp(-key / 2) on the way, neither weight gathers its rows at an end
+    spread = 1 - (F.exp(-F.col("_key") / 2) + F.exp(-F.col("_key")) + F.exp(-2 * F.col("_key"))) / 3
+    rows = rows.withColumn("_bucket", F.floor(spread * F.ceil(F.col("n") / BUCKET_ROWS)).cast("long"))
+    sums = rows.groupBy(F.col("source").alias("_s"), F.col("_bucket").alias("_b")).agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("_s", "_b", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(source, "_bucket").orderBy("_key", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(base, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    rows = rows.join(base, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     whole = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0)
     rest = whole - epochs * F.col("source_size") - F.col("_base") - F.col("_before")
     taken = (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long")
-    return rows.withColumn("taken", taken).drop("_u", "_key", "_bucket", "_before", "_s", "_b", "_base", "n")
+    return rows.select("doc", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mixed documents with the columns of ``docs``: a row for each whole copy and one for a part.
+    """The mixed documents with the columns of ``docs``, whatever their names: a row for each whole copy and one for a part.
 
     The part is the document's first words; only the document at the limit of a source has one.
     """
-    names = docs.columns
     chosen = choose(docs, quality, id_col, text, source).where("taken > 0")
-    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    left = (F.col("taken") - (F.col("_copy") - 1) * F.col("size")).cast("long")
-    rows = chosen.withColumn("_copy", F.explode(copies)).withColumn("_left", left)
-    # the first _left words: cut the text at the end of that word
-    parts = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(F.col("_left") < F.col("size"), F.array_join(F.slice(parts, F.lit(1), F.col("_left").cast("int")), "")).otherwise(F.col(text))
-    rows = rows.withColumn(text, cut)
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[F.col(f"`{c}`") for c in names])
+    rows = chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    rows = rows.withColumn("left", (F.col("taken") - (F.col("copy") - 1) * F.col("size")).cast("long"))
+    # the first words: cut the text at the end of the last of them
+    whole = F.col("doc").getField(text)
+    parts = F.regexp_extract_all(whole, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = rows.withColumn("cut", F.when(F.col("left") < F.col("size"), F.array_join(F.slice(parts, F.lit(1), F.col("left").cast("int")), "")).otherwise(whole))
+    new = {text: F.col("cut")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("cut").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def mixing_report(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """The contract's columns."""
+    # the columns go in by themselves, so the struct that nothing reads is pruned
     return choose(docs.select("doc_id", "text", "source"), quality).select("doc_id", "size", "source_size", "target", "taken")
 
 
