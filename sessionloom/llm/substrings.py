@@ -45,6 +45,8 @@ PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 TUPLE = MATCH - PERIOD + 1
 #: Text bytes of a block and of what a bucket receives, about.
 BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 8 << 20
+#: A place is 18 bits of partition, so many of block, and 32 of offset.
+BLOCK_BITS = 13
 
 _ODD = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
 _U = np.uint64
@@ -181,7 +183,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     import zstandard
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 20
+        number = TaskContext.get().partitionId() << BLOCK_BITS
         ids, parts, size = [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -195,6 +197,8 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
                 if ids and size + len(t) > BLOCK_BYTES:
                     yield out()
                     number += 1
+                    if not number % (1 << BLOCK_BITS):
+                        raise ValueError("too many blocks in one partition: raise spark.sql.shuffle.partitions")
                     ids, parts, size = [], [], 0
                 ids.append(i)
                 parts.append(t)
@@ -222,7 +226,7 @@ def send_tuples(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
     for batch in batches:
         for row in batch.to_pylist():
             b = _read(row)
-            bucket = ((b.names >> _U(48)) * _U(buckets) >> _U(16)).astype(np.int64)
+            bucket = ((b.names >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int64)
             columns = [(b.at[b.head], "<u4"), (b.names & _U((1 << 48) - 1), "<u8"), (b.doc[b.head], "<u4"), (b.followers, "<u4")]
             rows = [(TUPLES, k, b.number, p) for k, p in _spread(bucket, columns)]
             if rows:
@@ -329,7 +333,7 @@ def send_strings(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
             rows.append((RUNS, 0, b.number, _encode([(first, "<u4"), (last, "<u4")])))
         if len(rest):
             one, two = b.rolling(rest, MATCH), Rolling(b.data, 1)(rest, MATCH)
-            bucket = ((two >> _U(48)) * _U(buckets) >> _U(16)).astype(np.int64)
+            bucket = ((two >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int64)
             rows += [(STRINGS, k, b.number, p) for k, p in _spread(bucket, [(rest, "<u4"), (one, "<u8"), (two & _U(0xFFFF), "<u2")])]
     return _table(rows)
 
@@ -382,7 +386,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """The contract's columns; with ``texts`` also ``kept``, the remaining bytes."""
     table = materialize(blocks(docs, id_col, text), "blocks")
     size = table.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()["n"] or 0
-    buckets = max(16, min(1 << 16, 2 * size // BUCKET_BYTES))
+    buckets = max(16, min(1 << 24, 2 * size // BUCKET_BYTES))  # 24 bits of the name: buckets keep their size up to 67 TB of text
     tuples = table.mapInArrow(lambda it: send_tuples(it, buckets), SENT)
     named = materialize(tuples.groupBy("bucket").applyInArrow(name_tuples, SENT), "names")
     strings = table.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(lambda a, b: send_strings(a, b, buckets), SENT)
