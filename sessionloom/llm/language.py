@@ -104,7 +104,10 @@ class Lattice:
         return np.log(np.maximum(ring[-1], 1e-300)) + scale
 
     def expected(self, ids: np.ndarray, n: int, probs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected piece counts under all segmentations for one language's column of ``probs``."""
+        """Expected piece counts under all segmentations for one language's column of ``probs``. Sums of long words are
+        taken in logarithms, so that they don't vanish."""
+        if n > 64:
+            return self._expected_long(ids, n, probs, counts)
         f, b = np.zeros((n + 1, len(ids))), np.zeros((n + 1, len(ids)))
         f[0], b[n] = 1, 1
         for j in range(1, n + 1):
@@ -120,13 +123,32 @@ class Lattice:
         return out
 
 
+    def _expected_long(self, ids: np.ndarray, n: int, probs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(probs))
+        logs = np.log(np.maximum(probs, 1e-300))
+        logs[self.none] = -np.inf
+        f, b = np.full((n + 1, len(ids)), -np.inf), np.full((n + 1, len(ids)), -np.inf)
+        f[0], b[n] = 0, 0
+        for j in range(1, n + 1):
+            f[j] = np.logaddexp.reduce([f[j - k] + logs[ids[:, j - k, k - 1]] for k in range(1, min(LONGEST, j) + 1)])
+        for i in range(n - 1, -1, -1):
+            b[i] = np.logaddexp.reduce([b[i + k] + logs[ids[:, i, k - 1]] for k in range(1, min(LONGEST, n - i) + 1)])
+        for i in range(n):
+            for k in range(1, min(LONGEST, n - i) + 1):
+                share = np.exp(f[i] + logs[ids[:, i, k - 1]] + b[i + k] - f[n])
+                out += np.bincount(ids[:, i, k - 1], weights=share * counts, minlength=len(probs))
+        out[self.none] = 0
+        return out
+
+
 def _by_length(words: list[str]) -> Iterator[list[int]]:
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
     for g in groups.values():
-        for at in range(0, len(g), 8192):
-            yield g[at : at + 8192]
+        step = max(1, (8192 * 16) // max(16, len(words[g[0]])))  # so that a group of long words takes no more memory
+        for at in range(0, len(g), step):
+            yield g[at : at + step]
 
 
 class Model(NamedTuple):
@@ -215,7 +237,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str
                     by.setdefault(k, []).append(i)
                 for k, rows_of in by.items():
                     col = number[k]
-                    marked = [MARK + table["w"][i][:64] for i in rows_of]
+                    marked = [MARK + table["w"][i] for i in rows_of]
                     counts = np.array([table["count"][i] for i in rows_of], dtype=float)
                     for group in _by_length(marked):
                         ids, n = lattice.ids([marked[i] for i in group])
