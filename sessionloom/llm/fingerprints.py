@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 CELLS = 30
 #: Characters after which a long line is cut at the next sentence end.
 PARAGRAPH = 150
-#: Rows of a range of ids, about, and ranges of the first level of quantiles.
+#: Rows of a range of ids, about, and ranges of one level of quantiles.
 RANGE_ROWS, LEVEL = 1500, 1024
 #: Ranges whose bounds and first ids are broadcast at most (three numbers each); beyond, they are joined by a shuffle.
 BROADCAST_RANGES = 500_000
@@ -114,8 +114,7 @@ def _place(value: str, bounds: str) -> str:
 
 def _quantiles(column: str, parts: int) -> Column:
     """The inner bounds that cut a column into ``parts`` of like many rows, however its values are spread."""
-    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)]) if parts <= LEVEL else F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda k: k / F.lit(float(parts)))
-    return F.percentile_approx(column, shares, max(10_000, 8 * parts))
+    return F.percentile_approx(column, F.array(*[F.lit(k / parts) for k in range(1, parts)]), max(10_000, 8 * parts))
 
 
 def with_next(docs: DataFrame, id_col: str, values: list[str]) -> DataFrame:
@@ -129,11 +128,12 @@ def with_next(docs: DataFrame, id_col: str, values: list[str]) -> DataFrame:
     parts = min(LEVEL, ranges)
     bounds = docs.agg(_quantiles("_id", parts)).first()[0] if parts > 1 else []  # at most LEVEL numbers
     docs = docs.withColumn("_range", F.expr(_place("_id", f"cast(array({', '.join(f'{x}L' for x in bounds)}) as array<bigint>)")).cast("long"))
-    inner = -(-ranges // parts)
-    if inner > 1:  # quantiles inside each quantile
+    while parts < ranges:  # quantiles inside each quantile
+        inner = min(LEVEL, -(-ranges // parts))
         finer = docs.groupBy(F.col("_range").alias("_r")).agg(_quantiles("_id", inner).alias("_b"))
         finer = F.broadcast(finer) if ranges <= BROADCAST_RANGES else finer
-        docs = docs.join(finer, docs["_range"] == finer["_r"]).withColumn("_range", F.col("_range") * inner + F.expr(_place("_id", "_b"))).drop("_r", "_b")
+        docs = docs.join(finer, F.col("_range") == F.col("_r")).withColumn("_range", F.col("_range") * inner + F.expr(_place("_id", "_b"))).drop("_r", "_b")
+        parts *= inner
     # one row per range of about RANGE_ROWS rows: its first id, and the range before it (the lowest, for the highest)
     heads = docs.groupBy("_range").agg(F.max("_id").alias("_head"))
     everything = Window.orderBy(F.col("_range").desc())
