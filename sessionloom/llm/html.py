@@ -31,18 +31,21 @@ from pyspark.sql import types as T
 TRAIN_PAGES = 120
 
 # The HTML standard's elements by role.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle mspace mpadded mphantom merror menclose semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select".split())
+RAW = frozenset("script style template textarea title svg iframe select".split())
 OUTSIDE = frozenset("nav aside footer header form menu dialog button figure".split())
 MAIN = frozenset("article main".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.DOTALL)
+#: Attributes up to the tag's end. A quote opens a value only behind an equals sign and only if it is closed; nothing is
+#: read twice.
+ATTRIBUTES = r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+){ATTRIBUTES}|<[!?][^>]*>", re.DOTALL)
 #: Raw elements that run to the end of the page when they are not closed; the tag's own slash does not close them.
 SWALLOWS = frozenset("script style".split())
 #: For each other raw element its tags, past comments, scripts and styles.
 PAIRED = {
-    tag: re.compile(rf"""<!--.*?(?:-->|\Z)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\b[^>]*>|\Z)|<(/?){tag}(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL | re.IGNORECASE)
+    tag: re.compile(rf"<!--.*?(?:-->|\Z)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\b[^>]*>|\Z)|<(/?){tag}(?=[\s/>]){ATTRIBUTES}", re.DOTALL | re.IGNORECASE)
     for tag in RAW - SWALLOWS
 }
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -92,10 +95,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 blocks.append(Block(text, tuple(stack), linked))
             parts.clear()
 
-    links, at = 0, 0
+    links, at, last = 0, 0, page.rfind(">") + 1  # no tag ends behind it, so none is sought there
     while True:
-        m = TOKEN.search(page, at)
-        data = page[at : m.start() if m else len(page)]
+        m = TOKEN.search(page, at, last)
+        data = page[at : m.start()] if m else page[at:].partition("<!--")[0]
         if data:
             parts.append((entities.unescape(data) if "&" in data else data, links > 0))
         if not m:
