@@ -59,6 +59,25 @@ def discard(*steps: DataFrame) -> None:
         path.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with more than this share of all rows, and more than so many, is hot; so there are fewer than 1 / share of them.
+HOT_SHARE, HOT_LEAST = 1 / 1000, 64
+
+
+def hot_join(many: DataFrame, one: DataFrame, key: str, n: str, by: str) -> DataFrame:
+    """``many`` joined to ``one``, which has a row per key and the key's number ``n`` of rows in ``many``.
+
+    The rows of a hot key are dealt out by a hash of ``by`` and its row of ``one`` is repeated for each share, so no task
+    gathers them all. The list of hot keys is bounded by their share and broadcast.
+    """
+    total = one.agg(F.sum(n)).first()[0] or 0
+    most = max(HOT_LEAST, int(total * HOT_SHARE))
+    shares = F.ceil(F.greatest(F.col(n), F.lit(1)) / most).cast("int")
+    hot = F.broadcast(one.where(F.col(n) > most).select(F.col(key).alias("_hot"), shares.alias("_shares")))
+    dealt = many.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_shares")), F.lit(0)).cast("int")).drop("_hot", "_shares")
+    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), shares - 1)))
+    return dealt.join(repeated, [key, "_salt"]).drop("_salt")
+
+
 def unit_hash(*cols: Column) -> Column:
     """A reproducible number in (0, 1) from the columns: the first 52 bits of an MD5 digest.
 

@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hot_join, materialize
 from .graph import components
 
 COSINE = 0.93
 #: Filters of a vector, expected; a pair at the threshold shares about half of them.
 FILTERS = 40
+#: Bytes of the block products that a task holds at once.
+DECODED = 32 << 20
 #: Angles are trusted to this much (radians) where the triangle inequality stands in for a comparison.
 MARGIN = 1e-6
 
@@ -52,7 +54,11 @@ class ProductCode:
         self.height = NormalDist().inv_cdf(1 - min(0.5, FILTERS / words**2)) / math.sqrt(dims) * math.sqrt(2)
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """The numbers of all filters that each unit vector exceeds."""
+        """The numbers of all filters that each unit vector exceeds. Block products are held for a bounded number of rows."""
+        rows = max(1, DECODED // (16 * self.words))
+        return [found for at in range(0, len(unit), rows) for found in self._decode(unit[at : at + rows])]
+
+    def _decode(self, unit: np.ndarray) -> list[np.ndarray]:
         one = unit[:, : self.cut] @ self.codes[0].T if self.cut else np.zeros((len(unit), self.words))
         two = unit[:, self.cut :] @ self.codes[1].T
         out = []
@@ -86,7 +92,8 @@ def _angles(pairs: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:
 
 
 def links(table: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vectors, members, verdicts): the usable vectors; (vec_id, ball, n, n_links); linked balls (u, v)."""
+    """(balls, members, edges): (ball, n members, least member, k_all links of each member to its own and to wholly linked
+    balls); (vec_id, ball, k_own links decided one by one); linked balls (u, v)."""
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = table.select("vec_id", "label", "embedding").where(usable & fine & F.col("vec_id").isNotNull())
@@ -131,20 +138,20 @@ def links(table: DataFrame, cosine: float = COSINE) -> tuple[DataFrame, DataFram
     whole = known.where("linked")
     by_ball = whole.select(F.col("a").alias("ball"), F.col("n_b").alias("k")).unionByName(whole.select(F.col("b").alias("ball"), F.col("n_a").alias("k"))).groupBy("ball").agg(F.sum("k").alias("k_ball"))
     by_vector = decided.select(F.col("a").alias("vec_id")).unionByName(decided.select(F.col("b").alias("vec_id"))).groupBy("vec_id").agg(F.count("*").alias("k_own"))
-    members = balls.join(sizes.select("ball", "n"), "ball").join(by_ball, "ball", "left").join(by_vector, "vec_id", "left")
-    members = members.select("vec_id", "ball", (F.col("n") - 1 + F.coalesce("k_ball", F.lit(0)) + F.coalesce("k_own", F.lit(0))).alias("n_links"))
+    per_ball = sizes.join(by_ball, "ball", "left").select("ball", "n", "least", (F.col("n") - 1 + F.coalesce("k_ball", F.lit(0))).alias("k_all"))
+    members = balls.select("vec_id", "ball").join(by_vector, "vec_id", "left")
     edges = whole.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(decided.select(F.col("ball_a").alias("u"), F.col("ball_b").alias("v"))).distinct()
-    return sizes, members, edges
+    return per_ball, members, edges
 
 
 def link_report(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     """The contract's columns, one row per row of the table."""
-    sizes, members, edges = links(table, cosine)
+    per_ball, members, edges = links(table, cosine)
     roots = materialize(components(edges), "roots")
-    balls = sizes.join(roots, F.col("ball") == F.col("node"), "left").select("ball", "least", F.coalesce("root", "ball").alias("root"))
+    balls = per_ball.join(roots, F.col("ball") == F.col("node"), "left").withColumn("root", F.coalesce("root", "ball"))
     least = balls.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_ball = balls.join(least, "root").select("ball", "component_id")
-    found = members.join(of_ball, "ball").select("vec_id", "n_links", "component_id")
+    balls = materialize(balls.join(least, "root").select("ball", "n", "k_all", "component_id"), "components")
+    found = hot_join(members, balls, "ball", "n", "vec_id").select("vec_id", (F.col("k_all") + F.coalesce("k_own", F.lit(0))).alias("n_links"), "component_id")
     rows = table.select("vec_id").join(found, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
