@@ -67,9 +67,9 @@ def trigram_bounds(segments: DataFrame, queries: DataFrame, least: float = 0.3)
 
 
 def trigram_scores(pairs: DataFrame, segments: DataFrame, queries: DataFrame) -> DataFrame:
-    """``pairs`` (query_id, segment_id, ...) with ``trigram``, the exact score."""
+    """``pairs`` (query_id, segment_id, ...) with ``trigram``, the exact score; 0 where either text is missing."""
     asked = queries.select("query_id", T.trigrams(F.col("query")).alias("_q"))
-    both = pairs.join(asked, "query_id").join(segments.select("segment_id", T.ordered_trigrams(F.col("text")).alias("_g")), "segment_id")
+    both = pairs.join(asked, "query_id", "left").join(segments.select("segment_id", T.ordered_trigrams(F.col("text")).alias("_g")), "segment_id", "left")
 
     names = pairs.columns
 
