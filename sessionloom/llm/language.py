@@ -33,8 +33,6 @@ from .common import give_back, materialize, worker_cache
 
 #: Bound of the labelled sample: texts for each language (expected number; the draw is by hash).
 TRAIN_DOCS = 1500
-#: Longest piece that is used, with the word-start mark.
-LONGEST = 8
 #: Words whose likelihoods a worker keeps.
 CACHED = 300_000
 MARK = "▁"
@@ -45,7 +43,7 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary(path: str | None = None) -> list[str]:
-    """The lower-case letter pieces of at most ``LONGEST`` characters of a sentencepiece model file."""
+    """The lower-case letter pieces of a sentencepiece model file, of any length."""
     import sentencepiece
 
     if path is None:
@@ -54,49 +52,82 @@ def vocabulary(path: str | None = None) -> list[str]:
         path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if len(p) <= LONGEST and LETTERS.fullmatch(p.removeprefix(MARK) or "a"))
+    return sorted(p for p in pieces if LETTERS.fullmatch(p.removeprefix(MARK) or "a"))
 
 
 class Lattice:
     """Array form of the forward and backward sums over all segmentations of many words."""
 
     def __init__(self, pieces: list[str]):
-        hashes = np.array([self._hash(np.array([[ord(c) for c in p]], dtype=np.uint64))[0] for p in pieces], dtype=np.uint64)
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
         self.unknown = len(pieces)  # row of single characters outside the vocabulary
         self.none = len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
+        # all beginnings of pieces, so that a start is left as soon as no piece goes on from there
+        number = {p: i for i, p in enumerate(pieces)}
+        hashes, rows = [], []
+        for k in range(1, self.longest + 1):
+            starts = sorted({p[:k] for p in pieces if len(p) >= k})
+            hashes.append(self._hash(self._codes(starts, k)))
+            rows.append(np.array([number.get(x, self.unknown if k == 1 else self.none) for x in starts], dtype=np.int32))
+        found = np.concatenate([np.zeros(0, dtype=np.uint64), *hashes])
+        order = np.argsort(found)
+        self.hashes, self.rows = found[order], np.concatenate([np.zeros(0, dtype=np.int32), *rows])[order]
 
     @staticmethod
-    def _hash(codes: np.ndarray) -> np.ndarray:
+    def _codes(words: list[str], n: int) -> np.ndarray:
+        return np.array(words, dtype=f"U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64)
+
+    @staticmethod
+    def _mix(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        h = (h ^ codes) * _PRIME
+        return h ^ (h >> np.uint64(29))
+
+    def _hash(self, codes: np.ndarray) -> np.ndarray:
         h = np.zeros(len(codes), dtype=np.uint64)
         for k in range(codes.shape[1]):
-            h = (h ^ codes[:, k]) * _PRIME
-            h ^= h >> np.uint64(29)
+            h = self._mix(h, codes[:, k])
         return h
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, int]:
-        """For words of one length n (mark included): ids[word, start, size - 1] of the pieces, ``none`` where there is none."""
+        """For words of one length n (mark included): ids[start, size - 1, word] of the pieces, ``none`` where there is none."""
         n = len(words[0])
-        codes = np.array(words, dtype=f"U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64)
-        ids = np.full((len(words), n, LONGEST), self.none, dtype=np.int32)
+        codes = self._codes(words, n)
+        ids = np.full((n, min(self.longest, n), len(words)), self.none, dtype=np.int32)
+        ids[:, 0] = self.unknown
         for i in range(n):
-            h = np.zeros(len(words), dtype=np.uint64)
-            for k in range(min(LONGEST, n - i)):
-                h = (h ^ codes[:, i + k]) * _PRIME
-                h ^= h >> np.uint64(29)
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hit = self.hashes[at] == h
-                ids[:, i, k] = np.where(hit, self.order[at], self.unknown if k == 0 else self.none)
+            h, alive = np.zeros(len(words), dtype=np.uint64), np.arange(len(words))
+            for k in range(min(self.longest, n - i)):
+                h = self._mix(h, codes[alive, i + k])
+                at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+                hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), dtype=bool)
+                h, alive = h[hit], alive[hit]
+                if not len(alive):
+                    break
+                ids[i, k, alive] = self.rows[at[hit]]
         return ids, n
 
+    def _steps(self, ids: np.ndarray, n: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """By start and size: the words that have a piece there, and its row."""
+        found = {}
+        for i in range(n):
+            for k in range(1, min(ids.shape[1], n - i) + 1):
+                words = np.flatnonzero(ids[i, k - 1] != self.none)
+                if len(words):
+                    found[i, k] = words, ids[i, k - 1, words]
+        return found
+
     def forward(self, ids: np.ndarray, n: int, probs: np.ndarray) -> np.ndarray:
         """log of the summed probability of all segmentations: [word, language]. ``probs``: [piece, language]."""
-        ring: list[np.ndarray] = [np.ones((len(ids), probs.shape[1]))]
-        scale = np.zeros((len(ids), 1))
+        steps, width = self._steps(ids, n), ids.shape[1]
+        ring: list[np.ndarray] = [np.ones((ids.shape[2], probs.shape[1]))]
+        scale = np.zeros((ids.shape[2], 1))
         for j in range(1, n + 1):
-            now = sum(ring[-k] * probs[ids[:, j - k, k - 1]] for k in range(1, min(LONGEST, j, len(ring)) + 1))
-            ring = [*ring[-(LONGEST - 1) :], now]
+            now = np.zeros_like(ring[0])
+            for k in range(1, min(width, j) + 1):
+                if (j - k, k) in steps:
+                    words, rows = steps[j - k, k]
+                    now[words] += ring[-k][words] * probs[rows]
+            ring = [*ring[-(width - 1) :], now] if width > 1 else [now]
             if j % 16 == 0:
                 top = np.maximum(now.max(axis=1, keepdims=True), 1e-300)
                 ring = [x / top for x in ring]
@@ -108,36 +139,38 @@ class Lattice:
         taken in logarithms, so that they don't vanish."""
         if n > 64:
             return self._expected_long(ids, n, probs, counts)
-        f, b = np.zeros((n + 1, len(ids))), np.zeros((n + 1, len(ids)))
+        steps, width = self._steps(ids, n), ids.shape[1]
+        f, b = np.zeros((n + 1, ids.shape[2])), np.zeros((n + 1, ids.shape[2]))
         f[0], b[n] = 1, 1
         for j in range(1, n + 1):
-            f[j] = sum(f[j - k] * probs[ids[:, j - k, k - 1]] for k in range(1, min(LONGEST, j) + 1))
+            for k in range(1, min(width, j) + 1):
+                if (j - k, k) in steps:
+                    words, rows = steps[j - k, k]
+                    f[j, words] += f[j - k, words] * probs[rows]
         for i in range(n - 1, -1, -1):
-            b[i] = sum(b[i + k] * probs[ids[:, i, k - 1]] for k in range(1, min(LONGEST, n - i) + 1))
+            for k in range(1, min(width, n - i) + 1):
+                if (i, k) in steps:
+                    words, rows = steps[i, k]
+                    b[i, words] += b[i + k, words] * probs[rows]
         out = np.zeros(len(probs))
         share = counts / np.maximum(f[n], 1e-300)
-        for i in range(n):
-            for k in range(1, min(LONGEST, n - i) + 1):
-                out += np.bincount(ids[:, i, k - 1], weights=f[i] * probs[ids[:, i, k - 1]] * b[i + k] * share, minlength=len(probs))
-        out[self.none] = 0
+        for (i, k), (words, rows) in steps.items():
+            out += np.bincount(rows, weights=f[i, words] * probs[rows] * b[i + k, words] * share[words], minlength=len(probs))
         return out
 
-
     def _expected_long(self, ids: np.ndarray, n: int, probs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(probs))
+        out, width = np.zeros(len(probs)), ids.shape[1]
         logs = np.log(np.maximum(probs, 1e-300))
         logs[self.none] = -np.inf
-        f, b = np.full((n + 1, len(ids)), -np.inf), np.full((n + 1, len(ids)), -np.inf)
+        f, b = np.full((n + 1, ids.shape[2]), -np.inf), np.full((n + 1, ids.shape[2]), -np.inf)
         f[0], b[n] = 0, 0
         for j in range(1, n + 1):
-            f[j] = np.logaddexp.reduce([f[j - k] + logs[ids[:, j - k, k - 1]] for k in range(1, min(LONGEST, j) + 1)])
+            f[j] = np.logaddexp.reduce([f[j - k] + logs[ids[j - k, k - 1]] for k in range(1, min(width, j) + 1)])
         for i in range(n - 1, -1, -1):
-            b[i] = np.logaddexp.reduce([b[i + k] + logs[ids[:, i, k - 1]] for k in range(1, min(LONGEST, n - i) + 1)])
-        for i in range(n):
-            for k in range(1, min(LONGEST, n - i) + 1):
-                share = np.exp(f[i] + logs[ids[:, i, k - 1]] + b[i + k] - f[n])
-                out += np.bincount(ids[:, i, k - 1], weights=share * counts, minlength=len(probs))
-        out[self.none] = 0
+            b[i] = np.logaddexp.reduce([b[i + k] + logs[ids[i, k - 1]] for k in range(1, min(width, n - i) + 1)])
+        for (i, k), (words, rows) in self._steps(ids, n).items():
+            share = np.exp(f[i, words] + logs[rows] + b[i + k, words] - f[n, words])
+            out += np.bincount(rows, weights=share * counts[words], minlength=len(probs))
         return out
 
 
@@ -304,6 +337,6 @@ def brute_force(word: str, probs: dict[str, float], unknown: float) -> float:
     def rest(s: str) -> float:
         if not s:
             return 1.0
-        return sum((probs.get(s[:k], unknown if k == 1 else 0.0)) * rest(s[k:]) for k in range(1, min(LONGEST, len(s)) + 1))
+        return sum((probs.get(s[:k], unknown if k == 1 else 0.0)) * rest(s[k:]) for k in range(1, len(s) + 1))
 
     return math.log(rest(MARK + word))

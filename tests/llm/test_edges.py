@@ -206,10 +206,10 @@ def test_gradient_of_the_chain_is_that_of_the_likelihood():
 
 
 def test_expected_counts_against_all_segmentations():
-    pieces = ["a", "b", "ab", "ba", "▁a", "▁ab", "aba"]
+    pieces = ["a", "b", "ab", "ba", "▁a", "▁ab", "aba", "ababababab"]
     probs = np.zeros(len(pieces) + 2)
-    probs[: len(pieces)], probs[-2] = [0.1, 0.2, 0.05, 0.07, 0.3, 0.11, 0.02], 0.001
-    lattice, word = language.Lattice(pieces), "▁abbab"
+    probs[: len(pieces)], probs[-2] = [0.1, 0.2, 0.05, 0.07, 0.3, 0.11, 0.02, 0.04], 0.001
+    lattice, word = language.Lattice(pieces), "▁abababababbab"
     table = dict(zip(pieces, probs, strict=False))
 
     def walk(rest, weight, used):

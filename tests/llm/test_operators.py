@@ -362,9 +362,9 @@ def test_viterbi_is_the_best_path():
 
 # 10 --------------------------------------------------------------------------------------------------------
 def test_forward_sums_all_segmentations():
-    pieces = ["a", "b", "ab", "ba", "▁a", "▁ab", "aba"]
+    pieces = ["a", "b", "ab", "ba", "▁a", "▁ab", "aba", "ababababab"]
     probs = np.zeros((len(pieces) + 2, 1))
-    probs[: len(pieces), 0], probs[-2, 0] = [0.1, 0.2, 0.05, 0.07, 0.3, 0.11, 0.02], 0.001
+    probs[: len(pieces), 0], probs[-2, 0] = [0.1, 0.2, 0.05, 0.07, 0.3, 0.11, 0.02, 0.04], 0.001
     lattice = language.Lattice(pieces)
     table = dict(zip(pieces, probs[:, 0], strict=False))
     for word in ("a", "abab", "bxba", "ab" * 12):
