@@ -11,6 +11,10 @@ STATE_OF = {"extracted": "candidate", "supported": "supported", "contradicted":
 ACTOR = {"human": 0.08, "control-plane": 0.08, "codex": 0.01, "claude": 0.01}
 AGAINST = {"contradicted": 0.22, "decayed": 0.45, "merged": 0.5, "split": 0.5, "superseded": 0.5, "rejected": 0.35}
 SOURCE = {"git": 0.03, "codex": 0.01, "claude": 0.01}
+#: Events that change attributes only, with the attribute and its new value.
+FLAGS = {"pinned": ("pinned", True), "unpinned": ("pinned", False), "watched": ("watched", True), "unwatched": ("watched", False)}
+#: The kinds of events that a decision of the given kind of evidence may force.
+GOVERNED = {"claim.review": ("supported", "rejected"), "claim.promotion": ("promoted",), "claim.maintenance": ("decayed", "merged", "split", "superseded")}
 #: Only these count as recurrence.
 RECURRING = ("extracted", "supported")
 
@@ -49,24 +53,39 @@ def first_per_key(events: DataFrame) -> DataFrame:
     return events.groupBy(*key).agg(F.min(F.struct("seq", *[c for c in rest if c != "seq"])).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def governed(event_type: Column, evidence_type: Column) -> Column:
+    """Whether an event is a decision that advances its claim whatever the precedence: by its type and its evidence's."""
+    hit = F.lit(False)
+    for evidence, types in GOVERNED.items():
+        hit = hit | (event_type.isin(*types) & (evidence_type == evidence))
+    return F.coalesce(hit, F.lit(False))
+
+
 def project(events: DataFrame) -> DataFrame:
     """Fold each claim's events, in order of arrival, to its current state.
 
-    Events that name a state advance the claim when they are newer (and the claim is a candidate or the state's
-    precedence is no lower), or equally old and of no lower precedence. Others change attributes only. Events carry
-    (workspace_id, claim_key, seq, event_type, occurred_at, confidence).
+    Events that name a state advance the claim when they are no older and of no lower precedence (a candidate has
+    the lowest); ``governed`` ones advance it whatever the precedence. The events of ``FLAGS`` change attributes of a
+    claim that is there already; attributes outlive every advance. Events carry (workspace_id, claim_key, seq,
+    event_type, occurred_at, confidence) and may carry governed.
     """
+    if "governed" not in events.columns:
+        events = events.withColumn("governed", F.lit(False))
     state = _pick(F.col("event_type"), STATE_OF, None)
     coded = events.withColumn("state", state).withColumn("rank", _pick(state, PRECEDENCE, 0)).withColumn("micros", F.unix_micros(F.col("occurred_at").cast("timestamp")))
-    packed = coded.groupBy("workspace_id", "claim_key").agg(F.array_sort(F.collect_list(F.struct("seq", "event_type", "state", "rank", "micros", "confidence"))).alias("log"))
-    kind = "STRUCT<state: STRING, rank: INT, micros: BIGINT, confidence: DOUBLE, seq: BIGINT, pinned: BOOLEAN, n: INT>"
+    packed = coded.groupBy("workspace_id", "claim_key").agg(F.array_sort(F.collect_list(F.struct("seq", "event_type", "state", "rank", "micros", "confidence", F.coalesce("governed", F.lit(False)).alias("governed")))).alias("log"))
+    kind = "STRUCT<state: STRING, rank: INT, micros: BIGINT, confidence: DOUBLE, seq: BIGINT, pinned: BOOLEAN, watched: BOOLEAN, review: STRING, n: INT>"
+    flag = lambda name: "CASE " + " ".join(f"WHEN e.event_type = '{k}' THEN {str(v).lower()}" for k, (f, v) in FLAGS.items() if f == name) + f" ELSE a.{name} END"
+    known = ", ".join(f"'{k}'" for k in FLAGS)
     fold = f"""aggregate(log, cast(null as {kind}), (a, e) -> CASE
-      WHEN e.state IS NULL THEN if(a IS NULL, a, cast(named_struct('state', a.state, 'rank', a.rank, 'micros', a.micros, 'confidence', a.confidence, 'seq', a.seq, 'pinned', a.pinned OR e.event_type = 'pinned', 'n', a.n) as {kind}))
-      WHEN a IS NULL OR (a.micros < e.micros AND (a.state = 'candidate' OR e.rank >= a.rank)) OR (a.micros = e.micros AND e.rank >= a.rank)
-      THEN cast(named_struct('state', e.state, 'rank', e.rank, 'micros', e.micros, 'confidence', e.confidence, 'seq', e.seq, 'pinned', coalesce(a.pinned, false), 'n', coalesce(a.n, 0) + 1) as {kind})
+      WHEN e.state IS NULL THEN if(a IS NULL OR e.event_type NOT IN ({known}), a, cast(named_struct('state', a.state, 'rank', a.rank, 'micros', a.micros, 'confidence', a.confidence, 'seq', a.seq,
+        'pinned', {flag("pinned")}, 'watched', {flag("watched")}, 'review', e.event_type, 'n', a.n) as {kind}))
+      WHEN a IS NULL OR (a.micros <= e.micros AND (e.governed OR e.rank >= a.rank))
+      THEN cast(named_struct('state', e.state, 'rank', e.rank, 'micros', e.micros, 'confidence', e.confidence, 'seq', e.seq,
+        'pinned', coalesce(a.pinned, false), 'watched', coalesce(a.watched, false), 'review', a.review, 'n', coalesce(a.n, 0) + 1) as {kind})
       ELSE a END)"""
     folded = packed.withColumn("c", F.expr(fold)).where("c IS NOT NULL")
-    return folded.select("workspace_id", "claim_key", "c.state", F.timestamp_micros("c.micros").cast("timestamp_ntz").alias("observed_at"), "c.confidence", F.col("c.seq").alias("latest_seq"), F.coalesce("c.pinned", F.lit(False)).alias("pinned"), F.col("c.n").cast("long").alias("n_advances"))
+    return folded.select("workspace_id", "claim_key", "c.state", F.timestamp_micros("c.micros").cast("timestamp_ntz").alias("observed_at"), "c.confidence", F.col("c.seq").alias("latest_seq"), "c.pinned", "c.watched", F.col("c.review").alias("last_review"), F.col("c.n").cast("long").alias("n_advances"))
 
 
 def live(claims: DataFrame, limit: int = 8) -> DataFrame:

@@ -137,7 +137,7 @@ def claim_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def current_claims(spark: SparkSession, sf: str) -> DataFrame:
-    return claims.project(_scored(spark, sf))
+    return claims.project(_scored(spark, sf).withColumn("governed", claims.governed(F.col("event_type"), F.col("evidence_type"))))
 
 
 def live_claims(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,8 +183,8 @@ ivals AS (SELECT session_id, interval_ordinal, min(occurred_at) AS started_at, c
   FROM l4 GROUP BY 1, 2)"""
 )
 _CLAIMS = """ce AS (SELECT 'w' || (user_id % 4) AS workspace_id, user_id AS claim_key, event_id AS seq,
-  CASE event_type WHEN 'signup' THEN 'extracted' WHEN 'view' THEN 'supported' WHEN 'click' THEN 'pinned' WHEN 'purchase' THEN 'promoted' ELSE 'contradicted' END AS event_type,
-  ts AS occurred_at, least(1.0::DOUBLE, value / 500) AS base FROM events),
+  CASE event_type WHEN 'signup' THEN 'extracted' WHEN 'view' THEN 'supported' WHEN 'click' THEN ['pinned', 'watched', 'unpinned', 'unwatched'][event_id % 4 + 1] WHEN 'purchase' THEN 'promoted' ELSE 'contradicted' END AS event_type,
+  event_type = 'purchase' AND event_id % 2 = 0 AS governed, ts AS occurred_at, least(1.0::DOUBLE, value / 500) AS base FROM events),
 cp AS (SELECT *, coalesce(sum((event_type IN ('extracted', 'supported'))::INT) OVER w, 0)::BIGINT AS prior_events, coalesce(sum((event_type = 'contradicted')::INT) OVER w, 0)::BIGINT AS prior_against
   FROM ce WINDOW w AS (PARTITION BY workspace_id, claim_key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cs AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, round(base + 0.08::DOUBLE
@@ -194,18 +194,20 @@ cs AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, round(base + 0.08::DOU
   + CASE WHEN age <= 7 THEN 0.03::DOUBLE WHEN age <= 30 THEN 0.01::DOUBLE WHEN age <= 90 THEN 0.0::DOUBLE ELSE -0.08::DOUBLE END
   + (0.08::DOUBLE + 0.03::DOUBLE), 4))) AS confidence
   FROM (SELECT *, datesub('day', occurred_at, TIMESTAMP '2024-02-01 00:00:00') AS age FROM cp)),
-coded AS (SELECT *, CASE event_type WHEN 'extracted' THEN 'candidate' WHEN 'promoted' THEN 'supported' WHEN 'pinned' THEN NULL ELSE event_type END AS state,
+coded AS (SELECT *, CASE event_type WHEN 'extracted' THEN 'candidate' WHEN 'promoted' THEN 'supported' WHEN 'pinned' THEN NULL WHEN 'unpinned' THEN NULL WHEN 'watched' THEN NULL WHEN 'unwatched' THEN NULL ELSE event_type END AS state,
   CASE event_type WHEN 'contradicted' THEN 2 WHEN 'supported' THEN 1 WHEN 'promoted' THEN 1 ELSE 0 END AS rank FROM cs),
 nums AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, claim_key ORDER BY seq) AS i FROM coded),
-fold AS (SELECT workspace_id, claim_key, i, state, rank, occurred_at AS observed_at, confidence, seq AS latest_seq, false AS pinned, CASE WHEN state IS NULL THEN 0 ELSE 1 END AS n FROM nums WHERE i = 1
+fold AS (SELECT workspace_id, claim_key, i, state, rank, occurred_at AS observed_at, confidence, seq AS latest_seq, false AS pinned, false AS watched, NULL::VARCHAR AS last_review, CASE WHEN state IS NULL THEN 0 ELSE 1 END AS n FROM nums WHERE i = 1
   UNION ALL
   SELECT f.workspace_id, f.claim_key, e.i,
     CASE WHEN go THEN e.state ELSE f.state END, CASE WHEN go THEN e.rank ELSE f.rank END, CASE WHEN go THEN e.occurred_at ELSE f.observed_at END,
     CASE WHEN go THEN e.confidence ELSE f.confidence END, CASE WHEN go THEN e.seq ELSE f.latest_seq END,
-    f.pinned OR (e.event_type = 'pinned' AND f.n > 0), f.n + go::INT
+    CASE WHEN f.n > 0 AND e.event_type IN ('pinned', 'unpinned') THEN e.event_type = 'pinned' ELSE f.pinned END,
+    CASE WHEN f.n > 0 AND e.event_type IN ('watched', 'unwatched') THEN e.event_type = 'watched' ELSE f.watched END,
+    CASE WHEN f.n > 0 AND e.state IS NULL THEN e.event_type ELSE f.last_review END, f.n + go::INT
   FROM fold f JOIN nums e ON e.workspace_id = f.workspace_id AND e.claim_key = f.claim_key AND e.i = f.i + 1,
-    LATERAL (SELECT e.state IS NOT NULL AND (f.n = 0 OR (f.observed_at < e.occurred_at AND (f.state = 'candidate' OR e.rank >= f.rank)) OR (f.observed_at = e.occurred_at AND e.rank >= f.rank)) AS go) g),
-cc AS (SELECT workspace_id, claim_key, state, observed_at, confidence, latest_seq, pinned, n::BIGINT AS n_advances FROM fold
+    LATERAL (SELECT e.state IS NOT NULL AND (f.n = 0 OR (e.governed AND f.observed_at <= e.occurred_at) OR (f.observed_at < e.occurred_at AND (f.state = 'candidate' OR e.rank >= f.rank)) OR (f.observed_at = e.occurred_at AND e.rank >= f.rank)) AS go) g),
+cc AS (SELECT workspace_id, claim_key, state, observed_at, confidence, latest_seq, pinned, watched, last_review, n::BIGINT AS n_advances FROM fold
   WHERE n > 0 AND (workspace_id, claim_key, i) IN (SELECT (workspace_id, claim_key, max(i)) FROM nums GROUP BY workspace_id, claim_key))"""
 
 ORACLES = {

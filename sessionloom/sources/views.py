@@ -58,11 +58,11 @@ def snapshots(documents: DataFrame) -> DataFrame:
 
 
 def claim_events(events: DataFrame) -> DataFrame:
-    """Claim events: one claim per user; the event type gives the kind of evidence."""
+    """Claim events: one claim per user; the event type gives the kind of event, every other promotion is a decision."""
     kind = (
         F.when(F.col("event_type") == "signup", "extracted")
         .when(F.col("event_type") == "view", "supported")
-        .when(F.col("event_type") == "click", "pinned")
+        .when(F.col("event_type") == "click", F.element_at(F.array(*[F.lit(x) for x in ("pinned", "watched", "unpinned", "unwatched")]), (F.col("event_id") % 4 + 1).cast("int")))
         .when(F.col("event_type") == "purchase", "promoted")
         .otherwise("contradicted")
     )
@@ -73,6 +73,7 @@ def claim_events(events: DataFrame) -> DataFrame:
         kind.alias("event_type"),
         F.col("ts").alias("occurred_at"),
         F.least(F.lit(1.0), F.col("value") / 500).alias("base"),
+        F.when(F.col("event_id") % 2 == 0, "claim.promotion").otherwise("session.note").alias("evidence_type"),
     )
 
 

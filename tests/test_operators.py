@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import claims, graph, intervals, ledger, recall, sessions, snapshots
@@ -51,6 +52,32 @@ def test_claim_fold_is_in_order_of_arrival(spark):
     assert [(r["claim_key"], r["state"], r["pinned"], r["latest_seq"]) for r in out] == [(1, "rejected", True, 2)]
 
 
+def test_decisions_go_back_and_attributes_outlive_advances(spark):
+    day = lambda n: AT + dt.timedelta(days=n)
+    rows = [
+        ("w", 1, 1, "watched", day(0), "x"),  # no claim yet: nothing to mark
+        ("w", 1, 2, "extracted", day(1), "x"), ("w", 1, 3, "pinned", day(0), "x"), ("w", 1, 4, "rejected", day(2), "claim.review"),
+        ("w", 1, 5, "promoted", day(3), "x"), ("w", 1, 6, "promoted", day(1), "claim.promotion"),  # of lower precedence; older
+        ("w", 1, 7, "promoted", day(2), "claim.promotion"), ("w", 1, 8, "watched", day(2), "x"), ("w", 1, 9, "strange", day(9), "x"),
+        ("w", 2, 10, "extracted", day(1), "x"), ("w", 2, 11, "pinned", day(1), "x"), ("w", 2, 12, "unpinned", day(1), "x"), ("w", 2, 13, "rejected", day(2), None), ("w", 2, 14, "decayed", day(3), None),
+    ]
+    log = spark.createDataFrame(rows, "workspace_id string, claim_key long, seq long, event_type string, occurred_at timestamp_ntz, evidence_type string").withColumn("confidence", F.lit(0.5))
+    out = claims.project(log.withColumn("governed", claims.governed(F.col("event_type"), F.col("evidence_type")))).orderBy("claim_key").collect()
+    assert [(r["state"], r["latest_seq"], r["pinned"], r["watched"], r["last_review"], r["n_advances"]) for r in out] == [("supported", 7, True, True, "watched", 3), ("rejected", 13, False, False, "unpinned", 2)]
+
+
+def test_links_carry_long_keys_whole(spark):
+    key = "näme/ " * 400
+    entries = spark.createDataFrame([("w", "t", key)], "workspace_id string, source_type string, key string")
+    bindings = spark.createDataFrame([("w", "t", True)], "workspace_id string, source_type string, enabled boolean")
+    assert sessions.context_links(entries, bindings).first()["resolved_key"] == key
+
+
+def test_lineage_that_does_not_settle_is_an_error(spark):
+    with pytest.raises(RuntimeError):
+        graph.lineage(spark.createDataFrame([(i, i + 1) for i in range(40)], "source long, target long"), depth=1)
+
+
 def test_ledger_append_is_idempotent(spark):
     rows = spark.createDataFrame([("w", "s", "i", "e1", 1), ("w", "s", "i", "e1", 2), ("v", "s", "i", "e1", 3)], "workspace_id string, source_type string, source_id string, external_event_id string, arrival long")
     first = ledger.append(rows.limit(0), rows, "arrival")
