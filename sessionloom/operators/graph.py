@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``. A local session may name none and gets a temporary one; on a cluster,
+    where executors would each write to their own disk, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
@@ -29,7 +32,7 @@ def lineage(edges: DataFrame, depth: int = 64) -> DataFrame:
     """(node, lineage): every node of the edges (source, target) with the least node it is connected to.
 
     Labels spread along edges and then jump to the label of their label, so a chain takes a logarithmic number of
-    rounds; ``depth`` bounds the rounds.
+    rounds; an error is raised where ``depth`` rounds don't settle them.
     """
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
     both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
@@ -43,6 +46,8 @@ def lineage(edges: DataFrame, depth: int = 64) -> DataFrame:
         labels = now.select("node", "label")
         if not changed:
             break
+    else:
+        raise RuntimeError(f"the lineages did not settle in {depth} rounds")
     return labels.select("node", F.col("label").alias("lineage"))
 
 

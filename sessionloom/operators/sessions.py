@@ -128,8 +128,8 @@ def markdown(documents: DataFrame, as_of: str) -> DataFrame:
 def context_links(entries: DataFrame, bindings: DataFrame) -> DataFrame:
     """Entries of enabled bindings with a link that carries their key, and the key read back from it."""
     link = F.concat(F.lit("context://"), F.url_encode("key"))
-    rows = entries.join(F.broadcast(bindings.where("enabled")), ["workspace_id", "source_type"], "left_semi")
-    return rows.withColumn("link", link).withColumn("resolved_key", F.url_decode(F.substring("link", 11, 1000)))
+    rows = entries.join(bindings.where("enabled"), ["workspace_id", "source_type"], "left_semi")
+    return rows.withColumn("link", link).withColumn("resolved_key", F.url_decode(F.substring_index("link", "context://", -1)))
 
 
 # --- findings ---------------------------------------------------------------------------------------------------

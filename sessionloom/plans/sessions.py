@@ -80,7 +80,7 @@ def _outputs(spark: SparkSession, sf: str) -> DataFrame:
     turns = views.table(spark, sf, "conversations")
     key = F.concat(F.lit("k"), F.when((F.col("conv_id") % 9 == 4), F.floor(F.col("turn") / 2)).otherwise(F.col("turn")).cast("string"))
     kind = F.when(F.col("role") == "user", "question").when(F.col("role") == "assistant", "decision").otherwise("learning")
-    finding = F.struct("turn", F.struct(key.alias("key"), kind.alias("type"), F.substring("text", 1, 40).alias("text"), F.array(F.struct(F.col("conv_id").alias("session"), F.col("turn").cast("int").alias("turn"))).alias("evidence")).alias("f"))
+    finding = F.struct("turn", F.struct(key.alias("key"), kind.alias("type"), "text", F.array(F.struct(F.col("conv_id").alias("session"), F.col("turn").cast("int").alias("turn"))).alias("evidence")).alias("f"))
     edge = F.when(F.col("turn") > 0, F.struct(F.lit("builds_on").alias("kind"), key.alias("fromKey"), F.concat(F.lit("k"), (F.col("turn") - 1).cast("string")).alias("toKey")))
     rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(finding)).alias("fs"), F.collect_list(edge).alias("ds"))
     body = F.to_json(F.struct(F.lit("n").alias("narrative"), F.transform("fs", lambda x: x["f"]).alias("findings"), F.col("ds").alias("dispositions")))
