@@ -101,20 +101,35 @@ def redact_patterns(text: Column, patterns: Iterable[tuple[str, str, bool]]) ->
     return text, hits
 
 
-_STOP = r"""\s"',}\])"""
+_STOP = r"""\s"',}\])\x02"""
 _LEAD = r"""(^|[\s"'(\[{=,:])"""
-_END = rf"(?=$|[{_STOP}])"
-#: Local paths by where they start; each form is tried with blanks inside (ending in an extension), then without.
+#: What no path goes past (a safe address set aside among it), the characters of a name's end, and folders that are a path by themselves.
+_PAST = r"""=\r\n"',}\])\x02"""
+_WORD = "[A-Za-z0-9._@%+-]"
+FOLDERS = ("home", "work", "Users", "Volumes", "private", "tmp", "var", "opt", "etc", "usr", "bin", "sbin", "lib", "lib64", "mnt", "media", "srv", "run", "root", "nix", "workspace", "app", "repo", "repos", "projects", "builds")
+
+
+def _path(root: str, separator: str, folders: str, plain: str, past: str = _PAST, lead: str = _LEAD) -> str:
+    """A path from its root on, with blanks in folder names. The last name has blanks too where it ends in an extension,
+    or where the path stands between bounds (a quote, a bracket, a sign, an end); else it ends at a blank.
+
+    Folders are read possessively, so that long paths need no stack. A folder name with an extension before a blank
+    ends the path where nothing else does.
+    """
+    name, extension = f"[^{separator}{past}]", r"\.[A-Za-z0-9][A-Za-z0-9._-]*" + f"(?=$|[{_STOP}])"
+    start = f"{root}(?:{name}++{separator}){folders}+"
+    careful = rf"{root}(?:(?:(?!\.[A-Za-z0-9._-]++\s){name})++{separator}){folders}+{name}*{extension}"
+    bounded = rf"""(?<=^|["'(\[{{=,:]){start}{name}*{_WORD}(?=$|[\r\n"',}}\])])"""
+    return f"{lead}(?:{start}{name}*{extension}|{bounded}|{careful}|{start}{plain})"
+
+
+#: By where a path starts: file addresses, shares, drives, folders from the root, known folders.
 PATHS = (
-    (r"\bfile://[^=\r\n\"',}\])]*\.[A-Za-z0-9][A-Za-z0-9._-]*" + _END, PATH_MARK),
-    (rf"\bfile://[^{_STOP}]+", PATH_MARK),
-    (_LEAD + r"(\\\\[^\\=\r\n\"',}\])]+\\[^\\=\r\n\"',}\])]+\\[^=\r\n\"',}\])]*\.[A-Za-z0-9][A-Za-z0-9._-]*)" + _END, "$1" + PATH_MARK),
-    (_LEAD + rf"(\\\\[^\\{_STOP}]+\\[^\\{_STOP}]+\\[^{_STOP}]+)", "$1" + PATH_MARK),
-    (_LEAD + r"([A-Za-z]:\\[^=\r\n\"',}\])]*\.[A-Za-z0-9][A-Za-z0-9._-]*)" + _END, "$1" + PATH_MARK),
-    (_LEAD + rf"([A-Za-z]:\\[^{_STOP}]+)", "$1" + PATH_MARK),
-    (_LEAD + r"(/(?!/)(?=[A-Za-z0-9._@%+-])(?:[^/:=\r\n\"',}\])]+/)+[^/:=\r\n\"',}\])]*\.[A-Za-z0-9][A-Za-z0-9._-]*)" + _END, "$1" + PATH_MARK),
-    (_LEAD + r"(/(?!/)(?=[A-Za-z0-9._@%+-])(?:[A-Za-z0-9._@%+-]+/)+[A-Za-z0-9._@%+-]*)", "$1" + PATH_MARK),
-    (_LEAD + rf"(/(?:home|work|Users|Volumes|private|tmp|var|opt|etc|usr|bin|sbin|lib|lib64|mnt|media|srv|run|root|nix|workspace|app|repo|repos|projects|builds)\b[^{_STOP}]*)", "$1" + PATH_MARK),
+    _path("file:///?", "/", "*", f"[^{_STOP}]*", lead=r"(\b)"),
+    _path(r"\\\\", r"\\", "{2,}", f"[^{_STOP}]*"),
+    _path(r"[A-Za-z]:\\", r"\\", "*", f"[^{_STOP}]*"),
+    _path(f"/(?!/)(?={_WORD})", "/", "{1,}", f"{_WORD}*", past=":" + _PAST),
+    _LEAD + rf"/(?:{'|'.join(FOLDERS)})\b[^{_STOP}]*",
 )
 
 
@@ -127,8 +142,8 @@ def redact_paths(text: Column, schemes: Iterable[str] = SAFE_SCHEMES) -> Column:
     safe = _safe(schemes)
     uris = F.regexp_extract_all(text, F.lit(safe), F.lit(0))
     hidden = F.regexp_replace(text, safe, "\x02URI\x03")
-    for pattern, put in PATHS:
-        hidden = F.regexp_replace(hidden, pattern, put)
+    for pattern in PATHS:
+        hidden = F.regexp_replace(hidden, pattern, "$1" + PATH_MARK)
     parts = F.split(hidden, "\x02URI\x03")
     joined = F.zip_with(parts, uris, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return F.array_join(joined, "")

@@ -22,6 +22,15 @@ def test_paths_are_redacted_and_safe_addresses_stay(spark):
     assert red("win=C:\\Users\\x\\a.txt, next") == "win=[local-path-redacted], next"
     assert red("unc=\\\\host\\share\\dir\\a.txt") == "unc=[local-path-redacted]"
     assert red("see file:///srv/data/a.txt") == "see [local-path-redacted]"
+    mark = "[local-path-redacted]"
+    for bare in ("/Users/Drew Smith/My Folder", "C:\\Users\\Drew Smith\\My Folder", "\\\\host\\a share\\My Folder", "file:///Users/Drew Smith/My Folder"):
+        assert red(f'"{bare}"') == f'"{mark}"' and red(bare) == mark and red(f"x=({bare})") == f"x=({mark})"
+        assert red(f"open {bare} now") == f"open {mark} Folder now"
+    assert red("see /home/a/x.txt and/or y") == f"see {mark} and/or y"
+    assert red("in /a/My v1.2 files/x.txt, too") == f"in {mark}, too"
+    assert red("either/or 1/2 //x a/b /alone https://e.org/a b/c") == "either/or 1/2 //x a/b /alone https://e.org/a b/c"
+    assert red("at /home/a/b:12 and /etc") == f"at {mark}:12 and {mark}"
+    assert red("/a" * 50_000) == mark and red("C:" + "\\a b" * 50_000) == mark
     assert red("at https://example.com/home/a.txt and /home/a/b") == "at https://example.com/home/a.txt and [local-path-redacted]"
     assert red("plain words / nothing") == "plain words / nothing"
 
