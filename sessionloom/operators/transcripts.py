@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FORMAT_A = "type string, uuid string, timestamp string, sessionId string, session_id string, cwd string, isSidechain boolean, aiTitle string, message struct<role: string, model: string, content: array<struct<type: string, text: string, thinking: string, id: string, name: string, input: string, tool_use_id: string, content: string>>>"
+FORMAT_A = "type string, uuid string, timestamp string, sessionId string, session_id string, cwd string, isSidechain boolean, aiTitle string, message struct<role: string, model: string, content: variant>"
+PARTS_A = "array<struct<type: string, text: string, thinking: string, id: string, name: string, input: string, tool_use_id: string, content: string>>"
 FORMAT_B = "timestamp string, type string, payload struct<type: string, id: string, cwd: string, model: string, turn_id: string, role: string, message: string, name: string, arguments: string, call_id: string, output: string, content: array<struct<type: string, text: string>>>"
 TURN = ["record_id", "line", "part", "role", "actor_kind", "kind", "text", "call_id", "tool_name", "model", "cwd", "started_at"]
 
@@ -24,6 +25,20 @@ def scan_lines(records: DataFrame) -> DataFrame:
     return rows.select("record_id", "line", "text", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "byte_start", (F.col("byte_start") + F.octet_length("text")).alias("byte_end"), F.col("v").isNotNull().alias("parsed"))
 
 
+def scan_documents(records: DataFrame) -> DataFrame:
+    """(record_id, body), each one JSON text, to its objects: the text itself or the items of its list.
+
+    Each object has its place as line number; all have the span of the whole body. Items that are no objects are
+    dropped; a body that does not parse is one row with ``parsed`` false.
+    """
+    rows = records.withColumn("v", F.try_parse_json("body"))
+    listed = F.schema_of_variant("v").startswith("ARRAY")
+    items = F.when(F.col("v").isNull(), F.array("body")).when(listed, F.from_json("body", "array<string>")).otherwise(F.array("body"))
+    rows = rows.select("record_id", "body", F.col("v").isNotNull().alias("parsed"), F.posexplode(items).alias("line", "text"))
+    rows = rows.where(~F.col("parsed") | F.coalesce(F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"), F.lit(False)))
+    return rows.select("record_id", "line", "text", F.lit(0).alias("char_start"), F.length("body").alias("char_end"), F.lit(0).alias("byte_start"), F.octet_length("body").alias("byte_end"), "parsed")
+
+
 def role_of(role: Column) -> Column:
     """Developers speak as the system; unknown roles too."""
     return F.when(role == "developer", "system").when(role.isin("user", "assistant", "system", "tool"), role).otherwise("system")
@@ -47,11 +62,15 @@ def _named(turns: DataFrame) -> DataFrame:
 
 
 def turns_a(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Message records: (turns, lifecycle events). One record may give several turns, one for each content part."""
+    """Message records: (turns, lifecycle events). One record may give several turns, one for each content part; a
+    content that is a plain string is one text."""
     rows = lines.where("parsed").withColumn("r", F.from_json("text", FORMAT_A))
     rows = _carried(rows, cwd=F.col("r.cwd"), model=F.col("r.message.model"))
     life = F.col("r.message").isNull()
-    parts = rows.where(~life).select("record_id", "line", "model", "cwd", "r", F.posexplode("r.message.content").alias("part", "p"))
+    content = F.col("r.message.content")
+    said = F.from_json(F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.try_variant_get(content, "$", "string").alias("text")))), PARTS_A)
+    content = F.when(F.schema_of_variant(content) == "STRING", said).otherwise(F.from_json(F.to_json(content), PARTS_A))
+    parts = rows.where(~life).select("record_id", "line", "model", "cwd", "r", F.posexplode(content).alias("part", "p"))
     kind = F.when(F.col("p.type") == "tool_use", "tool_call").when(F.col("p.type") == "tool_result", "tool_result").when(F.col("p.type") == "thinking", "thinking").otherwise("text")
     role = F.when(kind == "tool_result", "tool").otherwise(role_of(F.col("r.message.role")))
     text = F.coalesce("p.text", "p.thinking", "p.input", "p.content", F.lit(""))

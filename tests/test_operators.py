@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.operators import claims, graph, intervals, ledger, recall, sessions, snapshots
+from sessionloom.operators import claims, graph, intervals, ledger, recall, sessions, snapshots, transcripts
+from sessionloom.streaming import jobs
 
 AT = dt.datetime(2024, 1, 1, 12)
 
@@ -136,3 +137,36 @@ def test_hard_redaction_leaves_no_trace(spark):
     out = sessions.hard_redaction(rows, [("super-secret-token", "[x]", True)]).collect()
     assert not any("super-secret" in (r["content"] or "") for r in out)
     assert [(r["captured"], r["status"]) for r in out if r["is_active"]] == [(3, "captured"), (3, "redacted")] or {(r["session_id"], r["status"]) for r in out if r["is_active"]} == {("s", "redacted"), ("t", "captured")}
+
+
+def test_contents_that_are_plain_strings_are_turns(spark):
+    body = '{"type":"user","message":{"role":"user","content":"[not a list] hé"}}\n{"type":"assistant","message":{"role":"assistant","content":[{"type":"text","text":"yes"},{"type":"tool_use","id":"c","name":"grep","input":{"a":1}}]}}\n{"type":"x"}'
+    turns, life = transcripts.turns_a(transcripts.scan_lines(spark.createDataFrame([("r", body)], "record_id string, body string")))
+    assert [(r["role"], r["kind"], r["text"]) for r in turns.orderBy("line", "part").collect()] == [("user", "text", "[not a list] hé"), ("assistant", "text", "yes"), ("assistant", "tool_call", '{"a":1}')]
+    assert [r["type"] for r in life.collect()] == ["x"]
+
+
+def test_whole_documents_are_scanned(spark):
+    rows = [("a", '[{"type":"user"}, 3, {"x":"é"}]'), ("b", '{"type":"user"}'), ("c", "{"), ("d", "[]"), ("e", "3"), ("f", None)]
+    got = transcripts.scan_documents(spark.createDataFrame(rows, "record_id string, body string")).orderBy("record_id", "line").collect()
+    assert [(r["record_id"], r["line"], r["parsed"]) for r in got] == [("a", 0, True), ("a", 2, True), ("b", 0, True), ("c", 0, False), ("f", 0, False)]
+    assert (got[0]["char_end"], got[0]["byte_end"]) == (31, 32)
+
+
+def test_streams_agree_with_batches_over_several_micro_batches(spark, tmp_path):
+    hooks = ["SessionStart", "UserPromptSubmit", "Stop", "UserPromptSubmit", "UserPromptSubmit", "SessionStart"]
+    starts = [None, None, None, None, None, "clear"]
+    rows = [(f"s{i % 3}", i, hooks[(i // 3) % 6], starts[(i // 3) % 6], AT + dt.timedelta(minutes=7 * i if i < 30 else 60 * i)) for i in range(60)]
+    log = spark.createDataFrame(rows, "session_id string, raw_event_id long, hook string, start_source string, occurred_at timestamp_ntz")
+    for part in range(4):  # a file is a micro-batch; every third event is sent again with the next one
+        again = log.where(f"raw_event_id BETWEEN {15 * part - 15} AND {15 * part - 1} AND raw_event_id % 3 = 0")
+        sent = log.where(f"raw_event_id BETWEEN {15 * part} AND {15 * part + 14}").withColumn("arrival", F.col("raw_event_id") * 2)
+        sent.coalesce(1).write.mode("append").parquet(f"{tmp_path}/once")
+        sent.unionByName(again.withColumn("arrival", F.col("raw_event_id") * 2 + 1)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/twice")
+    stream = lambda name, df: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+    sent = spark.read.parquet(f"{tmp_path}/once")
+    got = jobs.run_to_table(jobs.label_stream(stream("once", sent)), "several").select("session_id", "raw_event_id", "interval_ordinal", "opens")
+    want = intervals.labelled(log, ["occurred_at", "raw_event_id"]).select("session_id", "raw_event_id", "interval_ordinal", "opens")
+    assert sorted(got.collect()) == sorted(want.collect())
+    keyed = stream("twice", sent).select(F.lit("w").alias("workspace_id"), F.lit("t").alias("source_type"), F.lit("i").alias("source_id"), F.col("raw_event_id").cast("string").alias("external_event_id"), "arrival")
+    assert sorted(r["arrival"] for r in jobs.run_to_table(keyed, "ledger", jobs.append_batch).collect()) == [2 * i for i in range(60)]
