@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +162,22 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFrame:
     return top(near, k, [F.col("score").desc(), "vec_id"])
 
 
+def embedded(texts: DataFrame, embedder: Callable[[list[str]], list[list[float]]], dims: int) -> DataFrame:
+    """(vec_id, embedding) of the texts (segment_id, text) by any embedder that takes a list of texts.
+
+    Null texts are embedded as empty ones; a vector that is not of ``dims`` finite numbers is an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = embedder([t or "" for t in batch.column(1).to_pylist()])
+            if not all(v is not None and len(v) == dims and np.isfinite(v).all() for v in vectors):
+                raise ValueError(f"the embedder must give {dims} finite numbers for each text")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], ["vec_id", "embedding"])
+
+    return texts.select(F.col("segment_id").cast("long"), "text").mapInArrow(run, "vec_id long, embedding array<double>")
+
+
 def hybrid(segments: DataFrame, queries: DataFrame, lexical: DataFrame, vector: DataFrame, limit: int, least: float = 0.3) -> DataFrame:
     """Hits by lexical + 0.35 trigram + 0.75 vector that may be among a query's first ``limit``.
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import recall
+from ..operators import recall, sessions, websearch
 from ..sources import views
+from ..sources.embedders import letters
 
 
 def _titles(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,6 +84,44 @@ def context_window(spark: SparkSession, sf: str) -> DataFrame:
     return recall.context(turns.where("ordinal % 3 = 1"), turns, 2, 100).select("session_id", "anchor", "ordinal", "distance", "role")
 
 
+def _web_queries(segments: DataFrame) -> DataFrame:
+    """A web-style query for each turn of every fiftieth conversation: two words but not a third, or a phrase."""
+    some = segments.where("session_id % 50 = 0").select(F.col("segment_id").alias("query_id"), T.analyzed(F.col("text")).alias("a")).where("size(a) >= 8")
+    return some.select("query_id", F.expr("concat(a[2], ' ', a[3], ' -', a[0], ' OR \"', a[5], ' ', a[6], '\" The ', a[7])").alias("query"))
+
+
+def _web_hits(spark: SparkSession, sf: str) -> DataFrame:
+    segments = _turn_segments(spark, sf)
+    hits = websearch.matches(segments.select("segment_id", "text"), _web_queries(segments)).withColumn("lexical", F.round("lexical", 6))
+    return recall.top(hits, 20, [F.col("lexical").desc(), "segment_id"])
+
+
+def web_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Web-style queries with phrases, alternatives and exclusions, ranked by their covers."""
+    return _web_hits(spark, sf).select("query_id", "segment_id", "lexical", F.col("rank").cast("long").alias("rank"))
+
+
+def recall_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """The first hits with their headline, turn, session, conversation partner, workspace and snapshot."""
+    segments, talks = _turn_segments(spark, sf), views.table(spark, sf, "conversations")
+    queries = _web_queries(segments)
+    turns = segments.join(views.turns(talks).select((F.col("session_id") * 100 + F.col("ordinal")).alias("segment_id"), "ordinal", "role", "actor_kind"), "segment_id")
+    bounds = sessions.session_bounds(views.turns(talks)).select("session_id", "n_turns", "last_role")
+    bindings = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_name").alias("binding"), F.col("c_nationkey").alias("n_key"))
+    spaces = views.table(spark, sf, "nation").select(F.col("n_nationkey").alias("n_key"), F.col("n_name").alias("workspace"))
+    records = views.table(spark, sf, "documents").select(F.col("doc_id").alias("session_id"), F.col("source").alias("record_source"))
+    found = websearch.describe(_web_hits(spark, sf), (websearch.terms_of(queries), "query_id"), (turns, "segment_id"), (bounds, "session_id"), (bindings, "session_id"), (spaces, "n_key"), (records, "session_id"))
+    shown = websearch.headline(F.col("text"), F.col("shown"))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "segment_id", "session_id", "ordinal", "role", "actor_kind", "n_turns", "last_role", "binding", "workspace", "record_source", shown.alias("headline"))
+
+
+def embedded_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of queries embedded by the given embedder, then compared with all embedded texts."""
+    titles = _titles(spark, sf)
+    vectors = recall.embedded(titles, letters, 26)
+    return recall.knn(vectors, vectors.where("vec_id % 50 = 0"), 5, 26).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 _TERMS = f"list_filter({_WORDS.format('text')}, lambda t: t NOT IN ({_STOP}))"
@@ -108,6 +147,32 @@ cover AS (SELECT query_id, s.segment_id, CASE WHEN r[1] = r[2] THEN 1 ELSE list_
   FROM asked, seg s WHERE list_contains(s.a, r[1]) AND list_contains(s.a, r[2]) AND NOT list_contains(s.a, x)),
 lex AS (SELECT query_id, segment_id, round(1.0::DOUBLE / w, 9) AS lexical, row_number() OVER (PARTITION BY query_id ORDER BY 1.0::DOUBLE / w DESC, segment_id) AS rank FROM cover QUALIFY rank <= 20)"""
 
+def _covers(asked: str, seg: str) -> str:
+    """SQL of web-style queries: ``asked`` (query_id, query) against ``seg`` (segment_id, a), ranked in ``web``."""
+    terms = f"list_filter(regexp_extract_all(lower(w), '[a-z0-9]+'), lambda t: t NOT IN ({_STOP}))"
+    return f"""tok AS (SELECT query_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT query_id, regexp_extract_all(query, '-?"[^"]*"|[^\\s"]+') AS x FROM {asked})),
+  parted AS (SELECT *, sum((lower(w) = 'or')::INT) OVER (PARTITION BY query_id ORDER BY i) AS clause FROM tok),
+  item AS (SELECT query_id, clause, i, w LIKE '-%' AS neg, {terms} AS terms FROM parted WHERE lower(w) <> 'or' AND len({terms}) > 0),
+  need AS (SELECT query_id, clause, count(*) FILTER (NOT neg) AS k FROM item GROUP BY 1, 2),
+  post AS (SELECT segment_id, a, unnest(a) AS t, generate_subscripts(a, 1) AS pos FROM {seg}),
+  spot AS (SELECT query_id, clause, i, neg, segment_id, pos AS s, pos + len(terms) - 1 AS e FROM item JOIN post ON t = terms[1] WHERE a[pos : pos + len(terms) - 1] = terms),
+  stops AS (SELECT DISTINCT query_id, clause, segment_id, e FROM spot WHERE NOT neg),
+  latest AS (SELECT query_id, clause, segment_id, stops.e, i, max(s) AS s FROM stops JOIN spot USING (query_id, clause, segment_id) WHERE NOT neg AND spot.e <= stops.e GROUP BY ALL),
+  full_ AS (SELECT query_id, clause, segment_id, e, min(s) AS s, count(*) AS have FROM latest GROUP BY ALL),
+  cov AS (SELECT query_id, clause, segment_id, s, min(e) AS e FROM full_ JOIN need USING (query_id, clause) WHERE have = k GROUP BY ALL),
+  ranked AS (SELECT query_id, clause, segment_id, sum(4.0::DOUBLE / greatest(4, e - s + 1)) AS lexical FROM cov GROUP BY ALL),
+  web AS (SELECT query_id, segment_id, round(max(lexical), 6) AS lexical FROM ranked r WHERE NOT EXISTS (FROM spot x WHERE x.neg AND x.query_id = r.query_id AND x.clause = r.clause AND x.segment_id = r.segment_id) GROUP BY ALL)"""
+
+
+_WEB = f"""wseg AS (SELECT conv_id * 100 + turn AS segment_id, conv_id AS session_id, text, turn, role, {_TERMS} AS a FROM conversations),
+  wask AS (SELECT segment_id AS query_id, a[3] || ' ' || a[4] || ' -' || a[1] || ' OR "' || a[6] || ' ' || a[7] || '" The ' || a[8] AS query FROM wseg WHERE session_id % 50 = 0 AND len(a) >= 8),
+  {_covers('wask', 'wseg')}, whit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, segment_id) AS rank FROM web QUALIFY rank <= 20)"""
+_HEADLINES = f"""shown AS (SELECT query_id, flatten(list(terms)) AS shown FROM item WHERE NOT neg GROUP BY 1),
+  marked AS (SELECT query_id, rank, h.segment_id, ws.session_id, ws.turn AS ordinal, ws.role, shown, regexp_extract_all(ws.text, '\\S+') AS words FROM whit h JOIN wseg ws USING (segment_id) JOIN shown USING (query_id)),
+  hits AS (SELECT *, list_filter(range(1, len(words) + 1), lambda i: len(list_intersect(list_filter(regexp_extract_all(lower(words[i]), '[a-z0-9]+'), lambda t: t NOT IN ({_STOP})), shown)) > 0) AS hit FROM marked),
+  sized AS (SELECT *, least(len(words), greatest(list_max(list_filter(hit, lambda i: i < hit[1] + 24)) - hit[1] + 1, 8)) AS n FROM hits),
+  placed_ AS (SELECT *, least(hit[1], len(words) - n + 1) AS first FROM sized)"""
+
 ORACLES = {
     "trigram_recall": f"WITH {_TRI} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY trigram DESC, segment_id) AS rank FROM exact WHERE trigram >= 0.3 QUALIFY rank <= 10",
     "lexical_recall": f"WITH {_LEX} SELECT * FROM lex",
@@ -122,6 +187,14 @@ ORACLES = {
       SELECT query_id, segment_id, round(rest + 0.35::DOUBLE * trigram, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(rest + 0.35::DOUBLE * trigram, 6) DESC, segment_id) AS rank FROM cand JOIN exact USING (query_id, segment_id) WHERE listed OR trigram >= 0.3 QUALIFY rank <= 10""",
     "hit_snippets": "SELECT doc_id, substr(text, greatest(1, strpos(lower(text), 'license') - 80), 280) AS snippet FROM documents",
     "recall_groups": f"WITH {_LEX} SELECT query_id, segment_id // 100 AS session_id, min(rank) AS first_rank, count(*) AS n_hits, string_agg(segment_id::VARCHAR, ',' ORDER BY rank) AS segments FROM lex GROUP BY 1, 2",
+    "web_recall": f"WITH {_WEB} SELECT * FROM whit",
+    "recall_metadata": f"""WITH {_WEB}, {_HEADLINES}, b AS (SELECT conv_id, count(*) AS n_turns, arg_max(role, turn) AS last_role FROM conversations GROUP BY 1)
+      SELECT query_id, rank, segment_id, session_id, ordinal, role, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'agent' ELSE 'system' END AS actor_kind, n_turns, last_role, c_name AS binding, n_name AS workspace, source AS record_source,
+        array_to_string(list_transform(range(first, first + n), lambda i: CASE WHEN list_contains(hit, i) THEN '<b>' || words[i] || '</b>' ELSE words[i] END), ' ') AS headline
+      FROM placed_ JOIN b ON b.conv_id = session_id LEFT JOIN customer ON c_custkey = session_id LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN documents ON doc_id = session_id""",
+    "embedded_queries": """WITH t AS (SELECT p_partkey AS id, list_transform(range(97, 123), lambda i: (length(lower(p_name || ' ' || p_type)) - length(replace(lower(p_name || ' ' || p_type), chr(i::INT), '')))::DOUBLE) AS e FROM part),
+      s AS (SELECT q.id AS query_id, v.id AS vec_id, greatest(0.0::DOUBLE, round(list_cosine_similarity(q.e, v.e), 9)) AS score FROM t q, t v WHERE q.id % 50 = 0 AND q.id <> v.id)
+      SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5""",
     "context_window": "SELECT t.conv_id AS session_id, a.turn AS anchor, t.turn AS ordinal, t.turn - a.turn AS distance, t.role FROM conversations t JOIN conversations a ON a.conv_id = t.conv_id AND a.turn % 3 = 1 AND t.turn BETWEEN a.turn - 2 AND a.turn + 20",
 }
 
