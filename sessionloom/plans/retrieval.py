@@ -54,12 +54,10 @@ def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles with the vector of the same number: word share, trigram similarity and cosine in one score."""
+    """Titles with the vector of the same number: cover rank, trigram similarity and cosine in one score."""
     titles = _titles(spark, sf)
     queries = titles.where("segment_id % 50 = 0").select(F.col("segment_id").alias("query_id"), F.col("text").alias("query"))
-    words = titles.select("segment_id", F.explode(F.array_distinct(T.analyzed(F.col("text")))).alias("t"))
-    asked = queries.select("query_id", F.array_distinct(T.analyzed(F.col("query"))).alias("a")).select("query_id", F.size("a").alias("k"), F.explode("a").alias("t"))
-    lexical = asked.join(words, "t").groupBy("query_id", "segment_id", "k").agg(F.count("*").alias("n")).where("n = k").select("query_id", "segment_id", F.lit(1.0).alias("lexical"))
+    lexical = websearch.matches(titles, queries).withColumn("lexical", F.round("lexical", 6))
     vectors = views.table(spark, sf, "embeddings")
     near = recall.knn(vectors, vectors.where("vec_id % 50 = 0"), 50, 64).select("query_id", F.col("vec_id").alias("segment_id"), F.col("score").alias("vector"))
     hits = recall.hybrid(titles, queries, lexical, near, 10)
@@ -178,7 +176,7 @@ ORACLES = {
     "lexical_recall": f"WITH {_LEX} SELECT * FROM lex",
     "eligible_segments": "SELECT doc_id AS record_id, source AS session_id, (CASE WHEN n = 0 THEN 0 WHEN n <= 1200 THEN 1 ELSE greatest(2, ceil((n - 125) / 875.0)) END)::INT AS n_chunks FROM (SELECT doc_id, source, len(regexp_extract_all(text, '\\S+')) AS n FROM documents) WHERE doc_id % 2 = 0 AND regexp_extract(source, '([0-9]+)$', 1)::INT % 2 = 0",
     "knn_cosine": f"WITH {_KNN} SELECT * FROM knn WHERE rank <= 10",
-    "hybrid_recall": f"""WITH {_PAIRS}, {_KNN}, lx AS (SELECT q.id AS query_id, s.id AS segment_id, 1.0::DOUBLE AS lexical FROM grams q, grams s WHERE q.id % 50 = 0 AND list_has_all(s.a, q.a)),
+    "hybrid_recall": f"""WITH {_PAIRS}, {_KNN}, hseg AS (SELECT id AS segment_id, {_TERMS} AS a FROM titles), {_covers('(SELECT id AS query_id, text AS query FROM titles WHERE id % 50 = 0)', 'hseg')}, lx AS (SELECT * FROM web),
       j AS (SELECT query_id, segment_id, lexical IS NOT NULL OR score IS NOT NULL AS listed, coalesce(lexical, 0) + 0.75::DOUBLE * coalesce(score, 0) AS rest, coalesce(n::DOUBLE / (nq + ns - n), 0) AS low, coalesce(n::DOUBLE / nq, 0) AS high
         FROM pairs FULL JOIN lx USING (query_id, segment_id) FULL JOIN (SELECT query_id, vec_id AS segment_id, score FROM knn) USING (query_id, segment_id)),
       bar AS (SELECT query_id, rest + 0.35::DOUBLE * low AS bar FROM j WHERE listed OR low >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rest + 0.35::DOUBLE * low DESC) = 10),

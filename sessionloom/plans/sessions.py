@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, intervals, sessions
+from ..operators import graph, intervals, segments, sessions
 from ..sources import views
-from . import events
+from . import documents, events
 
 
 def _tools(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,6 +19,15 @@ def tool_runs(spark: SparkSession, sf: str) -> DataFrame:
     return _tools(spark, sf).select("session_id", "ordinal", "part_type", "run")
 
 
+def turn_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """All turns to segments, tool calls and answers as groups."""
+    out = segments.derive(views.part_turns(views.table(spark, sf, "conversations")))
+    return out.select(
+        "session_id", F.col("segment").cast("long").alias("segment"), "ordinal", "segment_kind", F.col("chunk_count").cast("long").alias("chunk_count"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"),
+        F.md5("search_text").alias("digest"), F.array_join("part_types", ",").alias("part_types"), F.array_join("filter_reasons", ",").alias("reasons"), "group_call", F.col("member_index").cast("long").alias("member_index"), F.array_join(F.transform("group_ordinals", lambda o: o.cast("string")), ",").alias("group_ordinals"), F.col("segment_raw_span.char_end").cast("long").alias("raw_end"),
+    )
+
+
 def tool_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.tool_pairs(_tools(spark, sf))
 
@@ -206,6 +215,13 @@ _MISSING = "mis AS (SELECT conv_id * 8 + turn AS segment_id, text FROM conversat
 
 ORACLES = {
     "tool_runs": f"WITH {_PART} SELECT conv_id AS session_id, turn AS ordinal, part_type, run FROM tr WHERE part_type <> 'text'",
+    "turn_segments": f"""WITH {_PART}, pr AS (SELECT conv_id, call_id, min(turn) FILTER (part_type = 'tool_call') AS a, min(turn) FILTER (part_type = 'tool_result') AS b FROM tr WHERE part_type <> 'text' GROUP BY conv_id, run, call_id HAVING count(*) FILTER (part_type = 'tool_call') = 1 AND count(*) FILTER (part_type = 'tool_result') = 1 AND a < b),
+      t AS (SELECT tr.*, c.text AS body, CASE WHEN part_type = 'text' THEN c.text ELSE 'run ' || c.text || ' ok' END AS text FROM tr JOIN conversations c USING (conv_id, turn)),
+      s AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace({documents._CLEAN}, '\\r\\n', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')) AS st FROM t),
+      g AS (SELECT s.conv_id AS session_id, turn AS ordinal, part_type, st, pr.call_id AS group_call, a, b, body FROM s LEFT JOIN pr ON pr.conv_id = s.conv_id AND turn IN (a, b)),
+      f AS (SELECT *, CASE WHEN st = '' THEN CASE WHEN group_call IS NULL THEN 'turn_skipped' ELSE 'tool_group_skipped' END WHEN group_call IS NULL THEN 'turn' WHEN part_type = 'tool_call' THEN 'tool_group_call' ELSE 'tool_group_result' END AS segment_kind, length(regexp_replace(st, '\\s+$', '')) AS stop FROM g)
+      SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ordinal) - 1 AS segment, ordinal, segment_kind, CASE WHEN st <> '' THEN 1 END::BIGINT AS chunk_count, CASE WHEN st <> '' THEN length(st) - length(regexp_replace(st, '^\\s+', '')) END AS char_start, CASE WHEN st <> '' THEN stop END AS char_end,
+        md5(trim(st)) AS digest, part_type AS part_types, '' AS reasons, group_call, CASE ordinal WHEN a THEN 0 WHEN b THEN 1 END::BIGINT AS member_index, a || ',' || b AS group_ordinals, CASE WHEN st <> '' THEN ordinal * 10000 + length(body) END AS raw_end FROM f""",
     "tool_pairs": f"WITH {_PART} SELECT conv_id AS session_id, run, call_id, min(turn) FILTER (part_type = 'tool_call') AS call_at, min(turn) FILTER (part_type = 'tool_result') AS result_at FROM tr WHERE part_type <> 'text' GROUP BY 1, 2, 3 HAVING count(*) FILTER (part_type = 'tool_call') = 1 AND count(*) FILTER (part_type = 'tool_result') = 1 AND call_at < result_at",
     "skipped_summary": """WITH s AS (SELECT conv_id AS session_id, turn AS ordinal, length(text) AS n, CASE WHEN length(text) > 400 THEN 'huge_raw_log' WHEN length(text) < 100 THEN 'secret' END AS reason, CASE WHEN role = 'user' THEN 'turn_skipped' ELSE 'tool_group_skipped' END AS kind FROM conversations)
       SELECT session_id, ordinal, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) AS n_skipped, sum(n)::BIGINT AS n_chars, '{"type":"omitted","reasons":["' || string_agg(DISTINCT reason, '","' ORDER BY reason) || '"],"count":' || count(*) || '}' AS placeholder FROM s WHERE reason IS NOT NULL GROUP BY 1, 2""",

@@ -82,3 +82,13 @@ def continuation_edges(conversations: DataFrame) -> DataFrame:
     sessions = conversations.select(F.col("conv_id").alias("source")).distinct()
     following = sessions.select(F.col("source").alias("target"))
     return sessions.where("source % 5 <> 4").join(following, F.col("target") == F.col("source") + 1)
+
+
+def part_turns(conversations: DataFrame) -> DataFrame:
+    """Turns with one content part each, of the types and call ids of ``tool_turns``, and a made raw span."""
+    tools = tool_turns(conversations).select("session_id", "ordinal", "part_type", "call_id")
+    rows = turns(conversations).join(tools, ["session_id", "ordinal"])
+    text = lambda kind: F.when(F.col("part_type") == kind, F.col("text"))
+    part = F.struct(F.col("part_type").alias("type"), text("text").alias("text"), F.lit("run").alias("name"), text("tool_call").alias("arguments"), text("tool_result").alias("output"), F.lit("ok").alias("status"), "call_id")
+    span = F.struct((F.col("ordinal") * 10000).alias("char_start"), (F.col("ordinal") * 10000 + F.length("text")).alias("char_end"))
+    return rows.select("session_id", (F.col("session_id") * 100 + F.col("ordinal")).alias("turn_id"), "ordinal", "actor_kind", "role", F.array(part).alias("parts"), span.alias("raw_span"))
