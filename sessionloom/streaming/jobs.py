@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,6 +20,8 @@ from ..operators.graph import shared_folder
 
 IDLE = pd.Timedelta(minutes=30)
 LABELLED = "session_id string, raw_event_id long, interval_ordinal long, opens boolean, settled string"
+RUNS = "job string, run_id long, started_at timestamp, finished_at timestamp, status string, n_rows long, error string"
+ERROR_CHARS = 2000
 STATE = "ordinal long, active boolean, last_us long"
 
 
@@ -64,6 +67,36 @@ def run_to_table(stream: DataFrame, name: str, write: Callable[[DataFrame, int,
     return spark.read.parquet(f"{base}/out")
 
 
+def recorded(write: Callable[[DataFrame, int, str], None], job: str, runs: str) -> Callable[[DataFrame, int, str], None]:
+    """``write`` that leaves a row of the run ledger for each micro-batch, also where it fails; the failure goes on.
+
+    A batch that is tried again replaces its row, since each batch number has a folder of its own.
+    """
+
+    def run(df: DataFrame, number: int, path: str) -> None:
+        spark, started = df.sparkSession, datetime.now(UTC)
+        seen, status, error = Observation(), "failed", None
+        try:
+            write(df.observe(seen, F.count(F.lit(1)).alias("n")), number, path)
+            status = "ok"
+        except Exception as problem:
+            error = str(problem)[:ERROR_CHARS]
+            raise
+        finally:
+            n = seen.get["n"] if status == "ok" else None
+            row = [(job, number, started, datetime.now(UTC), status, n, error)]
+            spark.createDataFrame(row, RUNS).coalesce(1).write.mode("overwrite").parquet(f"{runs}/batch={number}")
+
+    return run
+
+
+def run_with_ledger(stream: DataFrame, job: str, write: Callable[[DataFrame, int, str], None]) -> tuple[DataFrame, DataFrame]:
+    """Run a stream over what is available; its sink and its run ledger. ``ledger.keep_newest`` is the retention."""
+    runs = f"{shared_folder(stream.sparkSession)}/{job}-runs-{uuid.uuid4().hex}"
+    out = run_to_table(stream, job, recorded(write, job, runs))
+    return out, stream.sparkSession.read.schema(RUNS).parquet(f"{runs}/batch=*")
+
+
 def append_batch(df: DataFrame, number: int, path: str) -> None:
     """Exactly-once append: first of each key in the batch, not there from earlier batches, into the batch's own folder."""
     spark = df.sparkSession
