@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, fingerprints, html, language, mixing, neardups, packing, pii, secrets, substrings
+from . import conversations, embeddings, fingerprints, html, language, mixing, neardups, packing, pii, secrets, substrings
 from .common import read_table
 
 
@@ -50,6 +50,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_html_text": op9_html_text,
         "op10_language": op10_language,
+        "op11_conversation_repair": op11_conversation_repair,
     }
 
 
