@@ -28,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, materialize, worker_cache
+from .common import give_back, materialize, worker_cache
 from .packing import gather
 
 #: Bytes of text that a task works on at once.
-BLOCK = 8 << 20
+BLOCK = 16 << 20
 #: Bytes of distinct units that are tokenised in one call, and pairs that are made distinct at once.
 CALL, PAIRS = 1 << 16, 1 << 21
 SHIFT = 1 << 32
@@ -117,7 +117,7 @@ def cut_units(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     fine = printable(data)
     at = np.flatnonzero((data[1:-1] == 0x20) | (data[1:-1] == 0x0A)) + 1
     at = at[fine[at - 1] & fine[at + 1]]
-    return np.union1d(at, starts)
+    return distinct(np.concatenate([at, starts]))
 
 
 def _encode(side_a: Side, side_b: Side, raw: bytes, ends: np.ndarray):
@@ -137,57 +137,55 @@ def _encode(side_a: Side, side_b: Side, raw: bytes, ends: np.ndarray):
     return out
 
 
-def tokenize_units(units: list[bytes], side_a: Side, side_b: Side):
-    """Both sides' ids of distinct units behind each other, their number in each unit, and which units come back whole."""
-    parts: list = [([], []), ([], [])]
-    fine = np.ones(len(units), dtype=bool)
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The different keys in order, by sorting: faster than hashing at these sizes."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def safe_units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which units may stand beside each other in one call: a blank or line feed, then characters that are printable at both
+    ends. Very long ones are left alone."""
+    sizes = np.diff(offsets)
+    if not len(data):
+        return np.zeros(len(sizes), dtype=bool)
+    shown, first = printable(data), np.minimum(offsets[:-1], len(data) - 1)
+    begins = (data[first] == 0x20) | (data[first] == 0x0A)
+    return (sizes > 1) & (sizes <= 1024) & begins & shown[np.minimum(first + 1, len(data) - 1)] & shown[offsets[1:] - 1]
 
-    def one(k: int) -> None:
-        got = _encode(side_a, side_b, units[k], np.array([len(units[k])]))
-        fine[k] = got is not None
-        for (ids, n), found in zip(parts, got or [(np.zeros(0, np.int64), np.zeros(1, np.int64))] * 2, strict=True):
-            ids.append(found[0])
-            n.append(found[1])
 
-    def many(first: int, last: int) -> None:
-        raw = b"".join(units[first:last])
-        shown = printable(np.frombuffer(raw, dtype=np.uint8))
-        ends = np.cumsum([len(u) for u in units[first:last]])
-        begins = ends - [len(u) for u in units[first:last]]
-        safe = last - first > 1 and shown[ends - 1].all() and shown[np.minimum(begins + 1, len(raw) - 1)].all()
-        got = _encode(side_a, side_b, raw, ends) if safe else None
-        if got is None:
+def tokenize_units(data: np.ndarray, offsets: np.ndarray, side_a: Side, side_b: Side):
+    """Both sides' ids of distinct units behind each other, their number in each unit, and which units come back whole.
+    Safe units go many to a call; where those don't come back whole, and for all others, each is a call of its own."""
+    n_units = len(offsets) - 1
+    parts: list = [([], []), ([], [])]
+    fine = np.ones(n_units, dtype=bool)
+
+    def call(first: int, last: int) -> None:
+        raw = data[offsets[first] : offsets[last]].tobytes()
+        got = _encode(side_a, side_b, raw, offsets[first + 1 : last + 1] - offsets[first])
+        if got is None and last - first > 1:
             for k in range(first, last):
-                one(k)
+                call(k, k + 1)
             return
-        for (ids, n), found in zip(parts, got, strict=True):
+        fine[first:last] = got is not None
+        for (ids, n), found in zip(parts, got or [(np.zeros(0, np.int64), np.zeros(1, np.int64))] * 2, strict=True):
             ids.append(found[0])
             n.append(found[1])
 
-    odd = [k for k, u in enumerate(units) if len(u) > 1024 or not _bare(u)]
-    first = size = 0
-    stops = iter([*odd, len(units)])
-    stop = next(stops)
-    for k in range(len(units) + 1):
-        if k == stop or size > CALL:
-            if k > first:
-                many(first, k)
-            first, size = k, 0
-            if k == stop and k < len(units):
-                one(k)
-                first, stop = k + 1, next(stops)
-                continue
-        if k < len(units):
-            size += len(units[k])
+    at, odd = 0, [*np.flatnonzero(~safe_units(data, offsets)).tolist(), n_units]
+    for stop in odd:
+        while at < stop:
+            end = min(stop, max(at + 1, int(np.searchsorted(offsets, offsets[at] + CALL))))
+            call(at, end)
+            at = end
+        if stop < n_units:
+            call(stop, stop + 1)
+            at = stop + 1
     flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
     return [(flat(ids), flat(n)) for ids, n in parts], fine
 
 
-def _bare(unit: bytes) -> bool:
-    """A blank or line feed, then characters that are printable at both ends."""
-    return len(unit) > 1 and unit[0] in b" \n" and 0x20 < unit[1] < 0x7F and 0x20 < unit[-1] < 0x7F or (len(unit) > 1 and unit[0] in b" \n" and bool(printable(np.frombuffer(unit, dtype=np.uint8))[[1, -1]].all()))
-
-
 def coalesce(starts: np.ndarray, ends: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the intervals by start, and the group of each in that order: a group ends where a start reaches the greatest end so far."""
     order = np.lexsort((side, starts))
@@ -199,20 +197,23 @@ def coalesce(starts: np.ndarray, ends: np.ndarray, side: np.ndarray) -> tuple[np
 
 def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (group, id) with their counts, by group."""
-    keys, n = np.unique(group * SHIFT + ids, return_counts=True)
-    return keys // SHIFT, keys % SHIFT, n
+    every = np.sort(group * SHIFT + ids)
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+    keys = every[first]
+    return keys // SHIFT, keys % SHIFT, np.diff(np.append(first, len(every)))
 
 
 class Units:
     """Groups, links and texts of distinct units. Arrays by unit: ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``texts``;
     arrays by id pair of a unit: ``pair`` (A id times 2^32 plus B id), ``weight``, with ``upto`` by unit."""
 
-    def __init__(self, units: list[bytes], side_a: Side, side_b: Side):
-        (a, b), self.fine = tokenize_units(units, side_a, side_b)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, side_a: Side, side_b: Side):
+        (a, b), self.fine = tokenize_units(data, offsets, side_a, side_b)
+        n_units = len(offsets) - 1
         self.n_a, self.n_b = a[1], b[1]
         ids = np.concatenate([a[0], b[0]])
         side = np.repeat([0, 1], [len(a[0]), len(b[0])])
-        unit = np.concatenate([np.repeat(np.arange(len(units)), x[1]) for x in (a, b)])
+        unit = np.concatenate([np.repeat(np.arange(n_units), x[1]) for x in (a, b)])
         size = np.concatenate([side_a.size[a[0]], side_b.size[b[0]]])
         ends = np.concatenate([np.cumsum(size[side == 0]), np.cumsum(size[side == 1])])
         order, group = coalesce(ends - size, ends, side)
@@ -220,9 +221,9 @@ class Units:
         total = int(group[-1]) + 1 if len(group) else 0
         of = np.zeros(total, dtype=np.int64)
         of[group] = unit  # tokens of a group lie in one unit
-        self.n_groups = np.bincount(of, minlength=len(units))
+        self.n_groups = np.bincount(of, minlength=n_units)
         in_a, in_b = (np.bincount(group[side == k], minlength=total) for k in (0, 1))
-        self.n_links = np.bincount(of, weights=in_a * in_b, minlength=len(units)).astype(np.int64)
+        self.n_links = np.bincount(of, weights=in_a * in_b, minlength=n_units).astype(np.int64)
         # texts: tokens by group and side, each with the sign that follows it
         by = np.argsort(group * 2 + side, kind="stable")
         ids_by, side_by, group_by, unit_by = ids[by], side[by], group[by], unit[by]
@@ -234,8 +235,8 @@ class Units:
         widths = np.array([len(n) for n in names], dtype=np.int64)
         which = ids_by * 4 + sign
         data, upto = gather(np.frombuffer(b"".join(names), dtype=np.uint8), widths, which) if most else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(unit_by, minlength=len(units)))])
-        self.texts = pa.Array.from_buffers(pa.large_binary(), len(units), [None, pa.py_buffer(upto[cuts].astype(np.int64)), pa.py_buffer(data)])
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(unit_by, minlength=n_units))])
+        self.texts = pa.Array.from_buffers(pa.large_binary(), n_units, [None, pa.py_buffer(upto[cuts].astype(np.int64)), pa.py_buffer(data)])
         # links: distinct ids of both sides of a group meet
         group_a, id_a, count_a = _counted(group[side == 0], ids[side == 0])
         group_b, id_b, count_b = _counted(group[side == 1], ids[side == 1])
@@ -245,13 +246,13 @@ class Units:
         left = np.repeat(np.arange(len(group_a)), times)
         right = np.repeat(first[group_a], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         self.pair, self.weight = id_a[left] * SHIFT + id_b[right], count_a[left] * count_b[right]
-        self.upto = np.concatenate([[0], np.cumsum(np.bincount(of[group_a[left]], minlength=len(units)))])
+        self.upto = np.concatenate([[0], np.cumsum(np.bincount(of[group_a[left]], minlength=n_units))])
 
 
 def _documents_of_pairs(doc: np.ndarray, code: np.ndarray, units: Units, pair: np.ndarray, n_pairs: int) -> np.ndarray:
     """How many documents hold each pair. ``pair``: numbers of the units' pairs."""
     n_units = len(units.n_a)
-    keys = np.unique(doc * n_units + code)  # a unit counts once in a document
+    keys = distinct(doc * n_units + code)  # a unit counts once in a document
     doc, code = keys // n_units, keys % n_units
     sizes = np.diff(units.upto)[code]
     found, at, upto = np.zeros(n_pairs, dtype=np.int64), 0, np.cumsum(sizes)
@@ -261,8 +262,8 @@ def _documents_of_pairs(doc: np.ndarray, code: np.ndarray, units: Units, pair: n
         k = max(np.searchsorted(upto[ends - 1], base + PAIRS, side="right") - 1, np.searchsorted(ends, at, side="right"))
         last = ends[k]
         numbers, _ = gather(pair, np.diff(units.upto), code[at:last])
-        distinct = np.unique(np.repeat(doc[at:last], sizes[at:last]) * n_pairs + numbers)
-        found += np.bincount(distinct % n_pairs, minlength=n_pairs)
+        held = distinct(np.repeat(doc[at:last], sizes[at:last]) * n_pairs + numbers)
+        found += np.bincount(held % n_pairs, minlength=n_pairs)
         at = last
     return found
 
@@ -281,7 +282,8 @@ def _block(number: int, doc_ids: pa.Array, texts: pa.Array, side_a: Side, side_b
     spots = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)])
     coded = spots.dictionary_encode()
     code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-    units = Units(words.to_pylist(), side_a, side_b)
+    bounds = np.frombuffer(words.buffers()[1], dtype=np.int64)[: len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    units = Units(np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[: bounds[-1]], bounds, side_a, side_b)
     doc = np.searchsorted(offsets, starts, side="right") - 1
     whole = np.ones(len(some), dtype=bool)
     whole[doc[~units.fine[code]]] = False
@@ -299,7 +301,8 @@ def _block(number: int, doc_ids: pa.Array, texts: pa.Array, side_a: Side, side_b
             joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(here)], here), pa.scalar(b";", pa.large_binary()))
             digest.update((b";" if at > cuts[i] else b"") + joined[0].as_py())
         groups[i] = digest.hexdigest()
-    pairs, pair_of = np.unique(units.pair, return_inverse=True)
+    pairs = distinct(units.pair)
+    pair_of = np.searchsorted(pairs, units.pair)
     holders = _documents_of_pairs(some[doc], code, units, pair_of, len(pairs)) if len(code) else np.zeros(len(pairs), np.int64)
     raw = lambda x, kind: np.ascontiguousarray(x, dtype=kind).tobytes()
     return {"block": number, "docs": doc_ids.to_pylist(), "sums": raw(sums, "<i8"), "groups": groups, "units": raw(code, "<i4"), "cuts": raw(cuts, "<i8"), "upto": raw(units.upto, "<i8"), "pair_of": raw(pair_of, "<i4"), "weight": raw(units.weight, "<i8"), "pairs": pairs, "holders": holders}
