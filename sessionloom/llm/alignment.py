@@ -32,9 +32,9 @@ from .common import give_back, materialize, worker_cache
 from .packing import gather
 
 #: Bytes of text that a task works on at once.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 #: Bytes of distinct units that are tokenised in one call, and pairs that are made distinct at once.
-CALL, PAIRS = 1 << 16, 1 << 21
+CALL, PAIRS = 1 << 16, 1 << 19
 SHIFT = 1 << 32
 
 
@@ -197,7 +197,7 @@ def coalesce(starts: np.ndarray, ends: np.ndarray, side: np.ndarray) -> tuple[np
 
 def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (group, id) with their counts, by group."""
-    every = np.sort(group * SHIFT + ids)
+    every = np.sort(group.astype(np.int64) * SHIFT + ids)
     first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
     keys = every[first]
     return keys // SHIFT, keys % SHIFT, np.diff(np.append(first, len(every)))
@@ -211,49 +211,54 @@ class Units:
         (a, b), self.fine = tokenize_units(data, offsets, side_a, side_b)
         n_units = len(offsets) - 1
         self.n_a, self.n_b = a[1], b[1]
-        ids = np.concatenate([a[0], b[0]])
-        side = np.repeat([0, 1], [len(a[0]), len(b[0])])
-        unit = np.concatenate([np.repeat(np.arange(n_units), x[1]) for x in (a, b)])
+        ids = np.concatenate([a[0], b[0]]).astype(np.int32)
+        side = np.repeat(np.array([0, 1], dtype=np.int8), [len(a[0]), len(b[0])])
+        unit = np.concatenate([np.repeat(np.arange(n_units, dtype=np.int32), x[1]) for x in (a, b)])
         size = np.concatenate([side_a.size[a[0]], side_b.size[b[0]]])
         ends = np.concatenate([np.cumsum(size[side == 0]), np.cumsum(size[side == 1])])
         order, group = coalesce(ends - size, ends, side)
+        del size, ends
         ids, side, unit = ids[order], side[order], unit[order]
         total = int(group[-1]) + 1 if len(group) else 0
-        of = np.zeros(total, dtype=np.int64)
+        of = np.zeros(total, dtype=np.int32)
         of[group] = unit  # tokens of a group lie in one unit
         self.n_groups = np.bincount(of, minlength=n_units)
+        self.texts = self._texts(ids, side, unit, group, n_units)
+        # links: distinct ids of both sides of a group meet
         in_a, in_b = (np.bincount(group[side == k], minlength=total) for k in (0, 1))
         self.n_links = np.bincount(of, weights=in_a * in_b, minlength=n_units).astype(np.int64)
-        # texts: tokens by group and side, each with the sign that follows it
-        by = np.argsort(group * 2 + side, kind="stable")
-        ids_by, side_by, group_by, unit_by = ids[by], side[by], group[by], unit[by]
-        sign = np.full(len(by), 3)
-        same = group_by[1:] == group_by[:-1]
-        sign[:-1] = np.where(same, np.where(side_by[1:] == side_by[:-1], 0, 1), np.where(unit_by[1:] == unit_by[:-1], 2, 3))
-        most = int(ids.max()) + 1 if len(ids) else 0
-        names = [str(i).encode() + s for i in range(most) for s in (b",", b"|", b";", b"")]
-        widths = np.array([len(n) for n in names], dtype=np.int64)
-        which = ids_by * 4 + sign
-        data, upto = gather(np.frombuffer(b"".join(names), dtype=np.uint8), widths, which) if most else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(unit_by, minlength=n_units))])
-        self.texts = pa.Array.from_buffers(pa.large_binary(), n_units, [None, pa.py_buffer(upto[cuts].astype(np.int64)), pa.py_buffer(data)])
-        # links: distinct ids of both sides of a group meet
         group_a, id_a, count_a = _counted(group[side == 0], ids[side == 0])
         group_b, id_b, count_b = _counted(group[side == 1], ids[side == 1])
         there = np.bincount(group_b, minlength=total)
         first = np.cumsum(there) - there
         times = there[group_a]
-        left = np.repeat(np.arange(len(group_a)), times)
-        right = np.repeat(first[group_a], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        left = np.repeat(np.arange(len(group_a), dtype=np.int32), times)
+        right = np.repeat(first[group_a] - np.cumsum(times) + times, times) + np.arange(times.sum())
         self.pair, self.weight = id_a[left] * SHIFT + id_b[right], count_a[left] * count_b[right]
         self.upto = np.concatenate([[0], np.cumsum(np.bincount(of[group_a[left]], minlength=n_units))])
 
+    @staticmethod
+    def _texts(ids: np.ndarray, side: np.ndarray, unit: np.ndarray, group: np.ndarray, n_units: int) -> pa.Array:
+        """``a1,a2|b1;a3|b2,b3`` of each unit: tokens by group and side, each with the sign that follows it."""
+        by = np.argsort(group * 2 + side, kind="stable")
+        ids, side, unit, group = ids[by], side[by], unit[by], group[by]
+        sign = np.full(len(by), 3, dtype=np.int32)
+        same_side, same_unit = side[1:] == side[:-1], unit[1:] == unit[:-1]
+        sign[:-1] = np.where(group[1:] == group[:-1], np.where(same_side, 0, 1), np.where(same_unit, 2, 3))
+        used = distinct(ids)  # only ids of this block are written out
+        names = [str(i).encode() + s for i in used.tolist() for s in (b",", b"|", b";", b"")]
+        sizes = np.array([len(n) for n in names], dtype=np.int64)
+        data, upto = gather(np.frombuffer(b"".join(names), dtype=np.uint8), sizes, np.searchsorted(used, ids) * 4 + sign)
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=n_units))])
+        return pa.Array.from_buffers(pa.large_binary(), n_units, [None, pa.py_buffer(upto[cuts].astype(np.int64)), pa.py_buffer(data)])
+
 
 def _documents_of_pairs(doc: np.ndarray, code: np.ndarray, units: Units, pair: np.ndarray, n_pairs: int) -> np.ndarray:
     """How many documents hold each pair. ``pair``: numbers of the units' pairs."""
     n_units = len(units.n_a)
     keys = distinct(doc * n_units + code)  # a unit counts once in a document
     doc, code = keys // n_units, keys % n_units
+    del keys
     sizes = np.diff(units.upto)[code]
     found, at, upto = np.zeros(n_pairs, dtype=np.int64), 0, np.cumsum(sizes)
     ends = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) + 1  # whole documents at a time
