@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, conversations, embeddings, fingerprints, html, language, mixing, neardups, packing, pii, secrets, substrings
+from . import alignment, conversations, embeddings, fingerprints, html, language, mixing, neardups, packing, pii, scoring, secrets, substrings
 from .common import read_table
 
 
@@ -54,6 +54,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scoring_report(read_table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_report(read_table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_text": op9_html_text,
         "op10_language": op10_language,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_lm_score": op12_lm_score,
         "op13_token_alignment": op13_token_alignment,
     }
 
