@@ -40,7 +40,7 @@ from .common import give_back, materialize
 
 ORDER = 2
 #: Weight of the next lower order, in words.
-PRIOR = 200.0
+PRIOR = 500.0
 BLOCK = 16 << 20
 PER_BUCKET = 1 << 20
 _MIX, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x51ED270B0A1F39C1)
