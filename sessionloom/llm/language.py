@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -36,8 +37,10 @@ TRAIN_DOCS = 1500
 #: Words whose likelihoods a worker keeps.
 CACHED = 300_000
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
-#: The same runs of letters for Spark's regular expressions.
+#: Signs that ``\w`` takes for letters though their Unicode category is a number's: numerals such as ½, Ⅷ and ①.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: Runs of letters, that is of Unicode's category L: for Python and for Spark's regular expressions.
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 LETTERS_JVM = r"[\p{L}]+"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 

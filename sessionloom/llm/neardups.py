@@ -16,7 +16,7 @@ at most the lesser weight of the rest. A pair is made in its first common band o
 So the pairs of a large group of half-alike texts are not made. Tries are verified on whole multisets: the links
 between different texts that a bucket holds are verified, implied or excluded. Components come from star contraction.
 
-Defined cases: a null or blank text has no shingles and links with nothing, texts under five words are one shingle
+Defined cases: a null text or one of white space alone (blank, tab, line ends) has no shingles and links with nothing, texts under five words are one shingle
 of all their words; equal texts are one class (null and empty texts are classes of one); repeated rows share a
 class; an empty table gives an empty result; extra columns are ignored.
 """
@@ -270,7 +270,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     # equal texts: one representative, the least id, by a combined aggregate over digests
     blank = F.concat(F.lit("id:"), F.coalesce(F.col("id").cast("string"), F.lit("")))
-    digest = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", blank).otherwise(F.sha2("text", 256))
+    said = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    digest = F.when(said, F.sha2("text", 256)).otherwise(blank)
     rows = rows.withColumn("digest", digest)
     same = materialize(rows.select("id", "digest"), "digests")
     kept = materialize(rows.groupBy("digest").agg(F.min("id").alias("rep"), F.first("text").alias("text")), "representatives")

@@ -409,3 +409,58 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert not any(brute.secrets(r["text"]) for r in kept["secret_scan"].collect())
     assert ids("secret_scan") == ids("near_dedup")
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() >= docs.count()
+
+
+# reported cases --------------------------------------------------------------------------------------------
+def planted_pairs(rng, n, dims=64):
+    """Isotropic unit vectors and partners at cosine 0.93 to 0.95."""
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((n, dims))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9301, 0.95, (n, 1))
+    return x, cosine * x + np.sqrt(1 - cosine**2) * z
+
+
+@pytest.mark.parametrize("words", [64, 256, 1024, 4096])
+def test_pairs_at_the_threshold_share_a_filter_whatever_the_code(words):
+    x, y = planted_pairs(np.random.default_rng(words), 600)
+    code = embeddings.ProductCode(64, words)
+    one, two = code.decode(x), code.decode(y)
+    assert 30 <= np.mean([len(f) for f in one]) <= 80 and min(map(len, one + two)) >= embeddings.LEAST
+    assert np.mean([bool(np.intersect1d(a, b).size) for a, b in zip(one, two, strict=True)]) >= 0.99
+
+
+def test_recall_of_planted_links_end_to_end(spark):
+    """12 000 vectors (a code of 512 words) in 3 labels: every pair at 0.93 to 0.95 within a label is a link."""
+    x, y = planted_pairs(np.random.default_rng(8), 6000)
+    rows = [(2 * k + side, v.tolist(), k % 3) for k, pair in enumerate(zip(x, y, strict=True)) for side, v in enumerate(pair)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(8)
+    got = {r["vec_id"]: r["component_id"] for r in embeddings.link_report(frame).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(6000)) / 6000 >= 0.99
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3, 5])
+def test_vectors_of_few_dimensions(spark, dims):
+    rng = np.random.default_rng(dims)
+    rows = [(k, rng.standard_normal(dims).tolist(), 0) for k in range(60)]
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v, _ in rows}
+    links = [(a, b) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= 0.93]
+    got = embeddings.link_report(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(r["n_links"] for r in got) >= 0.9 * 2 * len(links)
+
+
+def test_numerals_are_no_letters(spark):
+    texts = ["½²", "Ⅷ", "①②", "12 345", "!?", "_", "the cat sat on the mat with a hat", "ªº"]
+    rows = [(k, t, None) for k, t in enumerate(texts)] + [(100 + k, "the cat and the dog sat on a mat", "en") for k in range(20)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k] == ("und", 0.0) for k in range(6)) and got[6][0] == "en" and got[7][0] == "en"
+
+
+def test_texts_of_white_space_link_with_nothing(spark):
+    blank = ["\n\n", "\n\n", "\t", "\t", "  ", "  ", "\x0b\x0c\r", "\x0b\x0c\r", "", "", None, None]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(blank)] + [(50, "a b c d e f"), (51, "a b c d e f")], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardups.near_duplicate_report(frame).collect()}
+    assert all(got[k] == k for k in range(len(blank))) and got[51] == 50
+    assert neardups.keep_one(frame).count() == len(blank) + 1
