@@ -3,9 +3,11 @@
 A page is cut into its DOM leaf blocks (runs of text between block-level tags). Each block is described by its
 ancestor tags, their class and id words, and by the text itself; a two-label chain (main text, other) is trained
 by gradient ascent on the conditional likelihood of labelled pages and decoded by Viterbi. Labelled pages are a
-few hand-labelled layouts in this module plus a bounded sample of the table (``TRAIN_PAGES``), labelled by their
-own markup: blocks inside ``article`` or ``main`` and outside navigation, asides, forms and the like. In half of
-the training pages those two tags are hidden from the features, so that the rest of the evidence is learned too.
+set of layouts drawn in this module, which have regions of every kind with long and short text and hold a fixed share of the
+likelihood, plus a bounded sample of the table (``TRAIN_PAGES``), labelled by their own markup: blocks inside ``article`` or
+``main`` and outside navigation, asides, forms and the like. In half of the table's pages those two tags are hidden from the
+features, so that the rest of the evidence is learned too; the regions around a block are not. A header inside the
+article is the article's own, and so are figure captions.
 
 Only the classifier sees a sample; extraction runs on every page, whole, one page per row inside an Arrow batch,
 without a shuffle.
@@ -17,6 +19,7 @@ empty table gives an empty result; unclosed and crossing tags are tolerated; ext
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -34,8 +37,23 @@ TRAIN_PAGES = 120
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle mspace mpadded mphantom merror menclose semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template textarea title svg iframe select".split())
-OUTSIDE = frozenset("nav aside footer header form menu dialog button figure".split())
 MAIN = frozenset("article main".split())
+#: Words of classes, ids and roles that name the container of the main text.
+CONTAINER = MAIN | frozenset("post entry story content".split())
+#: Regions of a page: their elements, and the words that name them in classes, ids and roles.
+REGIONS = {
+    "menu": ("nav menu", "nav navbar navigation menu menubar breadcrumb breadcrumbs toc pager pagination"),
+    "header": ("header", "header masthead topbar"),
+    "footer": ("footer", "footer bottombar colophon contentinfo imprint copyright"),
+    "sidebar": ("aside", "sidebar side aside complementary widget widgets rail"),
+    "notice": ("dialog", "notice cookie cookies consent gdpr banner alert dialog modal popup overlay toast paywall"),
+    "advert": ("", "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion"),
+    "form": ("form button fieldset label input", "form subscribe newsletter signup login search searchbox"),
+    "comments": ("", "comment comments reply replies respond discussion disqus"),
+    "more": ("", "related share sharing social recommended recommendations teaser teasers"),
+}
+REGION_TAG = {tag: name for name, (tags, _) in REGIONS.items() for tag in tags.split()}
+REGION_WORD = {word: name for name, (_, words) in REGIONS.items() for word in words.split()}
 
 #: Attributes up to the tag's end. A quote opens a value only behind an equals sign and only if it is closed; nothing is
 #: read twice.
@@ -141,14 +159,33 @@ def leaf_blocks(page: str | None) -> list[Block]:
     return blocks
 
 
+def surroundings(path: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[set[str], set[str], bool]:
+    """The regions inside the innermost container of main text, those around it, and whether there is such a container.
+
+    A header inside a container is the text's own, not the page's; without a container all regions are inside.
+    """
+    inner, outer, container = set(), set(), False
+    for tag, words in path:
+        found = {REGION_TAG.get(tag), *map(REGION_WORD.get, words)} - {None}
+        main = tag in MAIN or bool(CONTAINER & set(words))
+        if "header" in found and (container or main):
+            found = (found - {"header"}) | {"own"}
+        if main and not found - {"own"}:
+            outer, inner, container = outer | inner, set(), True
+        inner |= found
+    return inner, outer - inner, container
+
+
 def features(block: Block, hidden: bool = False) -> list[str]:
     """Names of the block's binary features; ``hidden`` leaves out the tags that label training pages."""
-    path = [x for x in block.path if not (hidden and x[0] in MAIN)]
+    path = tuple(x for x in block.path if not (hidden and x[0] in MAIN))
     text = block.text
-    out = ["bias", f"leaf={path[-1][0] if path else 'none'}", f"depth={min(len(path), 8)}"]
+    inner, outer, container = surroundings(path)
+    out = ["bias", f"leaf={path[-1][0] if path else 'none'}", f"depth={min(len(path), 8)}", f"container={container}", f"clear={not inner - {'own'}}"]
+    out += [f"in={r}" for r in inner] + [f"around={r}" for r in outer]
     for tag, words in path:
         out.append(f"tag={tag}")
-        out += [f"word={w}" for w in words]
+        out += [f"word={w}" for w in words if w not in REGION_WORD and w not in CONTAINER]
     n = len(text)
     out.append(f"length={min(n.bit_length(), 12)}")
     out.append(f"linked={min(4, 5 * block.linked // max(n, 1))}")
@@ -190,29 +227,27 @@ class Model(NamedTuple):
 
 
 def markup_labels(blocks: list[Block]) -> list[int]:
-    """1 for blocks inside article or main and outside the elements that hold other matter."""
-    other = ("comment", "comments", "ad", "ads", "advert", "sidebar", "notice", "cookie", "share", "related", "nav", "menu", "footer")
+    """1 for blocks inside article or main, with no region of other matter inside or around it."""
     out = []
     for b in blocks:
-        tags = [t for t, _ in b.path]
-        words = {w for _, ws in b.path for w in ws}
-        within = [i for i, t in enumerate(tags) if t in MAIN]
-        out.append(int(bool(within) and not OUTSIDE & set(tags[within[0] :]) and not words & set(other)))
+        inner, outer, _ = surroundings(b.path)
+        out.append(int(any(t in MAIN for t, _ in b.path) and not inner - {"own"} and not outer - {"form"}))
     return out
 
 
-def train(pages: list[tuple[list[Block], list[int], bool]], rounds: int = 40, rate: float = 0.5, penalty: float = 1e-3) -> Model:
-    """Gradient ascent (AdaGrad) on the chain's conditional log-likelihood."""
+def train(pages: list[tuple[list[Block], list[int], bool]], rounds: int = 40, rate: float = 0.5, penalty: float = 1e-3, shares: list[float] | None = None) -> Model:
+    """Gradient ascent (AdaGrad) on the chain's conditional log-likelihood, the sum of the pages' times their ``shares``."""
     index: dict[str, int] = {}
     coded = []
-    for blocks, labels, hidden in pages:
+    shares = shares or [1 / max(1, len(pages))] * len(pages)
+    for (blocks, labels, hidden), share in zip(pages, shares, strict=True):
         if blocks:
-            coded.append(([np.array([index.setdefault(f, len(index)) for f in features(b, hidden)]) for b in blocks], np.array(labels)))
+            coded.append((share, [np.array([index.setdefault(f, len(index)) for f in features(b, hidden)]) for b in blocks], np.array(labels)))
     w, step = np.zeros((max(len(index), 1), 2)), np.zeros((2, 2))
     seen_w, seen_s = np.full_like(w, 1e-6), np.full_like(step, 1e-6)
     for _ in range(rounds):
         grad_w, grad_s = -penalty * w, -penalty * step
-        for rows, labels in coded:
+        for share, rows, labels in coded:
             scores = np.array([w[r].sum(0) for r in rows])
             n = len(rows)
             forward, backward = np.empty((n, 2)), np.zeros((n, 2))
@@ -225,11 +260,11 @@ def train(pages: list[tuple[list[Block], list[int], bool]], rounds: int = 40, ra
             marginal = np.exp(forward + backward - total)
             truth = np.eye(2)[labels]
             for r, d in zip(rows, truth - marginal, strict=True):
-                np.add.at(grad_w, r, d / len(coded))
+                np.add.at(grad_w, r, d * share)
             for i in range(1, n):
                 pair = np.exp(forward[i - 1][:, None] + step + (scores[i] + backward[i])[None, :] - total)
-                grad_s -= pair / len(coded)
-                grad_s[labels[i - 1], labels[i]] += 1 / len(coded)
+                grad_s -= pair * share
+                grad_s[labels[i - 1], labels[i]] += share
         seen_w += grad_w**2
         seen_s += grad_s**2
         w += rate * grad_w / np.sqrt(seen_w)
@@ -237,23 +272,70 @@ def train(pages: list[tuple[list[Block], list[int], bool]], rounds: int = 40, ra
     return Model({f: w[i] for f, i in index.items()}, step)
 
 
-def _seeds() -> list[tuple[list[Block], list[int], bool]]:
-    """Hand-labelled layouts: blocks whose text starts with M are main text."""
-    body = "Main text of the page that runs on for a while, with commas, and ends in a full stop."
-    p = f"<p>{body}</p>" * 3
-    layouts = [
-        f"<header><a href=/>Site</a></header><div class='content'><h1>Main heading</h1>{p}</div><aside class='sidebar'><p>See also these pages.</p></aside><footer>© 2020 site</footer>",
-        f"<ul class='menu'><li><a>Home</a></li><li><a>News</a></li></ul><div id='main'><h2>Main heading</h2>{p}<ul><li>Main item one</li><li>Main item two</li></ul></div><div class='comments'><h3>Comments</h3><p>Nice text, thank you for it.</p><p>I do not agree with this at all.</p></div>",
-        f"<div class='cookie notice'>We use cookies on this site.</div><article><h1>Main heading</h1>{p}</article><section class='comments'><p>First reader comment, quite long, and it ends here.</p></section><div class='footer'>Privacy</div>",
-        f"<nav><a>One</a><a>Two</a></nav><div class='ad'>Buy this now.</div><article><h1>Main heading</h1>{p}<blockquote>Main quotation</blockquote>{p}</article><form><label>Email</label><button>Subscribe</button></form>",
-        f"<div class='sidebar'><ul><li><a>Related</a></li></ul></div><div class='post'><h1>Main heading</h1>{p}<table><tr><td>Main cell</td></tr></table></div><div class='share'>Share this</div>",
-        f"<div class='banner'>Sale</div><main><h1>Main heading</h1>{p}<div class='advert'>Advertisement: cheap things here.</div>{p}</main><footer><p>Copyright 2021, all rights reserved.</p></footer>",
-        f"<header><h1>Site name</h1><p>A header line.</p></header><section class='article body'>{p}</section><div class='related'><p>Read next, another story, on this site.</p></div>",
-    ]
+#: Seed pages, and their share of the likelihood beside the table's pages.
+SEEDS, SEED_SHARE = 110, 0.6
+_SHORT = "Main one. Main item. Main words here".split(". ")
+_LONG = (
+    "Main text of the page that runs on for a while, with commas, and ends in a full stop.",
+    "Main sentence about a cookie, a reply and the privacy of those who subscribe, which is long enough to be read as text.",
+    "Main matter without an end that goes on and on over the line, and further",
+)
+_OTHER = (
+    "See also",
+    "Read this now",
+    "Home",
+    "All rights reserved.",
+    "A sentence in a region that is no part of the text, though it is long, has commas, and ends in a full stop.",
+    "I read all of this twice, and I do not agree with a word of it, but thank you for the time that you took over it!",
+    "We use cookies, and so do our partners, to make this site better for you, as our privacy notice says.",
+)
+
+
+def _seeds(count: int = SEEDS) -> list[tuple[list[Block], list[int], bool]]:
+    """Labelled layouts, drawn from a fixed seed: a container of main text, and regions of every kind before, in and behind it,
+    each with long or short text in plain, paragraph, list or nested form. Blocks whose text starts with Main are main text."""
+    draw = random.Random(9)
+
+    def block(texts: tuple[str, ...], more: tuple[str, ...]) -> str:
+        """Main text and regions are drawn from the same elements, so that those alone tell nothing."""
+        kind = draw.choice("p p p p h2 h3 blockquote pre li td figcaption div".split())
+        whole = {"li": "<ul><li>{}</li><li>{}</li></ul>", "td": "<table><tr><td>{}</td><td>{}</td></tr></table>", "figcaption": "<figure><figcaption>{}</figcaption></figure>"}
+        return whole.get(kind, f"<{kind}>{{}}</{kind}>").format(draw.choice(texts), draw.choice(more))
+
+    def region() -> str:
+        name = draw.choice([*REGIONS, "comments", "sidebar", "advert"])
+        tags, words = (x.split() for x in REGIONS[name])
+        tag = draw.choice([*tags, "div", "section"]) if tags else draw.choice(["div", "section", "ul"])
+        named = f" {draw.choice(['class', 'id'])}='{draw.choice(words)}{draw.choice(['', '-box', ' wide', '_1'])}'" if tag not in tags or draw.random() < 0.4 else ""
+        inside = "".join(block(_OTHER, _OTHER) for _ in range(draw.randint(1, 3)))
+        form = draw.randrange(6)
+        if form == 0:
+            inside = draw.choice(_OTHER)
+        elif form == 1:
+            inside = f"<ul><li><a href=#>{draw.choice(_OTHER)}</a></li><li>{draw.choice(_OTHER)}</li></ul>"
+        elif form == 2:
+            inside = f"<div class='{draw.choice(['content', 'inner', 'body'])}'>{inside}</div>"
+        elif form == 3 and name in ("comments", "sidebar", "more"):
+            inside = f"<article>{inside}</article>"
+        return f"<{tag}{named}>{inside}</{tag}>"
+
+    def main() -> str:
+        return block((*_LONG, *_LONG, *_SHORT), _SHORT)
+
+    def regions(least: int, most: int) -> str:
+        return "".join(region() for _ in range(draw.randint(least, most)))
+
     out = []
-    for page in layouts:
-        blocks = leaf_blocks(page)
-        out += [(blocks, [int(b.text.startswith("Main")) for b in blocks], hidden) for hidden in (False, True)] * 5
+    for k in range(count):
+        body = "".join(main() + (regions(1, 1) if draw.random() < 0.35 else "") for _ in range(draw.randint(1, 6)))
+        title = draw.choice(["<h1>Main heading</h1>", "<header><h1>Main heading</h1></header>", "<div class='entry-header'><h1>Main heading</h1></div>", ""])
+        opening, closing = draw.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<article class='post'>", "</article>"), ("<div class='content'>", "</div>"), ("<div id='main'><div class='text'>", "</div></div>"), ("<section class='story wide'>", "</section>"), ("<div>", "</div>")])
+        if "header" in title and opening == "<div>":
+            title = "<h1>Main heading</h1>"
+        page = f"{regions(0, 3)}{opening}{title}{body}{closing}{regions(0, 3)}"
+        around = k % 11 == 0 and opening[1:5] in ("arti", "main")
+        blocks = leaf_blocks(f"<form>{opening}{title}{body}{closing}</form>" if around else page)
+        out.append((blocks, [int(b.text.startswith("Main")) for b in blocks], k % 3 == 2 and not around and "header" not in title))
     return out
 
 
@@ -268,10 +350,11 @@ def fit(pages: DataFrame, id_col: str = "page_id", html: str = "html", sample: i
     drawn = marked.where(F.pmod(draw, F.lit(1 << 20)) < share * (1 << 20))  # so that few rows compete for the limit
     rows = drawn.select(html).orderBy(draw, F.col(id_col)).limit(sample).toPandas()[html]
     labelled = _seeds()
+    shares = [SEED_SHARE / len(labelled)] * len(labelled) + [(1 - SEED_SHARE) / max(1, len(rows))] * len(rows)
     for i, page in enumerate(rows):
         blocks = leaf_blocks(page)
         labelled.append((blocks, markup_labels(blocks), i % 2 == 1))
-    return train(labelled)
+    return train(labelled, shares=shares)
 
 
 def extract_main_text(pages: DataFrame, model: Model, html: str = "html", output: str = "text") -> DataFrame:

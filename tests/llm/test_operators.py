@@ -343,7 +343,7 @@ def test_block_words_are_sought_in_the_whole_block():
 
 def test_training_pages_are_whole_and_counted_among_the_marked(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(html, "train", lambda labelled: seen.extend(labelled))
+    monkeypatch.setattr(html, "train", lambda labelled, shares: seen.extend(labelled))
     long = "<article>" + "<p>Some words.</p>" * 500 + "</article>"
     rows = [(i, long if i % 20 == 0 else "<p>x</p>") for i in range(2000)]
     html.fit(spark.createDataFrame(rows, "page_id long, html string"), sample=20)
@@ -464,3 +464,60 @@ def test_texts_of_white_space_link_with_nothing(spark):
     got = {r["doc_id"]: r["class_id"] for r in neardups.near_duplicate_report(frame).collect()}
     assert all(got[k] == k for k in range(len(blank))) and got[51] == 50
     assert neardups.keep_one(frame).count() == len(blank) + 1
+
+
+LONG_OTHER = "This is a sentence that stands outside the text, with commas, and it is long enough to look like a paragraph of it."
+PARAGRAPH = "The river rose in the night, and by the morning the lower fields stood under water as far as the mill."
+#: Regions of the contract by markup that no seed page has word for word; {} is their text.
+REGION_FORMS = [
+    "<nav class='primary-nav'><p>{}</p></nav>",
+    "<ul class='site-menu'><li>{}</li></ul>",
+    "<div role='navigation'><span>{}</span></div>",
+    "<header class='site-header'><p>{}</p></header>",
+    "<div id='masthead'><h2>{}</h2></div>",
+    "<footer><div class='row'><p>{}</p></div></footer>",
+    "<div class='page-footer'>{}</div>",
+    "<aside><h3>More</h3><p>{}</p></aside>",
+    "<div id='right-sidebar'><div><p>{}</p></div></div>",
+    "<div role='complementary'><p>{}</p></div>",
+    "<div class='cookie-notice'><p>{}</p></div>",
+    "<div id='gdpr-consent'>{}</div>",
+    "<section role='alert'><p>{}</p></section>",
+    "<div class='ad'>{}</div>",
+    "<div class='ad-slot'><p>{}</p></div>",
+    "<div id='sponsored'><p>{}</p><p>{}</p></div>",
+    "<form action='/go'><p>{}</p><label>Mail</label></form>",
+    "<div class='newsletter-box'><p>{}</p></div>",
+    "<section id='comments'><ol><li><p>{}</p></li></ol></section>",
+    "<div class='comment-list'><article><p>{}</p></article></div>",
+    "<div class='replies'><div class='content'><p>{}</p></div></div>",
+    "<div class='related-posts'><a href='/x'>{}</a></div>",
+]
+#: Containers of the main text; {} is the body.
+MAIN_FORMS = ["<article><h1>The flood</h1>{}</article>", "<main><h1>The flood</h1>{}</main>", "<div class='post-content'><h1>The flood</h1>{}</div>", "<article><header><h1>The flood</h1></header>{}</article>"]
+
+
+@pytest.mark.parametrize("place", ["before", "inside", "after"])
+@pytest.mark.parametrize("text", [LONG_OTHER, "Three short words"])
+def test_held_out_layouts(spark, place, text):
+    """No region's text comes out and no main block is lost, for every region and container, long and short text."""
+    model = html.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    body = f"<p>{PARAGRAPH}</p><h2>At noon</h2><p>Yes.</p><ul><li>two boats</li><li>one dog</li></ul><figure><img src=x><figcaption>The mill in May</figcaption></figure><p>{PARAGRAPH}</p>"
+    main = ["The flood", PARAGRAPH, "At noon", "Yes.", "two boats", "one dog", "The mill in May", PARAGRAPH]
+    wrong = []
+    for k, form in enumerate(REGION_FORMS):
+        region = form.replace("{}", text)
+        for container in MAIN_FORMS:
+            if place == "inside" and form.startswith(("<header", "<div id='masthead")):
+                continue  # a header inside the article is its own
+            inner = container.format(f"{body}{region}<p>{PARAGRAPH}</p>" if place == "inside" else body)
+            page = f"<html><body><nav><a href=/>Home</a></nav>{region if place == 'before' else ''}{inner}{region if place == 'after' else ''}<footer>(c) site</footer></body></html>"
+            if model.extract(page) != "\n\n".join([*main, PARAGRAPH] if place == "inside" else main):
+                wrong.append((k, container[:12], model.extract(page)))
+    assert not wrong, wrong[:3]
+
+
+def test_a_form_around_the_page_keeps_the_article(spark):
+    model = html.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    page = f"<form id='aspnet'><header>Site</header><article><h1>The flood</h1><p>{PARAGRAPH}</p></article></form>"
+    assert model.extract(page) == f"The flood\n\n{PARAGRAPH}"
