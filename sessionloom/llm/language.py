@@ -42,9 +42,17 @@ NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum()
 #: Runs of letters, that is of Unicode's category L: for Python and for Spark's regular expressions.
 LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 LETTERS_JVM = r"[\p{L}]+"
+#: The same for texts without numerals, several times faster.
+QUICK, NUMERAL = re.compile(r"[^\W\d_]+"), re.compile(f"[{NUMERALS}]")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, lower-cased."""
+    low = text.lower()
+    return (QUICK if low.isascii() or not NUMERAL.search(low) else LETTERS).findall(low)
+
+
 def vocabulary(path: str | None = None) -> list[str]:
     """The lower-case letter pieces of a sentencepiece model file, of any length."""
     import sentencepiece
@@ -218,7 +226,7 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         labels, sure = [], []
         for at in range(0, len(texts), 512):
-            words = [LETTERS.findall(t.lower()) if t else [] for t in texts[at : at + 512]]
+            words = [words_of(t) if t else [] for t in texts[at : at + 512]]
             if len(self.known) > CACHED:
                 self._clear()
             fresh = set().union(*words).difference(self.known) if words else set()
