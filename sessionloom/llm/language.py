@@ -42,15 +42,17 @@ NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum()
 #: Runs of letters, that is of Unicode's category L: for Python and for Spark's regular expressions.
 LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 LETTERS_JVM = r"[\p{L}]+"
-#: The same for texts without numerals, several times faster.
-QUICK, NUMERAL = re.compile(r"[^\W\d_]+"), re.compile(f"[{NUMERALS}]")
+#: The same for texts without such signs, many times faster. One range stands for all beyond the first plane, so that the class
+#: of signs stays a table.
+QUICK = re.compile(r"[^\W\d_]+")
+ODD, BEYOND = re.compile("[" + "".join(c for c in NUMERALS if c < "\U00010000") + "]"), re.compile("[\U00010000-\U0010ffff]")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
     """The runs of letters of a text, lower-cased."""
     low = text.lower()
-    return (QUICK if low.isascii() or not NUMERAL.search(low) else LETTERS).findall(low)
+    return (QUICK if low.isascii() or not (ODD.search(low) or BEYOND.search(low)) else LETTERS).findall(low)
 
 
 def vocabulary(path: str | None = None) -> list[str]:
