@@ -26,6 +26,11 @@ def _pick(col: Column, values: dict, default) -> Column:
     return out
 
 
+def state_of(event_type: Column) -> Column:
+    """The state that an event puts its claim in; null for events that change attributes only."""
+    return _pick(event_type, STATE_OF, None)
+
+
 def prior_counts(events: DataFrame) -> DataFrame:
     """Counts of recurring events and contradictions of the claim before each event, in order of arrival."""
     w = Window.partitionBy("workspace_id", "claim_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 IDLE_MINUTES = 30
 
 
+def first_deliveries(events: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """``events`` without redelivered ones: of each event of a session the first to arrive, since what was applied once
+    changes nothing when it comes again. A combined aggregate, so an event sent very often is one row a task."""
+    rest = [c for c in events.columns if c not in ("session_id", "raw_event_id")]
+    kept = events.groupBy("session_id", "raw_event_id").agg(F.min_by(F.struct(*rest), arrival).alias("_r"))
+    return kept.select("session_id", "raw_event_id", *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def labelled(events: DataFrame, order: list[str], idle_minutes: int = IDLE_MINUTES) -> DataFrame:
     """``events`` (session_id, hook, start_source, occurred_at) with ``opens``, ``stops`` and ``interval_ordinal``.
 
@@ -37,7 +45,7 @@ def intervals(events: DataFrame, order: list[str], idle_minutes: int = IDLE_MINU
     idle_end = F.col("occurred_at") + F.expr(f"INTERVAL {idle_minutes} MINUTES")
     end = F.when(F.col("stops"), F.col("occurred_at")).when(F.col("next_at").isNull(), None).when(F.col("next_clears"), F.col("next_at")).otherwise(idle_end)
     out = rows.groupBy("session_id", "interval_ordinal").agg(
-        F.min("occurred_at").alias("started_at"),
+        F.min_by("occurred_at", F.struct(*order)).alias("started_at"),
         F.count("*").alias("n_events"),
         F.max(F.when(last, reason)).alias("reason"),
         F.max(F.when(last, end)).alias("ended_at"),

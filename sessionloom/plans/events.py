@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import claims, intervals, ledger
@@ -119,11 +119,15 @@ def idle_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.idle_sessions(_events(spark, sf))
 
 
+def score(rows: DataFrame) -> Column:
+    """The confidence of scored events: rows with event_type, base, occurred_at and the counts before."""
+    age = F.timestamp_diff("DAY", F.col("occurred_at").cast("timestamp"), F.lit(AS_OF).cast("timestamp"))
+    return claims.confidence(base=F.col("base"), event_type=F.col("event_type"), kind=F.lit("decision"), actor=F.lit("human"), source=F.lit("git"), trusted=F.lit(True), own_source=F.lit("own"), age_days=age, prior_events=F.col("prior_events"), prior_against=F.col("prior_against"))
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     rows = claims.prior_counts(views.claim_events(views.table(spark, sf, "events")))
-    age = F.timestamp_diff("DAY", F.col("occurred_at").cast("timestamp"), F.lit(AS_OF).cast("timestamp"))
-    score = claims.confidence(base=F.col("base"), event_type=F.col("event_type"), kind=F.lit("decision"), actor=F.lit("human"), source=F.lit("git"), trusted=F.lit(True), own_source=F.lit("own"), age_days=age, prior_events=F.col("prior_events"), prior_against=F.col("prior_against"))
-    return rows.withColumn("confidence", score)
+    return rows.withColumn("confidence", score(rows))
 
 
 def claim_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import claims, intervals
 from ..sources import views
 from ..streaming import jobs
 from . import events
@@ -35,7 +36,41 @@ def streaming_derive(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.run_to_table(rows, "derived").select("doc_id", "n_chunks")
 
 
+def _sent_twice(raw: DataFrame) -> DataFrame:
+    """Events in the order of their ids, whatever their times; every seventh comes again a hundred events later."""
+    twice = F.when(F.col("raw_event_id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return raw.withColumn("again", F.explode(twice)).withColumn("arrival", F.col("raw_event_id") * 2 + F.col("again") * 201).drop("again")
+
+
+def arrival_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals in order of arrival, each event applied once however often it is sent."""
+    sent = intervals.first_deliveries(_sent_twice(views.raw_events(views.table(spark, sf, "events"))))
+    return intervals.labelled(sent, ["arrival"]).select("session_id", "raw_event_id", "interval_ordinal", "opens")
+
+
+def streaming_redelivery(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the state machine, whose state remembers what was applied."""
+    rows = jobs.run_to_table(jobs.label_stream(_sent_twice(views.raw_events(_stream(spark, sf, "events")))), "redelivered")
+    return rows.select("session_id", "raw_event_id", "interval_ordinal", "opens")
+
+
+def streaming_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Current claims from a stream in which every seventh event comes twice."""
+    raw = views.claim_events(_stream(spark, sf, "events")).withColumn("raw_event_id", F.col("seq"))
+    sent = _sent_twice(raw.withColumn("governed", claims.governed(F.col("event_type"), F.col("evidence_type"))))
+    with jobs.state_store(spark):
+        changes = jobs.run_to_table(jobs.claim_stream(sent), "claims", jobs.write_changes)
+    rows = jobs.newest_claims(changes.drop("part")).withColumn("occurred_at", F.timestamp_micros("occurred_us").cast("timestamp_ntz"))
+    rows = rows.withColumn("state", claims.state_of(F.col("event_type"))).withColumn("confidence", events.score(rows))
+    return rows.select("workspace_id", "claim_key", "state", F.col("occurred_at").alias("observed_at"), "confidence", "latest_seq", "pinned", "watched", "last_review", "n_advances")
+
+
+_ARRIVAL = events._LABELLED.replace("ORDER BY occurred_at, raw_event_id", "ORDER BY raw_event_id")
+
 ORACLES = {
+    "arrival_intervals": f"WITH {_ARRIVAL} SELECT session_id, raw_event_id, interval_ordinal, opens FROM l3",
+    "streaming_redelivery": f"WITH {_ARRIVAL} SELECT session_id, raw_event_id, interval_ordinal, opens FROM l3",
+    "streaming_claims": f"WITH RECURSIVE {events._CLAIMS} SELECT * FROM cc",
     "streaming_intervals": f"WITH {events._LABELLED} SELECT session_id, raw_event_id, interval_ordinal, opens FROM l3",
     "streaming_ledger": f"WITH {events._RAW} SELECT workspace_id, external_event_id, raw_event_id * 2 AS arrival FROM raw",
     "streaming_derive": "SELECT doc_id, (CASE WHEN n = 0 THEN 0 WHEN n <= 1200 THEN 1 ELSE greatest(2, ceil((n - 125) / 875.0)) END)::INT AS n_chunks FROM (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents)",
