@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, events, retrieval, service, sessions, streams, transcripts, views
+from . import documents, events, retrieval, safety, service, sessions, streams, transcripts, views
 
-_MODULES = (events, documents, retrieval, sessions, transcripts, views, streams, service)
+_MODULES = (events, documents, retrieval, sessions, transcripts, views, streams, service, safety)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
