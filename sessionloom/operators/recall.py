@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .bands import band_join
 
 TRIGRAM_WEIGHT, VECTOR_WEIGHT = 0.35, 0.75
 BLOCK = 2048
@@ -209,8 +210,7 @@ def groups(hits: DataFrame) -> DataFrame:
 def context(anchors: DataFrame, turns: DataFrame, before: int = 2, after: int = 2, most: int = 20) -> DataFrame:
     """Turns within the window around each anchor turn of the same session, with their distance."""
     before, after = min(max(before, 0), most), min(max(after, 0), most)
-    marks = anchors.select("session_id", F.col("ordinal").alias("anchor"))
-    rows = turns.join(marks, "session_id").where(F.col("ordinal").between(F.col("anchor") - before, F.col("anchor") + after))
+    rows = band_join(anchors.select("session_id", F.col("ordinal").alias("anchor")), turns, "session_id", "ordinal", "anchor", before, after)
     return rows.withColumn("distance", F.col("ordinal") - F.col("anchor"))
 
 
