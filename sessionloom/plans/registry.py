@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context, documents, events, retrieval, safety, service, sessions, streams, transcripts, views
+from . import context, documents, events, governance, retrieval, safety, service, sessions, streams, transcripts, views
 
-_MODULES = (events, documents, retrieval, sessions, transcripts, views, streams, service, safety, context)
+_MODULES = (events, documents, retrieval, sessions, transcripts, views, streams, service, safety, context, governance)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
