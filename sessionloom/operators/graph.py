@@ -51,6 +51,33 @@ def lineage(edges: DataFrame, depth: int = 64) -> DataFrame:
     return labels.select("node", F.col("label").alias("lineage"))
 
 
+def extend_lineage(labels: DataFrame, added: DataFrame) -> DataFrame:
+    """``labels`` (node, lineage) after the edges ``added`` (source, target) have come.
+
+    The new edges are drawn between the lineages of their ends (a new node is its own), and only this small graph is searched; all other
+    labels are read once, to be renamed where their lineage was merged. Earlier edges aren't read at all.
+    """
+    ends = added.select(F.col("source").alias("node")).unionByName(added.select(F.col("target").alias("node"))).distinct()
+    known = stored(ends.join(labels, "node", "left").select("node", F.coalesce("lineage", "node").alias("lineage")), "ends")
+    of = lambda end: known.select(F.col("node").alias(end), F.col("lineage").alias(f"{end}_lineage"))
+    met = added.join(of("source"), "source").join(of("target"), "target").select(F.col("source_lineage").alias("source"), F.col("target_lineage").alias("target"))
+    merged = lineage(met).select(F.col("node").alias("lineage"), F.col("lineage").alias("into"))
+    fresh = known.join(labels.select("node"), "node", "left_anti")
+    return labels.select("node", "lineage").unionByName(fresh).join(merged, "lineage", "left").select("node", F.coalesce("into", "lineage").alias("lineage"))
+
+
+def shrink_lineage(labels: DataFrame, edges: DataFrame, removed: DataFrame) -> DataFrame:
+    """``labels`` after the edges ``removed`` have gone from ``edges``. Only lineages that hold a removed edge are searched again, along the edges
+    that they have left; a node without any edge is a lineage of its own. Edges are undirected."""
+    same = lambda df: df.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"))
+    touched = stored(labels.join(removed.select(F.col("source").alias("node")).distinct(), "node", "left_semi").select("lineage").distinct(), "touched")
+    members = stored(labels.join(touched, "lineage", "left_semi").select("node"), "members")
+    left = same(edges).join(members.select(F.col("node").alias("source")), "source", "left_semi").join(same(removed).distinct(), ["source", "target"], "left_anti")
+    again = lineage(left).withColumnRenamed("lineage", "anew")
+    searched = members.join(again, "node", "left").select("node", F.coalesce("anew", "node").alias("lineage"))
+    return labels.join(touched, "lineage", "left_anti").select("node", "lineage").unionByName(searched)
+
+
 def continuations(turns: DataFrame, sessions: DataFrame) -> DataFrame:
     """Continuation edges: sessions whose turns name exactly one other earlier session."""
     named = turns.where("anchor IS NOT NULL AND anchor <> session_id").groupBy("session_id").agg(F.min("anchor").alias("anchor"), F.max("anchor").alias("last"))
