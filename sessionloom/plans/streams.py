@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import claims, intervals
+from ..operators import claims, intervals, sessions
+from ..operators.graph import shared_folder
 from ..sources import views
-from ..streaming import jobs
+from ..streaming import derivation, jobs
 from . import events
 
 
@@ -65,6 +68,20 @@ def streaming_claims(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("workspace_id", "claim_key", "state", F.col("occurred_at").alias("observed_at"), "confidence", "latest_seq", "pinned", "watched", "last_review", "n_advances")
 
 
+def derivation_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as records, every tenth cut short: status, attempts, segments and vectors when nothing waits any more."""
+    whole = F.to_json(F.struct("text"))
+    cut = F.when(F.col("doc_id") % 10 == 3, F.expr("left(to_json(struct(text)), length(to_json(struct(text))) - 1)")).otherwise(whole)
+    records = _stream(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), cut.alias("content"))
+    base = f"{shared_folder(spark)}/derivation-{uuid.uuid4().hex}"
+    job = derivation.Derivation(spark, base, sessions.hashing_embedder(16), 16).prepare()
+    job.run(records)
+    job.settle()
+    vectors = job.table("embeddings").where("valid").select("segment_id").distinct().withColumn("has", F.lit(1))
+    counts = job.table("segments").join(vectors, "segment_id", "left").groupBy("record_id").agg(F.count("*").alias("n_segments"), F.count("has").alias("n_vectors"))
+    return job.status().join(counts, "record_id", "left").select("record_id", "status", "attempts", F.coalesce("n_segments", F.lit(0)).alias("n_segments"), F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"))
+
+
 _ARRIVAL = events._LABELLED.replace("ORDER BY occurred_at, raw_event_id", "ORDER BY raw_event_id")
 
 ORACLES = {
@@ -73,6 +90,8 @@ ORACLES = {
     "streaming_claims": f"WITH RECURSIVE {events._CLAIMS} SELECT * FROM cc",
     "streaming_intervals": f"WITH {events._LABELLED} SELECT session_id, raw_event_id, interval_ordinal, opens FROM l3",
     "streaming_ledger": f"WITH {events._RAW} SELECT workspace_id, external_event_id, raw_event_id * 2 AS arrival FROM raw",
+    "derivation_stream": """SELECT doc_id AS record_id, CASE WHEN cut THEN 'failed' ELSE 'derived' END AS status, CASE WHEN cut THEN 5 ELSE 0 END AS attempts, CASE WHEN cut THEN 0 ELSE k END AS n_segments, CASE WHEN cut THEN 0 ELSE k END AS n_vectors
+      FROM (SELECT doc_id, doc_id % 10 = 3 AS cut, CASE WHEN n = 0 THEN 0 WHEN n <= 1200 THEN 1 ELSE greatest(2, ceil((n - 125) / 875.0)) END::BIGINT AS k FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS n FROM documents))""",
     "streaming_derive": "SELECT doc_id, (CASE WHEN n = 0 THEN 0 WHEN n <= 1200 THEN 1 ELSE greatest(2, ceil((n - 125) / 875.0)) END)::INT AS n_chunks FROM (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents)",
 }
 
