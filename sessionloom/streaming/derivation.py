@@ -35,8 +35,8 @@ def chunks(content: Column) -> tuple[Column, Column]:
     body = F.from_json(content, "text string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
     good = content.isNotNull() & body["_corrupt"].isNull() & F.coalesce(F.ltrim(content).startswith("{"), F.lit(False))
     text = F.coalesce(body["text"], F.lit(""))
-    bounds = T.chunk_bounds(F.size(T.tokens(text)))
-    parts = F.transform(bounds, lambda b: F.array_join(F.slice(T.tokens(text), b["token_start"] + 1, b["token_end"] - b["token_start"]), " "))
+    cut = lambda tokens: F.transform(T.chunk_bounds(F.size(tokens)), lambda b: F.array_join(F.slice(tokens, b["token_start"] + 1, b["token_end"] - b["token_start"]), " "))
+    parts = F.transform(F.array(T.tokens(text)), cut)[0]  # the tokens are made once, not for each chunk
     return F.when(good, parts), F.when(~good, F.concat(F.lit("not a transcript: "), F.coalesce(content, F.lit("null"))))
 
 
@@ -84,7 +84,7 @@ class Derivation:
         named = segments.where(F.trim("text") != "").select("segment_id", "text", F.lit(self.dims).alias("dimensions"), F.lit("local").alias("provider"), F.lit("m1").alias("model"))
         return sessions.fill(named, self.embedder, self.dims)
 
-    def _new(self, records: DataFrame, batch: int) -> DataFrame:
+    def _new(self, records: DataFrame) -> DataFrame:
         """Records that no earlier batch has taken, each once. Only the status of batches whose filter may hold one is read."""
         records = records.groupBy("record_id").agg(F.min("content").alias("content"))
         earlier = self.table("filters").select(*[c.split()[0] for c in bloom.FILTER.split(", ")])
@@ -100,7 +100,9 @@ class Derivation:
         write = lambda df, name: self._write(df.select(*[c.split()[0] for c in TABLES[name].split(", ")]), name, batch, turn, attempt)
         last = self.manifests().agg(F.max(F.struct("batch", "turn")).alias("m")).select("m.*")
         waiting = self.table("waiting").join(F.broadcast(last), ["batch", "turn"], "left_semi").select("record_id", "content", F.col("attempts").alias("before"))
-        fresh = self._new(records.where("record_id IS NOT NULL").select(F.col("record_id").cast("long"), "content"), batch)
+        fresh = records.where("record_id IS NOT NULL").select(F.col("record_id").cast("long"), "content")
+        if turn == 0:  # later turns bring no new records
+            fresh = self._new(fresh)
         todo = fresh.withColumn("before", F.lit(0).cast("long")).unionByName(waiting)
         parts, error = self.derive(F.col("content"))
         done = todo.withColumns({"parts": parts, "error": F.substring(error, 1, ERROR_CHARS)}).withColumn("attempts", F.col("before") + F.when(F.col("error").isNotNull(), 1).otherwise(0))
@@ -111,8 +113,8 @@ class Derivation:
         segments = done.where("error IS NULL").select("record_id", F.posexplode("parts").alias("segment", "text")).withColumn("segment", F.col("segment").cast("long"))
         segments = write(segments.withColumn("segment_id", F.col("record_id") * SEGMENTS + F.col("segment")), "segments")
         write(self._embedded(segments if turn == 0 else segments.select("segment_id", "text").unionByName(self.absent())), "embeddings")
-        keys = status.where(F.col("attempts") <= 1).select(F.xxhash64("record_id").alias("_key"))
-        write(bloom.build(keys, F.lit(batch)), "filters")
+        if turn == 0:
+            write(bloom.build(status.select(F.xxhash64("record_id").alias("_key")), F.lit(batch)), "filters")
         self.spark.createDataFrame([(batch, turn, attempt)], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.base}/manifests/at={batch}-{turn}")
 
     def run(self, stream: DataFrame) -> None:
