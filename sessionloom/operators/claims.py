@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds
+
 # Precedence of states and the parts of the score.
 PRECEDENCE = {"rejected": 4, "superseded": 3, "contradicted": 2, "supported": 1}
 STATE_OF = {"extracted": "candidate", "supported": "supported", "contradicted": "contradicted", "promoted": "supported", "rejected": "rejected", "superseded": "superseded", "decayed": "decayed", "merged": "superseded", "split": "superseded"}
@@ -32,10 +34,12 @@ def state_of(event_type: Column) -> Column:
 
 
 def prior_counts(events: DataFrame) -> DataFrame:
-    """Counts of recurring events and contradictions of the claim before each event, in order of arrival."""
-    w = Window.partitionBy("workspace_id", "claim_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda flag: F.coalesce(F.sum(flag.cast("long")).over(w), F.lit(0))
-    return events.withColumns({"prior_events": before(F.col("event_type").isin(*RECURRING)), "prior_against": before(F.col("event_type") == "contradicted")})
+    """Counts of recurring events and contradictions of the claim before each event, in order of arrival.
+
+    The rows also carry ``_run``, the run of sorted rows (``folds.runs``) that an event lies in.
+    """
+    cut = events if "_run" in events.columns else folds.runs(events)
+    return folds.running_counts(cut, {"prior_events": F.col("event_type").isin(*RECURRING), "prior_against": F.col("event_type") == "contradicted"})
 
 
 def confidence(*, base, event_type, kind, actor, source, trusted, own_source, age_days, prior_events, prior_against) -> Column:
@@ -66,31 +70,56 @@ def governed(event_type: Column, evidence_type: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def _flag(name: str) -> str:
+    """SQL of an attribute after event e: what the event sets, else what it was."""
+    set_by = " ".join(f"WHEN e.event_type = '{k}' THEN {str(v).lower()}" for k, (flag, v) in FLAGS.items() if flag == name)
+    return f"CASE {set_by} ELSE a.{name} END"
+
+
+def _fold() -> str:
+    """SQL of a run's fold from the state ``before`` it; attributes that the run does not set stay null, n counts its advances."""
+    kind = f"STRUCT<at: {folds.PLACE}, pinned: BOOLEAN, watched: BOOLEAN, review: STRING, n: BIGINT>"
+    known = ", ".join(f"'{k}'" for k in FLAGS)
+    flagged = f"named_struct('at', a.at, 'pinned', {_flag('pinned')}, 'watched', {_flag('watched')}, 'review', e.event_type, 'n', a.n)"
+    advanced = f"named_struct('at', {folds.OF_EVENT}, 'pinned', a.pinned, 'watched', a.watched, 'review', a.review, 'n', a.n + 1L)"
+    advances = "a.at IS NULL OR (a.at.micros <= e.micros AND (e.governed OR e.rank >= a.at.rank))"
+    start = f"CAST(named_struct('at', before, 'pinned', null, 'watched', null, 'review', null, 'n', 0L) AS {kind})"
+    return f"""aggregate(log, {start}, (a, e) -> CAST(CASE
+      WHEN e.state IS NULL THEN if(a.at IS NULL OR e.event_type NOT IN ({known}), a, CAST({flagged} AS {kind}))
+      WHEN {advances} THEN CAST({advanced} AS {kind}) ELSE a END AS {kind}))"""
+
+
 def project(events: DataFrame) -> DataFrame:
     """Fold each claim's events, in order of arrival, to its current state.
 
     Events that name a state advance the claim when they are no older and of no lower precedence (a candidate has
     the lowest); ``governed`` ones advance it whatever the precedence. The events of ``FLAGS`` change attributes of a
     claim that is there already; attributes outlive every advance. Events carry (workspace_id, claim_key, seq,
-    event_type, occurred_at, confidence) and may carry governed.
+    event_type, occurred_at, confidence) and may carry governed, and the ``_run`` of ``prior_counts``. Events without a
+    time, or with a seq that another of the claim has too, have no defined place.
+
+    A claim of any length is folded run by run: the runs' summaries give the state before each, then every run is
+    folded by itself. Only runs that another run of the claim follows are summarised.
     """
     if "governed" not in events.columns:
         events = events.withColumn("governed", F.lit(False))
-    state = _pick(F.col("event_type"), STATE_OF, None)
-    coded = events.withColumn("state", state).withColumn("rank", _pick(state, PRECEDENCE, 0)).withColumn("micros", F.unix_micros(F.col("occurred_at").cast("timestamp")))
-    packed = coded.groupBy("workspace_id", "claim_key").agg(F.array_sort(F.collect_list(F.struct("seq", "event_type", "state", "rank", "micros", "confidence", F.coalesce("governed", F.lit(False)).alias("governed")))).alias("log"))
-    kind = "STRUCT<state: STRING, rank: INT, micros: BIGINT, confidence: DOUBLE, seq: BIGINT, pinned: BOOLEAN, watched: BOOLEAN, review: STRING, n: INT>"
-    flag = lambda name: "CASE " + " ".join(f"WHEN e.event_type = '{k}' THEN {str(v).lower()}" for k, (f, v) in FLAGS.items() if f == name) + f" ELSE a.{name} END"
-    known = ", ".join(f"'{k}'" for k in FLAGS)
-    fold = f"""aggregate(log, cast(null as {kind}), (a, e) -> CASE
-      WHEN e.state IS NULL THEN if(a IS NULL OR e.event_type NOT IN ({known}), a, cast(named_struct('state', a.state, 'rank', a.rank, 'micros', a.micros, 'confidence', a.confidence, 'seq', a.seq,
-        'pinned', {flag("pinned")}, 'watched', {flag("watched")}, 'review', e.event_type, 'n', a.n) as {kind}))
-      WHEN a IS NULL OR (a.micros <= e.micros AND (e.governed OR e.rank >= a.rank))
-      THEN cast(named_struct('state', e.state, 'rank', e.rank, 'micros', e.micros, 'confidence', e.confidence, 'seq', e.seq,
-        'pinned', coalesce(a.pinned, false), 'watched', coalesce(a.watched, false), 'review', a.review, 'n', coalesce(a.n, 0) + 1) as {kind})
-      ELSE a END)"""
-    folded = packed.withColumn("c", F.expr(fold)).where("c IS NOT NULL")
-    return folded.select("workspace_id", "claim_key", "c.state", F.timestamp_micros("c.micros").cast("timestamp_ntz").alias("observed_at"), "c.confidence", F.col("c.seq").alias("latest_seq"), "c.pinned", "c.watched", F.col("c.review").alias("last_review"), F.col("c.n").cast("long").alias("n_advances"))
+    if "_run" not in events.columns:
+        events = folds.runs(events)
+    state = state_of(F.col("event_type"))
+    coded = events.withColumns({"state": state, "rank": _pick(state, PRECEDENCE, 0), "micros": F.unix_micros(F.col("occurred_at").cast("timestamp")), "governed": F.coalesce("governed", F.lit(False))})
+    event = F.struct("seq", "event_type", "state", "rank", "micros", "confidence", "governed")
+    packed = coded.groupBy(*folds.KEY, "_run").agg(F.array_sort(F.collect_list(event)).alias("log"))
+    last = events.groupBy(*folds.KEY).agg(F.min("_run").alias("_first"), F.max("_run").alias("_last")).where("_first < _last")
+    long = [F.col(c).eqNullSafe(F.col(f"_{c}_l")) for c in folds.KEY]
+    split = packed.join(last.select(*[F.col(c).alias(f"_{c}_l") for c in folds.KEY], "_last"), long).drop(*[f"_{c}_l" for c in folds.KEY])
+    steps = F.when(F.col("_run") < F.col("_last"), F.expr(folds.summary("log"))).otherwise(F.expr(f"CAST(array() AS {folds.STEPS})"))
+    before = folds.states_before(split.select(*folds.KEY, "_run", steps.alias("steps")))
+    folded = folds.same_run(packed, before, "left").withColumn("c", F.expr(_fold()))
+    latest = lambda name: F.max_by(F.col(f"c.{name}"), F.when(F.col(f"c.{name}").isNotNull(), F.col("_run")))
+    whole = folded.groupBy(*folds.KEY).agg(latest("at").alias("at"), latest("pinned").alias("pinned"), latest("watched").alias("watched"), latest("review").alias("last_review"), F.sum("c.n").alias("n_advances")).where("at IS NOT NULL")
+    observed = F.timestamp_micros("at.micros").cast("timestamp_ntz").alias("observed_at")
+    held = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("pinned", "watched")]
+    return whole.select(*folds.KEY, "at.state", observed, "at.confidence", F.col("at.seq").alias("latest_seq"), *held, "last_review", "n_advances")
 
 
 def live(claims: DataFrame, limit: int = 8) -> DataFrame:
