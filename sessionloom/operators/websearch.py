@@ -2,46 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: A text to its terms, one a place, null where a word does not count.
+Analyzer = Callable[[Column], Column]
 #: Covers up to this many terms score 1 each; longer ones score this number by their length.
 COVER = 4
 #: Most and least words of a headline.
 MOST_WORDS, LEAST_WORDS = 24, 8
 
 
-def parse(queries: DataFrame) -> DataFrame:
+def parse(queries: DataFrame, analyze: Analyzer = T.analyzed) -> DataFrame:
     """(query_id, item, clause, slot, negative, terms, k) of the items of web-style queries (query_id, query).
 
     Words must all occur, ``"..."`` is a phrase, a leading minus excludes, and ``or`` parts clauses, one of which must
     hold. ``k`` is the number of items of the clause that must occur; ``slot`` numbers them from 0, excluded items have
     none. Words of which the analyzer leaves nothing are ignored; a query without words has no items, nor has null.
+    Places that the analyzer leaves null stay inside a phrase and go at its ends.
     """
     cut = queries.select("query_id", F.posexplode(F.regexp_extract_all("query", F.lit(r'-?"[^"]*"|[^\s"]+'), F.lit(0))).alias("i", "w"))
     clause = F.count_if(F.lower("w") == "or").over(Window.partitionBy("query_id").orderBy("i"))
-    items = cut.select("query_id", "i", clause.alias("clause"), F.col("w").startswith("-").alias("negative"), (F.lower("w") == "or").alias("parts"), T.analyzed(F.col("w")).alias("terms"))
-    items = items.where(~F.col("parts") & (F.size("terms") > 0))
+    items = cut.select("query_id", "i", clause.alias("clause"), F.col("w").startswith("-").alias("negative"), (F.lower("w") == "or").alias("parts"), analyze(F.col("w")).alias("all"))
+    places = F.transform("all", lambda t, i: F.when(t.isNotNull(), i))
+    items = items.withColumns({"first": F.array_min(places), "last": F.array_max(places)}).where(~F.col("parts") & F.col("first").isNotNull())
+    items = items.withColumn("terms", F.slice("all", F.col("first") + 1, F.col("last") - F.col("first") + 1))
     before = F.count_if(~F.col("negative")).over(Window.partitionBy("query_id", "clause").orderBy("i"))
     k = F.count_if(~F.col("negative")).over(Window.partitionBy("query_id", "clause"))
     return items.select("query_id", F.col("i").alias("item"), "clause", F.when(~F.col("negative"), before - 1).cast("int").alias("slot"), "negative", "terms", k.cast("int").alias("k"))
 
 
-def matches(segments: DataFrame, queries: DataFrame, cover: int = COVER) -> DataFrame:
+def matches(segments: DataFrame, queries: DataFrame, cover: int = COVER, analyze: Analyzer = T.analyzed) -> DataFrame:
     """(query_id, segment_id, lexical) of the segments that a clause of the query matches.
 
     The rank of a clause is the sum over its covers, the shortest stretches that hold all of its words and phrases: 1
     for a cover of up to ``cover`` terms, ``cover`` by length beyond that. A query's rank is that of its best clause. A
-    clause of excluded words alone matches nothing. Phrases are matched over the analyzed terms, so stop words inside
-    them do not count. Only postings of the queries' own terms are joined; segment ids are unique.
+    clause of excluded words alone matches nothing. Phrases are matched over the analyzed terms: stop words inside
+    them do not count with ``text.analyzed``, and hold a place for any word with ``analysis.analyzer``. Only postings of the queries' own terms are joined; segment ids are unique.
     """
-    items = parse(queries).where("k > 0")
-    wanted = items.select("query_id", "clause", "slot", "k", F.size("terms").alias("n"), "item", F.posexplode("terms").alias("off", "t"))
-    posted = segments.select("segment_id", F.posexplode(T.analyzed(F.col("text"))).alias("pos", "t"))
+    items = parse(queries, analyze).where("k > 0")
+    wanted = items.select("query_id", "clause", "slot", "k", F.size("terms").alias("n"), F.size(F.array_compact("terms")).alias("need"), "item", F.posexplode("terms").alias("off", "t")).where("t IS NOT NULL")
+    posted = segments.select("segment_id", F.posexplode(analyze(F.col("text"))).alias("pos", "t")).where("t IS NOT NULL")
     found = posted.join(wanted, "t").withColumn("start", F.col("pos") - F.col("off"))
-    spots = found.groupBy("query_id", "clause", "segment_id", "k", "item", "slot", "n", "start").agg(F.count("*").alias("have")).where("have = n")
+    spots = found.groupBy("query_id", "clause", "segment_id", "k", "item", "slot", "n", "need", "start").agg(F.count("*").alias("have")).where("have = need")
     spot = F.struct((F.col("start") + F.col("n") - 1).alias("stop"), "start", "slot")
     both = spots.groupBy("query_id", "clause", "segment_id", "k").agg(
         F.count_distinct("slot").alias("have"), F.count_if(F.col("slot").isNull()).alias("banned"), F.array_sort(F.collect_list(F.when(F.col("slot").isNotNull(), spot))).alias("at")
@@ -57,16 +64,16 @@ def matches(segments: DataFrame, queries: DataFrame, cover: int = COVER) -> Data
     return ranked.groupBy("query_id", "segment_id").agg(F.max("lexical").alias("lexical"))
 
 
-def terms_of(queries: DataFrame) -> DataFrame:
+def terms_of(queries: DataFrame, analyze: Analyzer = T.analyzed) -> DataFrame:
     """(query_id, shown): the words that a headline of the query marks."""
-    return parse(queries).where("NOT negative").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("shown"))
+    return parse(queries, analyze).where("NOT negative").groupBy("query_id").agg(F.array_distinct(F.array_compact(F.flatten(F.collect_list("terms")))).alias("shown"))
 
 
-def headline(text: Column, shown: Column, most: int = MOST_WORDS, least: int = LEAST_WORDS) -> Column:
+def headline(text: Column, shown: Column, most: int = MOST_WORDS, least: int = LEAST_WORDS, analyze: Analyzer = T.analyzed) -> Column:
     """Words of the text from the first hit to the last one within ``most`` words, ``least`` words at the least where
     the text has them; hits stand in ``<b>``. Null without a hit."""
     words = T.tokens(text)
-    hit = lambda w: F.arrays_overlap(T.analyzed(w), shown)
+    hit = lambda w: F.coalesce(F.arrays_overlap(analyze(w), shown), F.lit(False))
     at = F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull())
     first = F.get(at, F.lit(0))
     last = F.array_max(F.filter(at, lambda i: i < first + most))
