@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context, dispositions, documents, events, governance, retrieval, safety, service, sessions, streams, transcripts, views
+from . import context, dispositions, documents, events, governance, retrieval, safety, service, sessions, stemmed, streams, transcripts, views
 
-_MODULES = (events, documents, retrieval, sessions, transcripts, views, streams, service, safety, context, governance, dispositions)
+_MODULES = (events, documents, retrieval, sessions, transcripts, views, streams, service, safety, context, governance, dispositions, stemmed)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
