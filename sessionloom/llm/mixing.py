@@ -7,8 +7,8 @@ over the sources sorted by (limit / weight), found from exact integer sums.
 Selection inside a source: a document is taken whole once for each complete epoch that the target holds; the rest
 of the target is filled in the order of the exponential keys -ln(u) / w, with u from a digest of the id and w the
 document's quality weight, by prefix sums; the document at the limit is taken in part, so that a source meets its
-target to the word. The prefix sum runs in two levels (within a bucket of keys, then over bucket totals), so a
-source that holds a third of the rows is spread over as many tasks as it needs.
+target to the word. Only the place where a source ends is sought, by sums in two levels (over bucket totals, then within
+the one bucket that holds it), so a source that holds a third of the rows is spread over as many tasks as it needs.
 
 Defined cases: a null text has size 0; a document of size 0 is taken 0 times; a null source is a source of its
 own, sorted last; equal keys are ordered by id and size; repeated rows are separate documents with equal keys;
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import discard, materialize, unit_hash
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
@@ -59,38 +59,73 @@ def source_targets(sized: DataFrame, source: str = "source", size: str = "size")
     return ranked.withColumn("_l", first).select("_source", "source_size", "n", F.coalesce(share, F.col("limit").cast("double")).alias("target"))
 
 
-def choose(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``doc`` (a struct of all columns of ``docs``), doc_id, source, size, source_size, target and taken (words that the mix
-    takes, repeats counted).
-
-    ``quality`` may give (id, quality 0 or 1): weights 2 and 0.5; documents without one weigh 1.
-    """
-    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), words(F.col(f"`{text}`")).alias("size"))
-    targets = source_targets(docs)
+def keyed(rows: DataFrame, quality: DataFrame | None, id_col: str) -> DataFrame:
+    """``rows`` with the exponential key of their doc_id as ``_key``."""
     if quality is not None:
         quality = quality.groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").alias("_quality"))
-        docs = docs.join(quality, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+        rows = rows.join(quality, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     else:
-        docs = docs.withColumn("_quality", F.lit(None).cast("int"))
+        rows = rows.withColumn("_quality", F.lit(None).cast("int"))
     weight = F.when(F.col("_quality") > 0, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)
     u = unit_hash(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("mix"))
-    # targets has a row per source; Spark broadcasts it only while it is under its own size limit
-    rows = docs.withColumn("_u", u).withColumn("_key", -F.log("_u") / weight).join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_quality")
+    return rows.withColumn("_key", -F.log(u) / weight).drop("_quality")
+
+
+def limits(groups: DataFrame) -> DataFrame:
+    """One row per source: source_size, target, the complete ``_epochs`` in it, and where the rest of the target ends: at the
+    place ``_end`` (key, doc_id, size), which ``_same`` rows share, after ``_part`` words of them.
+
+    ``groups`` has a row for each doc_id, source and size, with ``_key`` and the number ``_same`` of its rows; no text.
+    """
+    groups = groups.withColumn("_words", F.col("size") * F.col("_same"))
+    whole = F.round("target").cast("long")
+    targets = source_targets(groups, size="_words").withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0).cast("long"))
+    targets = targets.withColumn("_rest", whole - F.col("_epochs") * F.col("source_size"))
+    rows = groups.join(targets.select("_source", "n"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # keys are exponential, so 1 - exp(-key) is near uniform where weights are 1 and cuts a source into buckets of like size;
     # with exp(-key / 2) on the way, neither weight gathers its rows at an end
     spread = 1 - (F.exp(-F.col("_key") / 2) + F.exp(-F.col("_key")) + F.exp(-2 * F.col("_key"))) / 3
     rows = rows.withColumn("_bucket", F.floor(spread * F.ceil(F.col("n") / BUCKET_ROWS)).cast("long"))
-    sums = rows.groupBy(F.col("source").alias("_s"), F.col("_bucket").alias("_b")).agg(F.sum("size").alias("_sum"))
-    earlier = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("_s", "_b", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(base, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    whole = F.round("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(0)
-    rest = whole - epochs * F.col("source_size") - F.col("_base") - F.col("_before")
-    taken = (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long")
-    return rows.select("doc", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    # first the bucket in which the rest ends, then the place in it
+    sums = rows.groupBy("source", "_bucket").agg(F.sum("_words").alias("_sum"))
+    earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_left", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    sums = sums.join(targets.select("_source", "_rest"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_left", F.col("_rest") - F.col("_left"))
+    last = sums.where("_left >= 0 AND _left < _sum").select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "_left")
+    inside = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(last, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    rows = rows.withColumn("_part", F.col("_left") - F.coalesce(F.sum("_words").over(inside), F.lit(0)))
+    ends = rows.where("_part >= 0 AND _part < _words").select("_s", F.struct("_key", "doc_id", "size").alias("_end"), "_same", "_part")
+    return targets.join(ends, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s", "_rest", "n")
+
+
+def choose(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``doc`` (a struct of all columns of ``docs``), doc_id, source, size, source_size, target and taken (words that the mix
+    takes, repeats counted).
+
+    ``quality`` may give (id, quality 0 or 1): weights 2 and 0.5; documents without one weigh 1. The order and the sums are
+    worked on without the texts; a text then meets its quality and the limit of its source.
+    """
+    base = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), words(F.col(f"`{text}`")).alias("size")]
+    groups = docs.select(*base).groupBy("doc_id", "source", "size").agg(F.count("*").alias("_same"))
+    groups = materialize(keyed(groups, quality, id_col), "mix_groups")
+    # a row per source, written, so that Spark knows its size and broadcasts it only while that is small
+    ends = materialize(limits(groups), "mix_limits")
+    discard(groups)
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *base, F.xxhash64(F.col(f"`{text}`")).alias("_tie"))
+    rows = keyed(docs.drop("_tie"), quality, id_col).join(ends, F.col("source").eqNullSafe(F.col("_source")))
+    place = F.struct("_key", "doc_id", "size")
+    rest = F.when(place < F.col("_end"), F.col("size")).when(place == F.col("_end"), F.col("_part")).otherwise(0)
+    tied = ends.where("_same > 1")
+    out = ["doc", "doc_id", "source", "size", "source_size", "target"]
+    if not tied.head(1):
+        return rows.select(*out, (F.col("_epochs") * F.col("size") + rest).alias("taken"))
+    # rows that share the place at a limit are filled one after the other
+    rows = rows.where(F.coalesce((F.col("_same") == 1) | (place != F.col("_end")), F.lit(True)))
+    same = docs.join(tied, F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_end.doc_id")) & (F.col("size") == F.col("_end.size")))
+    before = (F.row_number().over(Window.partitionBy("source").orderBy("_tie")) - 1) * F.col("size")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_part") - before))
+    return rows.select(*out, (F.col("_epochs") * F.col("size") + rest).alias("taken")).union(same.select(*out, (F.col("_epochs") * F.col("size") + part).alias("taken")))
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
