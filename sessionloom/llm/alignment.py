@@ -217,8 +217,9 @@ class Units:
         size = np.concatenate([side_a.size[a[0]], side_b.size[b[0]]])
         ends = np.concatenate([np.cumsum(size[side == 0]), np.cumsum(size[side == 1])])
         order, group = coalesce(ends - size, ends, side)
-        del size, ends
-        ids, side, unit = ids[order], side[order], unit[order]
+        del size, ends, a, b
+        ids, side, unit, group = ids[order], side[order], unit[order], group.astype(np.int32)
+        del order
         total = int(group[-1]) + 1 if len(group) else 0
         of = np.zeros(total, dtype=np.int32)
         of[group] = unit  # tokens of a group lie in one unit
@@ -240,7 +241,7 @@ class Units:
     @staticmethod
     def _texts(ids: np.ndarray, side: np.ndarray, unit: np.ndarray, group: np.ndarray, n_units: int) -> pa.Array:
         """``a1,a2|b1;a3|b2,b3`` of each unit: tokens by group and side, each with the sign that follows it."""
-        by = np.argsort(group * 2 + side, kind="stable")
+        by = np.argsort(group.astype(np.int64) * 2 + side, kind="stable")
         ids, side, unit, group = ids[by], side[by], unit[by], group[by]
         sign = np.full(len(by), 3, dtype=np.int32)
         same_side, same_unit = side[1:] == side[:-1], unit[1:] == unit[:-1]
@@ -273,6 +274,11 @@ def _documents_of_pairs(doc: np.ndarray, code: np.ndarray, units: Units, pair: n
     return found
 
 
+def narrow(values: np.ndarray) -> str:
+    """The smallest unsigned type that holds the values."""
+    return f"<u{np.min_scalar_type(int(values.max(initial=0))).itemsize}"
+
+
 #: A block: documents with what they need no other block for, their units, the units' pairs by number, and the pairs.
 BLOCKS = "block long, docs array<long>, sums binary, groups array<string>, units binary, cuts binary, upto binary, pair_of binary, weight binary, pairs array<long>, holders array<long>"
 
@@ -310,7 +316,7 @@ def _block(number: int, doc_ids: pa.Array, texts: pa.Array, side_a: Side, side_b
     pair_of = np.searchsorted(pairs, units.pair)
     holders = _documents_of_pairs(some[doc], code, units, pair_of, len(pairs)) if len(code) else np.zeros(len(pairs), np.int64)
     raw = lambda x, kind: np.ascontiguousarray(x, dtype=kind).tobytes()
-    return {"block": number, "docs": doc_ids.to_pylist(), "sums": raw(sums, "<i8"), "groups": groups, "units": raw(code, "<i4"), "cuts": raw(cuts, "<i8"), "upto": raw(units.upto, "<i8"), "pair_of": raw(pair_of, "<i4"), "weight": raw(units.weight, "<i8"), "pairs": pairs, "holders": holders}
+    return {"block": number, "docs": doc_ids.to_pylist(), "sums": raw(sums, "<i8"), "groups": groups, "units": raw(code, "<i4"), "cuts": raw(cuts, "<i8"), "upto": raw(units.upto, "<i8"), "pair_of": raw(pair_of, "<i4"), "weight": raw(units.weight, narrow(units.weight)), "pairs": pairs, "holders": holders}
 
 
 def text_blocks(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
@@ -338,7 +344,8 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, block: int = BL
                 yield pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()], list(row))
                 give_back()
 
-    blocks = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCKS), "aligned")
+    # a row group for each block: readers load row groups whole, however many blocks a file has
+    blocks = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCKS), "aligned", {"parquet.block.row.count.limit": 1})
     asked = blocks.select(F.explode(F.arrays_zip("pairs", "holders")).alias("p")).select(F.col("p.pairs").alias("pair"), F.col("p.holders").alias("n"))
     return blocks, asked.groupBy("pair").agg(F.sum("n").alias("n"))
 
@@ -349,25 +356,32 @@ def pair_table(pairs: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("a_id").agg(F.max("n").alias("most")), "a_id").select("a_id", "b_id", "pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
+REPORT = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")] + [("groups_sha256", pa.string())])
+
+
+def _report(row: dict, told: pa.Table) -> pa.Table:
+    """The documents of a block. ``told``: at most one row with ``n`` and ``best`` of the block's pairs."""
+    units, cuts, upto, pair_of = np.frombuffer(row["units"], "<i4"), np.frombuffer(row["cuts"], "<i8"), np.frombuffer(row["upto"], "<i8"), np.frombuffer(row["pair_of"], "<i4")
+    weight = np.frombuffer(row["weight"], f"<u{len(row['weight']) // max(1, len(pair_of))}" if len(pair_of) else "u1").astype(np.int64)
+    n, best = (told.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("n", "best"))
+    sums = [*np.frombuffer(row["sums"], "<i8").reshape(4, -1)]
+    for value in (best.astype(bool)[pair_of] * weight, n.astype(np.int64)[pair_of] * weight):  # by pair of a unit, then by unit, then by document
+        by_unit = np.diff(np.concatenate([[0], np.cumsum(value)])[upto])
+        sums.append(np.diff(np.concatenate([[0], np.cumsum(by_unit[units])])[cuts]))
+    return pa.Table.from_arrays([pa.array(row["docs"], pa.int64()), *map(pa.array, sums), pa.array(row["groups"], pa.string())], schema=REPORT)
+
+
 def alignment_report(docs: DataFrame, paths: tuple[str, str] | None = None, block: int = BLOCK) -> DataFrame:
     """The contract's columns, one row per document."""
     blocks, pairs = align(docs, paths, block)
     table = materialize(pair_table(pairs).select("pair", "n", "best"), "pair_counts")
     asked = blocks.select("block", F.posexplode("pairs").alias("place", "pair"))
     told = asked.join(table, "pair", "left").select("block", F.struct("place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("best", F.lit(False)).alias("best")).alias("t"))
-    told = told.groupBy("block").agg(F.array_sort(F.collect_list("t")).alias("t")).select("block", F.col("t.n").alias("n"), F.col("t.best").alias("best"))
-    rows = blocks.drop("pairs", "holders").join(told, "block", "left")
+    told = told.groupBy("block").agg(F.array_sort(F.collect_list("t")).alias("t")).select(F.col("block").alias("of"), F.col("t.n").alias("n"), F.col("t.best").alias("best"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                units, cuts, upto = np.frombuffer(row["units"], "<i4"), np.frombuffer(row["cuts"], "<i8"), np.frombuffer(row["upto"], "<i8")
-                pair_of, weight = np.frombuffer(row["pair_of"], "<i4"), np.frombuffer(row["weight"], "<i8")
-                n, best = np.array(row["n"] or [], dtype=np.int64), np.array(row["best"] or [], dtype=bool)
-                sums = [*np.frombuffer(row["sums"], "<i8").reshape(4, -1)]
-                for value in (best[pair_of] * weight, n[pair_of] * weight):  # by pair of a unit, then by unit, then by document
-                    by_unit = np.diff(np.concatenate([[0], np.cumsum(value)])[upto])
-                    sums.append(np.diff(np.concatenate([[0], np.cumsum(by_unit[units])])[cuts]))
-                yield pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64())] + [pa.array(x) for x in sums] + [pa.array(row["groups"], pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-
-    return rows.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        parts = [_report(block.slice(i, 1).to_pylist()[0], told) for i in range(block.num_rows)]
+        return pa.concat_tables(parts) if parts else REPORT.empty_table()
+
+    # blocks meet their counts group by group: a worker is sent one block at a time, however many share a task
+    return blocks.drop("pairs", "holders").groupBy("block").cogroup(told.groupBy("of")).applyInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

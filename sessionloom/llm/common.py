@@ -33,18 +33,18 @@ def scratch_root(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write a step as Parquet into the shared scratch folder and read it back.
 
     This cuts the lineage: a lost executor costs only the stages that follow. Unlike ``localCheckpoint`` nothing
-    depends on an executor's own disk. :func:`discard` deletes the step again.
+    depends on an executor's own disk. :func:`discard` deletes the step again. ``options``: more of the writer's.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **(options or {})).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from sessionloom.llm import alignment
@@ -101,3 +102,19 @@ def test_one_giant_group_is_counted_by_distinct_ids(spark):
     text = "=" * 200_000 + "▁"[:0]
     got = alignment.alignment_report(spark.createDataFrame([(1, text), (2, "==" + text)], "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in got} == {1, 2} and all(r["n_links"] >= r["n_a"] for r in got)
+
+
+def test_a_task_holds_one_block(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(alignment, "materialize", lambda df, name, *more, f=alignment.materialize: steps.append(f(df, name, *more)) or steps[-1])
+    report = alignment.alignment_report(spark.createDataFrame([(k, f"some words of text {k}") for k in range(50)], "doc_id long, text string").coalesce(1), block=64)
+    files = [f.removeprefix("file:") for f in steps[0].inputFiles()]
+    groups = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(g.num_rows for g in groups) > 10 and all(g.num_row_groups == g.num_rows for g in groups)
+    assert "FlatMapCoGroupsInArrow" in report._jdf.queryExecution().toString() and report.count() == 50
+
+
+def test_weights_of_any_size():
+    for most, kind in ((0, "<u1"), (255, "<u1"), (256, "<u2"), (1 << 16, "<u4"), (1 << 32, "<u8")):
+        assert alignment.narrow(np.array([1, most])) == kind
+    assert alignment.narrow(np.zeros(0, np.int64)) == "<u1"
