@@ -26,6 +26,32 @@ def top(hits: DataFrame, limit: int, order: list) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit)
 
 
+def first_of_texts(segments: DataFrame, most: int) -> DataFrame:
+    """(segment_id, text, place, lead): the first ``most`` segments of each distinct text; ``lead`` is the text's least id."""
+    place = F.row_number().over(Window.partitionBy("text").orderBy("segment_id"))
+    rows = segments.select("segment_id", "text", place.alias("place")).where(F.col("place") <= most)
+    return rows.withColumn("lead", F.min("segment_id").over(Window.partitionBy("text")))
+
+
+def distinct_queries(queries: DataFrame) -> DataFrame:
+    """(query, query_id): the distinct queries, each under its least id."""
+    return queries.groupBy("query").agg(F.min("query_id").alias("query_id"))
+
+
+def spread(hits: DataFrame, firsts: DataFrame, queries: DataFrame, most: int, order: list) -> DataFrame:
+    """Hits between distinct queries and distinct texts, as the first ``most`` hits of each query among all segments.
+
+    A text's segments share its score. The first ``most`` segments in an order that ends in the id lie in the first
+    ``most`` texts by that order and their least ids, and each is among the first ``most`` of its text. So copies are
+    scored once and no more than ``most`` of them are ever listed. ``firsts``: :func:`first_of_texts` of ``most``.
+    """
+    order = [*order, "segment_id"]
+    near = top(hits, most, order).drop("rank").withColumnRenamed("segment_id", "lead").join(firsts.select("lead", "segment_id"), "lead").drop("lead")
+    near = top(near, most, order).drop("rank").withColumnRenamed("query_id", "lead")
+    leads = queries.join(distinct_queries(queries).withColumnRenamed("query_id", "lead"), "query").select("query_id", "lead")
+    return leads.join(near, "lead").drop("lead")
+
+
 def word_similarity(query: list[str], text: list[str]) -> float:
     """The greatest Jaccard similarity of the query's trigrams to a window of the text's ordered trigrams.
 
@@ -81,7 +107,9 @@ def trigram_scores(pairs: DataFrame, segments: DataFrame, queries: DataFrame) ->
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], [*names, "trigram"])
 
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in pairs.columns)
-    return both.select(*pairs.columns, "_q", "_g").mapInArrow(score, f"{kinds}, trigram double")
+    # a pair is little data and much work: by bytes, all pairs could be one task
+    dealt = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id", "segment_id")
+    return dealt.select(*pairs.columns, "_q", "_g").mapInArrow(score, f"{kinds}, trigram double")
 
 
 def hopeful(rows: DataFrame, limit: int, low: Column, high: Column, sure: Column | None = None) -> DataFrame:
@@ -97,13 +125,17 @@ def hopeful(rows: DataFrame, limit: int, low: Column, high: Column, sure: Column
 def trigram_hits(segments: DataFrame, queries: DataFrame, limit: int | None = None, least: float = 0.3) -> DataFrame:
     """(query_id, segment_id, trigram) of the hits at or above the threshold.
 
-    With ``limit``, a text's own query is left out and so is what cannot be among a query's first ``limit`` hits: exact
-    scores are computed only where the bounds leave a doubt.
+    With ``limit``, a text's own query is left out and so is what cannot be among a query's first ``limit`` hits by score
+    and id: distinct texts are compared with distinct queries, and exact scores are computed only where the bounds leave a doubt.
     """
-    rows = trigram_bounds(segments, queries, least)
-    if limit is not None:
-        rows = hopeful(rows.where("query_id <> segment_id"), limit, F.col("low"), F.col("high"))
-    return trigram_scores(rows.select("query_id", "segment_id"), segments, queries).where(F.col("trigram") >= least)
+    if limit is None:
+        rows = trigram_bounds(segments, queries, least)
+        return trigram_scores(rows.select("query_id", "segment_id"), segments, queries).where(F.col("trigram") >= least)
+    firsts, asked = first_of_texts(segments, limit + 1), distinct_queries(queries)  # one more: the own one goes
+    texts = firsts.where("place = 1")
+    rows = hopeful(trigram_bounds(texts, asked, least), limit + 1, F.col("low"), F.col("high"))
+    found = trigram_scores(rows.select("query_id", "segment_id"), texts, asked).where(F.col("trigram") >= least)
+    return spread(found, firsts, queries, limit + 1, [F.col("trigram").desc()]).where("query_id <> segment_id")
 
 
 def lexical_hits(segments: DataFrame, queries: DataFrame) -> DataFrame:

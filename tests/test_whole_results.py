@@ -3,9 +3,10 @@
 import datetime
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionloom.operators import recall
 from sessionloom.plans import events, retrieval, views
@@ -75,3 +76,26 @@ def test_fusion_has_fifty_vector_candidates(spark, tmp_path):
     for i, score in hits.items():
         y = near[i][1][1]
         assert i <= 20 and score == pytest.approx(1 + 0.35 * windows("amber lamp", rows[i][1]) + 0.75 / (1 + y * y) ** 0.5, abs=1e-5)
+
+
+def copies(spark, n, kinds=7):
+    """``n`` titles of few texts, some of them null; every fifth id is a query."""
+    texts = ["red tin", "reed tint", "green tin", "red red", "tin", "", None, "bluer greed", "tint red"][:kinds]
+    rows = [(i, texts[i * i % kinds]) for i in range(n)]
+    df = spark.createDataFrame(rows, "segment_id long, text string")
+    return rows, df, df.where("segment_id % 5 = 0").selectExpr("segment_id AS query_id", "text AS query")
+
+
+def test_copies_are_scored_once_and_all_listed(spark, monkeypatch):
+    rows, df, asked = copies(spark, 400, 9)
+    scored = []
+    monkeypatch.setattr(recall, "trigram_scores", lambda pairs, *more, f=recall.trigram_scores: scored.append(pairs) or f(pairs, *more))
+    hits = recall.top(recall.trigram_hits(df, asked, 10), 10, [F.col("trigram").desc(), "segment_id"])
+    got = defaultdict(list)
+    for r in hits.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["segment_id"])
+    score = {(a, b): windows(a, b) for _, a in rows if a for _, b in rows if b}
+    for q, a in rows[::5]:
+        want = sorted((-score[a, b], s) for s, b in rows if a and b and s != q and score[a, b] >= 0.3)[:10]
+        assert got[q] == [s for _, s in want]
+    assert scored[0].count() <= 81
