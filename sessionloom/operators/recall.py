@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -170,28 +171,48 @@ def _blocks(vectors: DataFrame, ids: str, dims: int) -> DataFrame:
     return fine.select(F.col(ids).cast("long"), "embedding").mapInArrow(pack, "ids array<long>, m binary")
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFrame:
-    """(query_id, vec_id, score): exact cosine neighbours of a stated query set against all rows.
+def _best(score: np.ndarray, least: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the first ``k`` of each row by the score to nine digits and the id, of those at or above ``least``.
 
-    Both sides are cut into blocks; a pair of blocks is one matrix product that keeps k rows a query, so what is
-    shuffled is k rows for each query and block.
+    The score's digits are those of the result: what ties there ties here. Negative scores are 0, excluded ones are below -1.
+    """
+    np.maximum(score, 0.0, out=score, where=score > -1.5)
+    if score.shape[1] > k and not np.isfinite(least).all():
+        least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
+    row, column = np.nonzero((score >= least[:, None] - 2e-9) & (score > -1.5))
+    found = np.floor(score[row, column] * 1e9 + 0.5) / 1e9
+    order = np.lexsort((ids[column], -found, row))
+    row, column, found = row[order], column[order], found[order]
+    some = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[some], column[some], found[some]
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int, own: bool = False) -> DataFrame:
+    """(query_id, vec_id, score, rank): exact cosine neighbours of a stated query set against all rows, a query's own id
+    among them only with ``own``.
+
+    Both sides are cut into blocks; a pair of blocks is one matrix product that keeps k rows a query at most, and only
+    those that reach what the query's k-th row had in an earlier block of the task.
     """
     left = _blocks(vectors, "vec_id", dims).select(F.col("ids").alias("v"), F.col("m").alias("vm"))
     right = _blocks(queries, "vec_id", dims).select(F.col("ids").alias("q"), F.col("m").alias("qm"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bars: dict[bytes, np.ndarray] = {}  # by block of queries: a score that k rows of each have reached
         for batch in batches:
-            for row in batch.to_pylist():
-                v, q = np.array(row["v"]), np.array(row["q"])
-                score = np.frombuffer(row["qm"]).reshape(len(q), dims) @ np.frombuffer(row["vm"]).reshape(len(v), dims).T
-                score[q[:, None] == v[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(v, score.shape), -np.round(score, 12)), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, axis=1).ravel()
-                some = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, order.shape[1])[some]), pa.array(v[order].ravel()[some]), pa.array(best[some])], ["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                (v, q), (vm, qm) = (batch.column(c)[i].values.to_numpy() for c in ("v", "q")), (np.frombuffer(batch.column(c)[i].as_buffer()) for c in ("vm", "qm"))
+                score = qm.reshape(len(q), dims) @ vm.reshape(len(v), dims).T
+                if not own:
+                    score[q[:, None] == v[None, :]] = -2.0
+                score[np.isnan(score)] = -2.0
+                bar = bars.setdefault(hashlib.blake2b(qm, key=hashlib.blake2b(q).digest()).digest(), np.full(len(q), -np.inf))
+                row, column, found = _best(score, bar, k, v)
+                full = np.flatnonzero(np.bincount(row, minlength=len(q)) == k)
+                bar[full] = np.maximum(bar[full], found[np.searchsorted(row, full, side="right") - 1])
+                yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(v[column]), pa.array(found)], ["query_id", "vec_id", "score"])
 
     near = left.crossJoin(right).mapInArrow(multiply, "query_id long, vec_id long, score double")
-    near = near.withColumn("score", F.greatest(F.lit(0.0), F.round("score", 9)))
     return top(near, k, [F.col("score").desc(), "vec_id"])
 
 

@@ -99,3 +99,41 @@ def test_copies_are_scored_once_and_all_listed(spark, monkeypatch):
         want = sorted((-score[a, b], s) for s, b in rows if a and b and s != q and score[a, b] >= 0.3)[:10]
         assert got[q] == [s for _, s in want]
     assert scored[0].count() <= 81
+
+
+def test_ties_to_nine_digits_go_by_the_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 3e-5]), (2, [1.0, 1e-5]), (3, [1.0, 0.0]), (4, [-1.0, 0.0]), (5, [0.0, 1.0]), (6, [0.0, float("inf")])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    pick = lambda k, **more: [(r["vec_id"], r["score"]) for r in recall.knn(df, df.where("vec_id = 0"), k, 2, **more).orderBy("rank").collect()]
+    assert pick(1) == [(1, 1.0)] and pick(9) == [(1, 1.0), (2, 1.0), (3, 1.0), (4, 0.0), (5, 0.0)]
+    assert pick(2, own=True) == [(0, 1.0), (1, 1.0)]
+
+
+def test_blocks_of_vectors_keep_what_brute_force_finds(spark, monkeypatch):
+    monkeypatch.setattr(recall, "BLOCK", 16)  # many blocks a task
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(2)
+    got = defaultdict(list)
+    for r in recall.knn(df, df.where("vec_id % 7 = 0"), 5, 3).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    size = {i: sum(x * x for x in v) ** 0.5 for i, v in rows}
+    for q, a in rows[::7]:
+        want = sorted((-max(0.0, round(sum(x * y for x, y in zip(a, b, strict=True)) / size[q] / size[s], 9)), s) for s, b in rows if s != q and size[q] and size[s])[:5]
+        assert got[q] == [(s, pytest.approx(-x)) for x, s in want]
+
+
+def test_equal_titles_are_embedded_once(spark, tmp_path, monkeypatch):
+    names = ["aab", "bba", "abc", "a", "zz", "aabb"]
+    rows = [(i, names[i * i % 6], "x" * (i % 2), "") for i in range(600)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, more string").write.parquet(f"file://{tmp_path}/part.parquet")
+    sides = []
+    monkeypatch.setattr(recall, "knn", lambda *given, f=recall.knn, **more: sides.append(given[:2]) or f(*given, **more))
+    got = defaultdict(list)
+    for r in retrieval.embedded_queries(spark, f"file://{tmp_path}").orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    vector = {i: Counter((n + t)) for i, n, t, _ in rows}
+    cosine = lambda a, b: round(sum(a[c] * b[c] for c in a) / (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5, 9)
+    for q in range(0, 600, 50):
+        assert got[q] == [s for _, s in sorted((-cosine(vector[q], vector[s]), s) for s in vector if s != q)[:5]]
+    assert all(side.count() <= 12 for side in sides[0])
