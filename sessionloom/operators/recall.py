@@ -14,6 +14,8 @@ from ..functions import text as T
 from .bands import band_join
 
 TRIGRAM_WEIGHT, VECTOR_WEIGHT = 0.35, 0.75
+#: Scores rounded to six digits tie within this.
+SLACK = 2e-6
 BLOCK = 2048
 
 
@@ -113,14 +115,15 @@ def trigram_scores(pairs: DataFrame, segments: DataFrame, queries: DataFrame) ->
     return dealt.select(*pairs.columns, "_q", "_g").mapInArrow(score, f"{kinds}, trigram double")
 
 
-def hopeful(rows: DataFrame, limit: int, low: Column, high: Column, sure: Column | None = None) -> DataFrame:
-    """The rows that may be among the first ``limit`` of their query, given bounds of their scores.
+def hopeful(rows: DataFrame, limit: int, low: Column, high: Column, sure: Column | None = None, slack: float = 1e-9) -> DataFrame:
+    """The rows that may be among the first ``limit`` of their query, given bounds of their scores. ``slack``: by how much
+    lower scores may still tie, where rows are ordered by rounded ones.
 
     The limit-th greatest lower bound (of rows that are ``sure`` to stay) is found with at most ``limit`` rows a query and task.
     """
     bar = rows.where(sure) if sure is not None else rows
     bar = top(bar.select("query_id", low.alias("low")), limit, [F.col("low").desc()]).where(F.col("rank") == limit).select("query_id", F.col("low").alias("_bar"))
-    return rows.join(bar, "query_id", "left").where(F.col("_bar").isNull() | (high >= F.col("_bar") - 1e-9)).drop("_bar")
+    return rows.join(bar, "query_id", "left").where(F.col("_bar").isNull() | (high >= F.col("_bar") - slack)).drop("_bar")
 
 
 def trigram_hits(segments: DataFrame, queries: DataFrame, limit: int | None = None, least: float = 0.3) -> DataFrame:
@@ -232,21 +235,35 @@ def embedded(texts: DataFrame, embedder: Callable[[list[str]], list[list[float]]
     return texts.select(F.col("segment_id").cast("long"), "text").mapInArrow(run, "vec_id long, embedding array<double>")
 
 
-def hybrid(segments: DataFrame, queries: DataFrame, lexical: DataFrame, vector: DataFrame, limit: int, least: float = 0.3) -> DataFrame:
-    """Hits by lexical + 0.35 trigram + 0.75 vector that may be among a query's first ``limit``.
+def hybrid(segments: DataFrame, queries: DataFrame, lexical: Callable[[DataFrame, DataFrame], DataFrame], vector: DataFrame, limit: int, least: float = 0.3) -> DataFrame:
+    """Hits by lexical + 0.35 trigram + 0.75 vector that may be among a query's first ``limit`` by the score to six digits and the id.
 
-    A pair is a hit if it matches lexically, is a vector candidate, or reaches ``least`` by trigrams. Trigram bounds rule
-    out most pairs before exact scores are computed.
+    A pair is a hit if it matches lexically, is a vector candidate, or reaches ``least`` by trigrams. ``lexical`` finds
+    (query_id, segment_id, lexical) for segments and queries; vector scores are not negative. Distinct texts are compared
+    with distinct queries, and the first ``limit`` without vectors are spread over the copies: a vector only adds to a
+    score, so any other of the first ``limit`` is a vector candidate. Trigram bounds rule out most pairs before exact
+    scores are computed.
     """
-    key = ["query_id", "segment_id"]
-    rows = trigram_bounds(segments, queries, least).join(lexical, key, "full_outer").join(vector, key, "full_outer")
-    part = lambda c, none=0.0: F.coalesce(F.col(c), F.lit(none))
-    listed = F.col("lexical").isNotNull() | F.col("vector").isNotNull()
-    rows = rows.select(*key, listed.alias("listed"), part("lexical").alias("lexical"), part("vector").alias("vector"), part("low").alias("low"), part("high", least).alias("high"))
-    score = lambda t: F.col("lexical") + TRIGRAM_WEIGHT * F.col(t) + VECTOR_WEIGHT * F.col("vector")
-    rows = hopeful(rows, limit, score("low"), score("high"), F.col("listed") | (F.col("low") >= least))
-    found = trigram_scores(rows.drop("low", "high"), segments, queries).where(F.col("listed") | (F.col("trigram") >= least))
-    return found.select(*key, "lexical", "trigram", "vector", score("trigram").alias("score"))
+    key, pair = ["query_id", "segment_id"], ["asked", "lead"]
+    none = lambda c, value=0.0: F.coalesce(F.col(c), F.lit(value))
+    score = lambda t: none("lexical") + VECTOR_WEIGHT * none("vector") + TRIGRAM_WEIGHT * t
+    firsts, distinct = first_of_texts(segments, limit), distinct_queries(queries)
+    texts = firsts.where("place = 1").select("segment_id", "text")
+    bounds = trigram_bounds(texts, distinct, least).join(lexical(texts, distinct), key, "full_outer")
+    listed = F.col("lexical").isNotNull()
+    low, high = none("lexical") + TRIGRAM_WEIGHT * none("low"), none("lexical") + TRIGRAM_WEIGHT * none("high", least)
+    plain = trigram_scores(hopeful(bounds, limit, low, high, listed | (F.col("low") >= least), SLACK).select(*key, "lexical"), texts, distinct).where(listed | (F.col("trigram") >= least))
+    plain = spread(plain, firsts, queries, limit, [F.round(none("lexical") + TRIGRAM_WEIGHT * F.col("trigram"), 6).desc()])
+    # vector candidates with the leads of their texts, if they have any, and the bounds of those
+    asked = queries.join(distinct.withColumnRenamed("query_id", "asked"), "query").select("query_id", "asked")
+    leads = segments.join(texts.withColumnRenamed("segment_id", "lead"), "text").select("segment_id", "lead")
+    rows = plain.join(vector, key, "full_outer").withColumnRenamed("lexical", "found").join(asked, "query_id", "left").join(leads, "segment_id", "left")
+    rows = rows.join(bounds.toDF("asked", "lead", "low", "high", "lexical"), pair, "left").withColumn("lexical", F.coalesce("found", "lexical")).drop("found")
+    rows = hopeful(rows, limit, score(F.coalesce("trigram", none("low"))), score(F.coalesce("trigram", none("high", least))), slack=SLACK)
+    open_pairs = rows.where("trigram IS NULL AND asked IS NOT NULL AND lead IS NOT NULL").select(F.col("asked").alias("query_id"), F.col("lead").alias("segment_id")).distinct()
+    exact = trigram_scores(open_pairs, texts, distinct).toDF(*pair, "exact")
+    rows = rows.join(exact, pair, "left").withColumn("trigram", F.coalesce("trigram", "exact", F.lit(0.0)))
+    return rows.select(*key, none("lexical").alias("lexical"), "trigram", none("vector").alias("vector"), score(F.col("trigram")).alias("score"))
 
 
 def hit_snippet(text: str, needle: str) -> Column:

@@ -137,3 +137,28 @@ def test_equal_titles_are_embedded_once(spark, tmp_path, monkeypatch):
     for q in range(0, 600, 50):
         assert got[q] == [s for _, s in sorted((-cosine(vector[q], vector[s]), s) for s in vector if s != q)[:5]]
     assert all(side.count() <= 12 for side in sides[0])
+
+
+def test_copies_are_fused_once(spark, monkeypatch):
+    rows, df, asked = copies(spark, 300, 9)
+    rng = random.Random(5)
+    near = {(q, s): rng.choice([0.1, 0.2, 0.4, 0.9]) for q in [*range(0, 300, 5), 999] for s in rng.sample(range(310), 6)}
+    vector = spark.createDataFrame([(*k, v) for k, v in near.items()], "query_id long, segment_id long, vector double")
+    same = lambda texts, wanted: texts.join(wanted, F.col("text") == F.col("query")).selectExpr("query_id", "segment_id", "0.5D AS lexical").where("text <> ''")
+    scored = []
+    monkeypatch.setattr(recall, "trigram_scores", lambda pairs, *more, f=recall.trigram_scores: scored.append(pairs) or f(pairs, *more))
+    hits = recall.top(recall.hybrid(df, asked, same, vector, 10), 10, [F.round("score", 6).desc(), "segment_id"])
+    got = defaultdict(list)
+    for r in hits.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["segment_id"], round(r["score"], 6)))
+    text = dict(rows)
+    score = {(a, b): windows(a, b) for a in set(text.values()) if a for b in set(text.values()) if b}
+    for q in [*range(0, 300, 5), 999]:
+        want = []
+        for s in range(310):
+            a, b = text.get(q), text.get(s)
+            exact, v = score.get((a, b), 0.0), near.get((q, s))
+            if exact >= 0.3 or v is not None:
+                want.append((-round(0.5 * (a == b and bool(a)) + 0.35 * exact + 0.75 * (v or 0.0), 6), s))
+        assert got[q] == [(s, -x) for x, s in sorted(want)[:10]], q
+    assert [x.count() <= 81 for x in scored] == [True, True]
