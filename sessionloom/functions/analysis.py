@@ -7,6 +7,7 @@ every word, so phrases keep their gaps. Index, queries and headlines must use th
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ SHORT = f"{REST}{VOWEL}[^aeiouywxY]$"
 DOUBLE = f"(?:{'|'.join(2 * c for c in 'bcdfghjkmnpqrtvwx')})$"
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of a value that is worked out once."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
@@ -51,8 +52,8 @@ def ending(suffixes) -> str:
 
 def _strip(word: Column, suffixes, then: Callable[[Column, Column], Column]) -> Column:
     """The word, or ``then(stem, suffix)`` where one of the suffixes ends it; null of that keeps the word."""
-    cut = lambda w: _let(F.regexp_extract(w, ending(suffixes), 1), lambda s: F.when(s == "", w).otherwise(F.coalesce(then(F.left(w, F.length(w) - F.length(s)), s), w)))
-    return _let(word, cut)
+    cut = lambda w: let(F.regexp_extract(w, ending(suffixes), 1), lambda s: F.when(s == "", w).otherwise(F.coalesce(then(F.left(w, F.length(w) - F.length(s)), s), w)))
+    return let(word, cut)
 
 
 def _replaced(word: Column, table: dict[str, str]) -> Column:
@@ -81,9 +82,21 @@ def stem(word: Column) -> Column:
     return F.when(word.rlike("^[a-z]{3,}$"), F.lower(w)).otherwise(word)
 
 
-def analyzer(language: str = "english") -> Callable[[Column], Column]:
+@dataclass(frozen=True)
+class Words:
+    """An analyzer that works word by word: ``term`` of each of a text's words, null where one does not count."""
+
+    term: Callable[[Column], Column]
+
+    def split(self, text: Column) -> Column:
+        return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+    def __call__(self, text: Column) -> Column:
+        return F.transform(self.split(text), lambda w: self.term(w))
+
+
+def analyzer(language: str = "english") -> Words:
     """The analyzer of a language of ``STOP_LISTS``: English words are stemmed, those of other languages stay."""
     stops = STOP_LISTS[language]
     ends = stem if language == "english" else (lambda w: w)
-    keep = (lambda w: F.when(~w.isin(*stops), ends(w))) if stops else ends
-    return lambda text: F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: keep(w))
+    return Words((lambda w: F.when(~w.isin(*stops), ends(w))) if stops else ends)

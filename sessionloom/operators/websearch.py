@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import analysis
 from ..functions import text as T
+from . import search
 
 #: A text to its terms, one a place, null where a word does not count.
 Analyzer = Callable[[Column], Column]
@@ -64,6 +66,14 @@ def matches(segments: DataFrame, queries: DataFrame, cover: int = COVER, analyze
     return ranked.groupBy("query_id", "segment_id").agg(F.max("lexical").alias("lexical"))
 
 
+def first_matches(segments: DataFrame, queries: DataFrame, limit: int, cover: int = COVER, analyze: Analyzer = T.analyzed, digits: int = 6) -> DataFrame:
+    """What :func:`matches` gives, with ranks of so many digits, as far as it may be among a query's first ``limit`` by
+    rank and segment id. No postings are joined: blocks of segments are searched."""
+    items = parse(queries, analyze).where("k > 0")
+    asked = items.groupBy("query_id").agg(F.collect_list(F.struct("clause", "slot", "negative", "terms", "k")).alias("items"))
+    return search.first_matches(segments, asked.withColumn("items", F.col("items").cast(search.ITEMS)), analyze, limit, search.summed(cover, digits))
+
+
 def terms_of(queries: DataFrame, analyze: Analyzer = T.analyzed) -> DataFrame:
     """(query_id, shown): the words that a headline of the query marks."""
     return parse(queries, analyze).where("NOT negative").groupBy("query_id").agg(F.array_distinct(F.array_compact(F.flatten(F.collect_list("terms")))).alias("shown"))
@@ -72,15 +82,28 @@ def terms_of(queries: DataFrame, analyze: Analyzer = T.analyzed) -> DataFrame:
 def headline(text: Column, shown: Column, most: int = MOST_WORDS, least: int = LEAST_WORDS, analyze: Analyzer = T.analyzed) -> Column:
     """Words of the text from the first hit to the last one within ``most`` words, ``least`` words at the least where
     the text has them; hits stand in ``<b>``. Null without a hit."""
-    words = T.tokens(text)
     hit = lambda w: F.coalesce(F.arrays_overlap(analyze(w), shown), F.lit(False))
-    at = F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull())
-    first = F.get(at, F.lit(0))
-    last = F.array_max(F.filter(at, lambda i: i < first + most))
-    size = F.least(F.size(words), F.greatest(last - first + 1, F.lit(least)))
-    start = F.least(first, F.size(words) - size)
-    part = F.transform(F.slice(words, start + 1, size), lambda w: F.when(hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
-    return F.when(first.isNotNull(), F.array_join(part, " "))
+
+    def cut(words: Column, at: Column) -> Column:
+        first = F.get(at, F.lit(0))
+        last = F.array_max(F.filter(at, lambda i: i < first + most))
+        size = F.least(F.size(words), F.greatest(last - first + 1, F.lit(least)))
+        start = F.least(first, F.size(words) - size)
+        part = F.transform(F.slice(words, start + 1, size), lambda w, i: F.when(F.array_contains(at, start + i), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
+        return F.when(first.isNotNull(), F.array_join(part, " "))
+
+    spots = lambda words: F.filter(F.transform(words, lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull())
+    return analysis.let(T.tokens(text), lambda words: analysis.let(spots(words), lambda at: cut(words, at)))
+
+
+def forms_of(texts: DataFrame, terms: DataFrame, analyze: analysis.Words) -> DataFrame:
+    """(query_id, forms): all words of the texts whose terms are a query's (query_id, shown). Each distinct word is analyzed once."""
+    words = texts.select(F.explode(F.array_distinct(analyze.split(F.col("text")))).alias("word")).distinct()
+    # a word is little data and much work: by bytes, all words could be one task. Were the term nullable, the join would
+    # ask for it before the words are made distinct
+    term = F.coalesce(analyze.term(F.col("word")), F.lit("")).alias("term")
+    words = words.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word").select("word", term)
+    return terms.select("query_id", F.explode("shown").alias("term")).join(words, "term").groupBy("query_id").agg(F.collect_list("word").alias("forms"))
 
 
 def describe(hits: DataFrame, *tables: tuple[DataFrame, str]) -> DataFrame:
