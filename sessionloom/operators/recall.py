@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import search
 from .bands import band_join
 
 TRIGRAM_WEIGHT, VECTOR_WEIGHT = 0.35, 0.75
@@ -142,21 +143,17 @@ def trigram_hits(segments: DataFrame, queries: DataFrame, limit: int | None = No
     return spread(found, firsts, queries, limit + 1, [F.col("trigram").desc()]).where("query_id <> segment_id")
 
 
-def lexical_hits(segments: DataFrame, queries: DataFrame) -> DataFrame:
-    """Segments that hold all required terms of a query and none of the excluded, with a cover rank.
+def lexical_hits(segments: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """Rows that hold a query's first ``limit`` segments with all required terms and none of the excluded, by rank and id.
 
-    The rank is 1 / (length of the shortest window that covers all terms). ``queries``: query_id, required, excluded.
+    The rank is 1 / (length of the shortest window that covers all terms). ``queries``: query_id, required, excluded. Rows of
+    one query or segment id are queries and segments of their own.
     """
     asked = queries.select("query_id", F.array_distinct("required").alias("required"), "excluded")
-    terms = asked.select("query_id", F.size("required").alias("k"), F.posexplode("required").alias("slot", "t"))
-    posted = segments.select("segment_id", F.posexplode(T.analyzed(F.col("text"))).alias("pos", "t"))
-    found = posted.join(terms, "t").groupBy("query_id", "segment_id", "k").agg(F.count_distinct("slot").alias("have"), F.array_sort(F.collect_list(F.struct("pos", "slot"))).alias("at")).where("have = k")
-    walk = """aggregate(at, named_struct('last', array_repeat(-1000000, k), 'best', 1000000),
-      (a, x) -> transform(array(transform(a.last, (v, i) -> if(i = x.slot, x.pos, v))), l -> named_struct('last', l, 'best', least(a.best, x.pos - array_min(l) + 1)))[0], a -> a.best)"""
-    ranked = found.withColumn("lexical", 1.0 / F.expr(walk)).select("query_id", "segment_id", "lexical")
-    banned = asked.select("query_id", F.explode("excluded").alias("t"))
-    out = posted.join(banned, "t").select("query_id", "segment_id").distinct()
-    return ranked.join(out, ["query_id", "segment_id"], "left_anti")
+    item = lambda t, slot, negative: F.struct(F.lit(0).alias("clause"), slot.cast("int").alias("slot"), F.lit(negative).alias("negative"), F.array(t).alias("terms"), F.size("required").alias("k"))
+    wanted, banned = F.transform("required", lambda t, i: item(t, i, False)), F.transform("excluded", lambda t: item(t, F.lit(None), True))
+    items = F.concat(wanted, F.coalesce(banned.cast(search.ITEMS), F.array().cast(search.ITEMS)))
+    return search.first_matches(segments, asked.select("query_id", items.alias("items")), T.analyzed, limit, search.shortest, merged=False)
 
 
 def _blocks(vectors: DataFrame, ids: str, dims: int) -> DataFrame:

@@ -7,11 +7,11 @@ import duckdb
 import pytest
 
 from sessionloom.functions import analysis
-from sessionloom.operators import search, websearch
+from sessionloom.operators import recall, search, websearch
 from sessionloom.plans import retrieval
 
 from .conftest import same_rows
-from .test_segments import plain_rank
+from .test_segments import analyzed, plain_rank
 
 WORDS = "alpha beta gamma delta the eps zeta".split()
 QUERIES = ["alpha beta", '"alpha beta" gamma', "alpha -delta", 'alpha OR "beta gamma" -eps', "-alpha", "or or", "alpha alpha", '"alpha alpha" alpha', 'eps "the delta"', "Alpha-Beta or GAMMA delta", "", None, "the of", 'beta "gamma beta" beta -"delta eps"', "absent alpha", "alpha -absent"]
@@ -57,6 +57,21 @@ def test_blocks_find_stems_and_gaps(drawn, spark):
     assert firsts(websearch.first_matches(docs, asked, 9, analyze=english), 9) == firsts(websearch.matches(docs, asked, analyze=english), 9)
 
 
+def test_required_and_excluded_terms(drawn, spark):
+    texts, docs, _ = drawn
+    rows = [(0, ["alpha", "beta"], ["delta"]), (1, ["alpha", "alpha"], []), (2, ["gamma", None], []), (3, [], ["alpha"]), (4, ["zeta", "eps", "beta"], [None]), (5, ["zeta"], None), (6, None, ["x"]), (0, ["eps"], ["alpha"])]
+    asked = spark.createDataFrame(rows, "query_id long, required array<string>, excluded array<string>")
+    twice = docs.union(docs.where("segment_id < 20"))
+    want = defaultdict(list)
+    for q, required, excluded in rows:
+        for s, text in [*enumerate(texts), *enumerate(texts[:20])]:
+            a, need = analyzed(text or ""), set(required or [])
+            if need and need <= set(a) and not set(excluded or []) & set(a):
+                least = min(j - i for i in range(len(a)) for j in range(i + 1, len(a) + 1) if need <= set(a[i:j]))
+                want[q].append((-1 / least, s))
+    assert firsts(recall.lexical_hits(twice, asked, 6), 6) == {q: sorted(x)[:6] for q, x in want.items()}
+
+
 def test_long_talks_whose_segment_ids_meet(spark, tmp_path):
     """Turn 100 of a talk has the id of the next talk's first turn."""
     rng = random.Random(9)
@@ -68,7 +83,7 @@ def test_long_talks_whose_segment_ids_meet(spark, tmp_path):
     con = duckdb.connect()
     for name in ("conversations", "customer", "nation", "documents"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
-    for name in ("web_recall", "recall_metadata"):
+    for name in ("lexical_recall", "web_recall", "recall_metadata"):
         same_rows(retrieval.QUERIES[name](spark, f"file://{tmp_path}"), con, retrieval.ORACLES[name])
 
 
