@@ -23,10 +23,11 @@ def stemmed_recall(spark: SparkSession, sf: str) -> DataFrame:
     """The first 20 turns of each query by covers over stems, with the headline that marks all forms of its words."""
     segments = retrieval._turn_segments(spark, sf)
     queries = _queries(segments)
-    found = websearch.matches(segments.select("segment_id", "text"), queries, analyze=ENGLISH).withColumn("lexical", F.round("lexical", 6))
+    found = websearch.first_matches(segments.select("segment_id", "text"), queries, 20, analyze=ENGLISH)
     hits = recall.top(found, 20, [F.col("lexical").desc(), "segment_id"])
-    shown = websearch.describe(hits, (websearch.terms_of(queries, ENGLISH), "query_id"), (segments.select("segment_id", "text"), "segment_id"))
-    headline = websearch.headline(F.col("text"), F.col("shown"), analyze=ENGLISH)
+    texts = segments.select("segment_id", "text")
+    shown = websearch.describe(hits, (websearch.forms_of(texts, websearch.terms_of(queries, ENGLISH), ENGLISH), "query_id"), (texts, "segment_id"))
+    headline = websearch.headline(F.col("text"), F.col("forms"), analyze=ENGLISH.split)
     return shown.select("query_id", "segment_id", "lexical", F.col("rank").cast("long").alias("rank"), headline.alias("headline"))
 
 

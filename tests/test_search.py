@@ -8,7 +8,7 @@ import pytest
 
 from sessionloom.functions import analysis
 from sessionloom.operators import recall, search, websearch
-from sessionloom.plans import retrieval
+from sessionloom.plans import retrieval, stemmed
 
 from .conftest import same_rows
 from .test_segments import analyzed, plain_rank
@@ -91,3 +91,25 @@ def test_empty_tables(spark):
     docs, asked = spark.createDataFrame([(1, "alpha")], "segment_id long, text string"), spark.createDataFrame([(1, "alpha")], "query_id long, query string")
     assert websearch.first_matches(docs.limit(0), asked, 3).count() == 0 and websearch.first_matches(docs, asked.limit(0), 3).count() == 0
     assert [tuple(r) for r in websearch.first_matches(docs, asked, 3).collect()] == [(1, 1, 1.0)]
+
+
+def test_forms_of_terms(spark):
+    english = analysis.analyzer()
+    texts = spark.createDataFrame([("Running runs",), ("the run, ran",), (None,)], "text string")
+    terms = spark.createDataFrame([(1, ["run", "absent"]), (2, ["absent"])], "query_id long, shown array<string>")
+    found = websearch.forms_of(texts, terms, english)
+    assert {r["query_id"]: sorted(r["forms"]) for r in found.collect()} == {1: ["run", "running", "runs"]}
+    above, below = found._jdf.queryExecution().optimizedPlan().toString().split("Repartition")
+    assert "ed|ing" in above and "ed|ing" not in below  # stems are made of distinct words, not of all
+
+
+def test_stemmed_recall_joins_no_postings(spark, tmp_path):
+    rng = random.Random(4)
+    words = "running runs state states art daily lamps lamp".split()
+    rows = [(c, t, "user", " ".join(rng.choice(words) for _ in range(14))) for c in range(0, 120, 10) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = stemmed.stemmed_recall(spark, f"file://{tmp_path}")
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    same_rows(found, con, stemmed.ORACLES["stemmed_recall"])
